@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -57,30 +56,45 @@ def _group_count(pattern: str) -> int:
     return len(re.findall(r"\((?!\?)", bare))
 
 
-def may_match(rx: Rx, text: Column, lowered: Column) -> Column:
-    """Cheap necessary condition for ``rx`` to match ``text``."""
+def quoted(text: str) -> str:
+    """``text`` as a Spark SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def may_match(rx: Rx, text: str, lowered: str) -> str:
+    """Cheap necessary condition for ``rx`` to match column ``text``, as SQL."""
     if not rx.needs:
-        return F.lit(True)
+        return "true"
     if rx.ignore_case:
-        tests = [F.contains(lowered, F.lit(n.lower())) for n in rx.needs]
-    else:
-        tests = [F.contains(text, F.lit(n)) for n in rx.needs]
-    return reduce(lambda a, b: a | b, tests)
+        return " OR ".join(f"contains({lowered}, {quoted(n.lower())})" for n in rx.needs)
+    return " OR ".join(f"contains({text}, {quoted(n)})" for n in rx.needs)
 
 
-def candidates(rxs: list[Rx], text: Column, lowered: Column) -> Column:
-    """Ordinals of the expressions that ``text`` could match, as an array."""
-    return F.array_compact(
-        F.array(*[F.when(may_match(r, text, lowered), F.lit(k)) for k, r in enumerate(rxs)])
-    )
+def candidates(rxs: list[Rx], text: str, lowered: str) -> Column:
+    """Ordinals of the expressions that column ``text`` could match, as an array.
+
+    Long catalogs are stated as SQL text: it is one expression to hand over
+    instead of thousands of small ones.
+    """
+    tests = ", ".join(f"CASE WHEN {may_match(r, text, lowered)} THEN {k} END" for k, r in enumerate(rxs))
+    return F.expr(f"array_compact(array({tests}))")
 
 
-def dispatch(ordinal: Column, branches: list[Column]) -> Column:
-    """``branches[ordinal]``, evaluating only that branch."""
-    out = F.when(ordinal == 0, branches[0])
-    for k, branch in enumerate(branches[1:], start=1):
-        out = out.when(ordinal == k, branch)
-    return out
+def dispatch(ordinal: str, branches: list[str]) -> str:
+    """SQL for ``branches[ordinal]``; only that branch is evaluated."""
+    return f"CASE {ordinal} " + " ".join(f"WHEN {k} THEN {b}" for k, b in enumerate(branches)) + " END"
+
+
+def lookup(ordinal: str, rows: list[dict[str, object]]) -> Column:
+    """The constant row of a catalog at ``ordinal``, as a struct."""
+
+    def value(v: object) -> str:
+        return quoted(v) if type(v) is str else str(v)
+
+    structs = ", ".join(
+        "named_struct(" + ", ".join(f"'{n}', {value(v)}" for n, v in r.items()) + ")" for r in rows
+    )
+    return F.expr(f"get(array({structs}), {ordinal})")
 
 
 def glob_to_regex(glob: str) -> str:

@@ -10,99 +10,74 @@ the text is never copied per match and nothing is shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagesieve.functions.regex import Rx, candidates, dispatch
-from pagesieve.functions.text import after_last_newline, count_newlines
+from pagesieve.functions.regex import Rx, candidates, dispatch, quoted
 
 # A Unicode noncharacter: never valid in interchanged text.
 FENCE = "\ufdd0"
 STRIDE = 4  # pieces per match: gap, match, value, following text
 BLOCK = 64  # running sums grow an array per block, keeping them linear overall
 
-_POSITION = "off:int,line:int,col:int,before:string,idx:int"
-_STATE = f"struct<off:int,line:int,tail:int,before:string,out:array<struct<{_POSITION}>>>"
+_POSITION = "struct<off:int,line:int,col:int,ahead:string,idx:int>"
+_STATE = f"struct<off:int,line:int,tail:int,ahead:string,out:array<{_POSITION}>>"
+_NL = "'\\n'"
 
 
-def fenced(text: Column, rx: Rx, after: int = 0) -> Column:
-    """``text`` with each match written as fence-separated match, value, following text."""
+def fenced(text: str, rx: Rx, after: int = 0) -> str:
+    """SQL for ``text`` with each match fenced as match, value, following text."""
     follow = f"(?=((?s:.{{0,{after}}})))" if after else "()"
     # one more group at the end holds up to ``after`` characters behind the match
     pattern = f"(?dU{rx.flags})(?:{rx.java or rx.pattern}){follow}"
     parts = ["$0", f"${rx.value_group}", f"${rx.groups + 1}"]
-    return F.regexp_replace(text, pattern, FENCE + FENCE.join(parts) + FENCE)
-
+    return f"regexp_replace({text}, {quoted(pattern)}, {quoted(FENCE + FENCE.join(parts) + FENCE)})"
 
-def bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it in ``body``."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
 
+def _let(name: str, value: str, body: str) -> str:
+    """SQL that evaluates ``value`` once and uses it as ``name`` in ``body``."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
 
-def _tail(c: Column, width: int) -> Column:
-    return F.substring(c, -width, width) if width else F.lit("")
 
+def _tail(text: str, width: int) -> str:
+    return f"substring({text}, -{width}, {width})" if width else "''"
 
-def _positions(pieces: Column, before: int) -> Column:
-    """Per match: 0-based offset, 1-based line and column, and the text ahead of its gap."""
-    n = F.floor((F.size(pieces) - 1) / STRIDE).cast("int")
 
-    def piece(i: Column, k: int) -> Column:
-        return F.get(pieces, i * STRIDE + k)
+def _positions(before: int) -> str:
+    """SQL over the array ``p`` of pieces: offset, line, column and the text ahead of each gap.
 
-    def measure(i: Column) -> Column:
-        gap, hit = piece(i, 0), piece(i, 1)
-        return F.struct(
-            F.length(gap).alias("gl"), count_newlines(gap).alias("gn"),
-            F.length(after_last_newline(gap)).alias("gt"),
-            F.length(hit).alias("hl"), count_newlines(hit).alias("hn"),
-            F.length(after_last_newline(hit)).alias("ht"),
-        )
+    Piece sizes come first; a running sum over them, kept per block, gives the rest.
+    """
+    gap, hit = f"p[i * {STRIDE}]", f"p[i * {STRIDE} + 1]"
+    n = f"CAST((size(p) - 1) div {STRIDE} AS INT)"
 
-    def step(sizes: Column) -> Callable[[Column, Column], Column]:
-        def merge(s: Column, i: Column) -> Column:
-            z = F.get(sizes, i)
-            off = s["off"] + z["gl"]
-            line = s["line"] + z["gn"]
-            col = F.when(z["gn"] > 0, z["gt"]).otherwise(s["tail"] + z["gl"])
-            here = F.struct(
-                off.alias("off"), line.alias("line"), (col + 1).alias("col"),
-                s["before"].alias("before"), i.alias("idx"),
-            )
-            return F.struct(
-                (off + z["hl"]).alias("off"),
-                (line + z["hn"]).alias("line"),
-                F.when(z["hn"] > 0, z["ht"]).otherwise(col + z["hl"]).alias("tail"),
-                _tail(F.concat(s["before"], _tail(piece(i, 0), before), piece(i, 1)), before).alias("before"),
-                F.concat(s["out"], F.array(here)).alias("out"),
-            ).cast(_STATE)
-
-        return merge
-
-    def run(sizes: Column) -> Column:
-        start = F.struct(
-            F.lit(0).alias("off"), F.lit(1).alias("line"), F.lit(0).alias("tail"),
-            F.lit("").alias("before"), F.array().alias("out"),
-        ).cast(_STATE)
-
-        def block(acc: Column, b: Column) -> Column:
-            last = F.element_at(acc, -1)
-            carry = F.struct(
-                last["off"].alias("off"), last["line"].alias("line"), last["tail"].alias("tail"),
-                last["before"].alias("before"), F.array().alias("out"),
-            ).cast(_STATE)
-            inside = F.sequence(b, F.least(b + (BLOCK - 1), F.size(sizes) - 1))
-            return F.concat(acc, F.array(F.aggregate(inside, carry, step(sizes))))
-
-        blocks = F.sequence(F.lit(0), F.size(sizes) - 1, F.lit(BLOCK))
-        return F.flatten(
-            F.transform(F.aggregate(blocks, F.array(start), block), lambda s: s["out"])
+    def sizes(name: str, piece: str) -> str:
+        return (
+            f"'{name}l', length({piece}), '{name}n', length({piece}) - length(replace({piece}, {_NL}, '')), "
+            f"'{name}t', length(substring_index({piece}, {_NL}, -1))"
         )
 
-    sizes = F.transform(F.sequence(F.lit(0), n - 1), measure)
-    return F.when(n > 0, bind(sizes, run)).otherwise(F.array().cast(f"array<struct<{_POSITION}>>"))
+    measured = f"transform(sequence(0, {n} - 1), i -> named_struct({sizes('g', gap)}, {sizes('h', hit)}))"
+    col = "if(z[i].gn > 0, z[i].gt, s.tail + z[i].gl)"
+    here = f"named_struct('off', s.off + z[i].gl, 'line', s.line + z[i].gn, 'col', {col} + 1, 'ahead', s.ahead, 'idx', i)"
+    step = (
+        f"named_struct('off', s.off + z[i].gl + z[i].hl, 'line', s.line + z[i].gn + z[i].hn, "
+        f"'tail', if(z[i].hn > 0, z[i].ht, {col} + z[i].hl), "
+        f"'ahead', {_tail(f'concat(s.ahead, {_tail(gap, before)}, {hit})', before)}, "
+        f"'out', concat(s.out, array({here})))"
+    )
+    nothing = f"CAST(array() AS array<{_POSITION}>)"
+    start = f"CAST(named_struct('off', 0, 'line', 1, 'tail', 0, 'ahead', '', 'out', {nothing}) AS {_STATE})"
+    last = "element_at(acc, -1)"
+    carry = (
+        f"CAST(named_struct('off', {last}.off, 'line', {last}.line, 'tail', {last}.tail, "
+        f"'ahead', {last}.ahead, 'out', {nothing}) AS {_STATE})"
+    )
+    inside = f"sequence(b, least(b + {BLOCK - 1}, size(z) - 1))"
+    block = f"concat(acc, array(aggregate({inside}, {carry}, (s, i) -> {step})))"
+    blocks = f"aggregate(sequence(0, size(z) - 1, {BLOCK}), array({start}), (acc, b) -> {block})"
+    summed = f"flatten(transform({blocks}, s -> s.out))"
+    return f"CASE WHEN {n} > 0 THEN {_let('z', measured, summed)} ELSE {nothing} END"
 
 
 def scan(
@@ -113,54 +88,43 @@ def scan(
     before: int = 0,
     after: int = 0,
     pick: Column | None = None,
-    derive: Callable[[Column], dict[str, Column]] | None = None,
+    derive: dict[str, str] | None = None,
     keep: list[str] | None = None,
 ) -> DataFrame:
     """One row per match of any of ``rxs`` in column ``text``.
 
     Output: the ``keep`` columns, then ``rx`` (ordinal of the expression), ``nth``
-    (match number within it), ``off`` (0-based), ``line`` and ``col`` (1-based), ``hit``, ``value``
-    (group 1 or the whole match), ``before`` and ``after`` (surrounding text up to
-    the given widths) and whatever ``derive`` computes from a match and the
-    columns of ``df``.  ``pick`` replaces the substring tests by an own array of
-    ordinals.  Rows keep the input partitioning; there is no shuffle.
+    (match number within it), ``off`` (0-based), ``line`` and ``col`` (1-based),
+    ``hit``, ``value`` (group 1 or the whole match), ``before`` and ``after``
+    (surrounding text up to the given widths) and the ``derive`` columns: SQL over
+    the match ``m`` and the columns of ``df``.  ``pick`` replaces the substring
+    tests by an own array of ordinals.  Rows keep the input partitioning; there
+    is no shuffle.
     """
     keep = keep if keep is not None else [c for c in df.columns if c != text]
-    src = F.col(text)
-    if pick is None:
-        df = df.withColumn("_low", F.lower(src)) if any(r.ignore_case for r in rxs) else df
-        pick = candidates(rxs, src, F.col("_low") if "_low" in df.columns else src)
-    clean = F.when(F.contains(src, F.lit(FENCE)), F.translate(src, FENCE, "\ufffd")).otherwise(src)
-
-    def matches_of(k: Column) -> Column:
-        pieces = F.split(dispatch(k, [fenced(clean, r, after) for r in rxs]), FENCE)
-
-        def located(p: Column) -> Column:
-            def emit(s: Column) -> Column:
-                at = s["idx"] * STRIDE
-                m = {
-                    "rx": k, "nth": s["idx"], "off": s["off"], "line": s["line"], "col": s["col"],
-                    "hit": F.get(p, at + 1), "value": F.get(p, at + 2),
-                    "before": _tail(F.concat(s["before"], F.get(p, at)), before),
-                    "after": F.get(p, at + 3),
-                }
-                row = F.struct(*[c.alias(n) for n, c in m.items()])
-                if derive is None:
-                    return row
-                more = derive(s)
-                return F.struct(*[c.alias(n) for n, c in {**m, **more}.items()])
-
-            return F.transform(_positions(p, before), emit)
-
-        return bind(pieces, located)
-
-    df = df.withColumn("_pick", pick)
-    found = df.select(*keep, F.explode_outer(F.flatten(F.transform("_pick", matches_of))).alias("_m"))
-    return found.filter(F.col("_m").isNotNull()).select(*keep, "_m.*")
+    new = {}
+    if any(r.ignore_case for r in rxs) and pick is None:
+        df = df.withColumn("_low", F.lower(text))
+    new["_pick"] = candidates(rxs, text, "_low") if pick is None else pick
+    clean = F.translate(text, FENCE, "\ufffd")
+    new[text] = F.when(F.contains(text, F.lit(FENCE)), clean).otherwise(F.col(text))
+    df = df.withColumns(new)
+
+    fields = {
+        "rx": "k", "nth": "m.idx", "off": "m.off", "line": "m.line", "col": "m.col",
+        "hit": f"p[m.idx * {STRIDE} + 1]", "value": f"p[m.idx * {STRIDE} + 2]",
+        "before": _tail(f"concat(m.ahead, p[m.idx * {STRIDE}])", before),
+        "after": f"p[m.idx * {STRIDE} + 3]", **(derive or {}),
+    }
+    row = "named_struct(" + ", ".join(f"'{n}', {e}" for n, e in fields.items()) + ")"
+    pieces = f"split({dispatch('k', [fenced(text, r, after) for r in rxs])}, {quoted(FENCE)}, -1)"
+    located = _let("p", pieces, f"transform({_positions(before)}, m -> {row})")
+    found = df.select(*keep, F.expr(f"explode_outer(flatten(transform(_pick, k -> {located})))").alias("_m"))
+    return found.filter("_m IS NOT NULL").select(*keep, "_m.*")
 
 
 def extract_values(
-    df: DataFrame, text: str, rxs: list[Rx], *, lowered: str | None = None, keep: list[str] | None = None
+    df: DataFrame, text: str, rxs: list[Rx], *, keep: list[str] | None = None
 ) -> DataFrame:
     """One row per match, without positions: ``rx``, ``nth`` and ``value``.
 
@@ -168,13 +132,9 @@ def extract_values(
     become rows, then each row runs just its own expression.
     """
     keep = keep if keep is not None else [c for c in df.columns if c != text]
-    src = F.col(text)
-    low = F.col(lowered) if lowered else F.lower(src)
-    routed = df.select(*keep, src.alias("_t"), F.explode_outer(candidates(rxs, src, low)).alias("rx"))
-    routed = routed.filter(F.col("rx").isNotNull())
-    hits = dispatch(
-        F.col("rx"),
-        [F.regexp_extract_all("_t", F.lit(r.jvm()), F.lit(r.value_group)) for r in rxs],
-    )
-    found = routed.select(*keep, "rx", F.posexplode_outer(hits).alias("nth", "value"))
-    return found.filter(F.col("value").isNotNull())
+    if any(r.ignore_case for r in rxs):
+        df = df.withColumn("_low", F.lower(text))
+    routed = df.select(*keep, F.col(text).alias("_t"), F.explode_outer(candidates(rxs, text, "_low")).alias("rx"))
+    hits = dispatch("rx", [f"regexp_extract_all(_t, {quoted(r.jvm())}, {r.value_group})" for r in rxs])
+    found = routed.filter("rx IS NOT NULL").select(*keep, "rx", F.expr(f"posexplode_outer({hits})").alias("nth", "value"))
+    return found.filter("value IS NOT NULL")

@@ -36,10 +36,6 @@ def count_newlines(c: Column) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
 
 
-def after_last_newline(c: Column) -> Column:
-    return F.substring_index(c, "\n", -1)
-
-
 def clean_value(c: Column, max_length: int = 500) -> Column:
     """Strip, drop one pair of matching quotes, cut to ``max_length`` and mark the cut."""
     v = strip(c)

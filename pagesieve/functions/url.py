@@ -1,7 +1,7 @@
 """URL parts and reference resolution with built-in string functions.
 
-The work is laid out as projections over a table rather than as one nested
-expression, so that each part is computed once.
+The work is laid out as projections with named intermediate columns rather
+than as one nested expression, so that each part is computed once.
 """
 
 from __future__ import annotations
@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagesieve.functions.regex import quoted
+from pagesieve.functions.text import WHITESPACE
+
 # Schemes whose references can be relative, or carry an authority.
 RELATIVE_SCHEMES = [
     "", "ftp", "http", "gopher", "nntp", "imap", "wais", "file", "https", "shttp", "mms",
@@ -28,10 +31,6 @@ CONTROL_OR_SPACE = "".join(chr(i) for i in range(33))
 _DOT_SEGMENT = r"(?s)(?:^|/)\.\.?(?:/|$)"
 
 
-def _rest(c: Column, start: Column) -> Column:
-    return F.substring(c, start, F.length(c))
-
-
 def scheme(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1))
 
@@ -57,78 +56,68 @@ def host_path(path_or_url: Column) -> Column:
     return F.substring_index(F.substring_index(path_or_url, "#", 1), "?", 1)
 
 
-def _with_parts(df: DataFrame, url: str, p: str, default_scheme: str | None = None) -> DataFrame:
-    """Columns ``{p}s {p}n {p}p {p}q {p}f {p}m``: scheme, authority, path, query, fragment, parameters.
+def _parts(url: str, p: str, default_scheme: str) -> list[str]:
+    """SQL columns ``{p}s {p}n {p}p {p}q {p}f {p}m`` of ``url``, each using the ones before it.
 
-    The path includes the parameters of its last segment; an empty parameter
-    part is dropped with its separator.
+    They are scheme, authority, path, query, fragment and parameters.  The path
+    includes the parameters of its last segment; an empty parameter part is
+    dropped with its separator.
     """
-    u = F.translate(F.ltrim(F.col(url), F.lit(CONTROL_OR_SPACE)), "\t\r\n", "")
-    df = df.withColumn(f"{p}u", u).withColumn(f"{p}s", scheme(F.col(f"{p}u")))
-    after = F.when(F.col(f"{p}s") != "", _rest(F.col(f"{p}u"), F.length(f"{p}s") + 2)).otherwise(F.col(f"{p}u"))
-    df = df.withColumn(f"{p}r", after)
-    r = F.col(f"{p}r")
-    df = df.withColumn(f"{p}h", F.substring_index(r, "#", 1))
-    df = df.withColumn(f"{p}f", _rest(r, F.length(f"{p}h") + 2))
-    h = F.col(f"{p}h")
-    df = df.withColumn(f"{p}b", F.substring_index(h, "?", 1)).withColumn(f"{p}q", _rest(h, F.length(f"{p}b") + 2))
-    b = F.col(f"{p}b")
-    has = F.startswith(b, F.lit("//"))
-    df = df.withColumn(f"{p}n", F.when(has, F.substring_index(_rest(b, F.lit(3)), "/", 1)).otherwise(""))
-    df = df.withColumn(f"{p}p", F.when(has, _rest(b, F.length(f"{p}n") + 3)).otherwise(b))
-    known = F.col(f"{p}s")
-    if default_scheme:
-        known = F.when(known != "", known).otherwise(F.col(default_scheme))
-    last = F.substring_index(F.col(f"{p}p"), "/", -1)
-    parameters = _rest(last, F.length(F.substring_index(last, ";", 1)) + 1)
-    df = df.withColumn(f"{p}m", F.when(F.contains(last, F.lit(";")) & known.isin(PARAMETER_SCHEMES), parameters).otherwise(""))
-    bare = F.col(f"{p}m") == ";"
-    df = df.withColumn(f"{p}p", F.when(bare, F.substring(f"{p}p", F.lit(1), F.length(f"{p}p") - 1)).otherwise(F.col(f"{p}p")))
-    df = df.withColumn(f"{p}m", F.when(bare, "").otherwise(F.col(f"{p}m")))
-    return df.drop(f"{p}r", f"{p}h", f"{p}b")
-
-
-def _build(s: Column, n: Column, path: Column, q: Column, f: Column) -> Column:
-    lead = F.when((path != "") & ~F.startswith(path, F.lit("/")), F.concat(F.lit("/"), path)).otherwise(path)
-    body = (
-        F.when(n != "", F.concat(F.lit("//"), n, lead))
-        .when(F.startswith(path, F.lit("//")), F.concat(F.lit("//"), path))
-        .when((s != "") & s.isin(AUTHORITY_SCHEMES) & ((path == "") | F.startswith(path, F.lit("/"))),
-              F.concat(F.lit("//"), path))
-        .otherwise(path)
-    )
-    return F.concat(
-        F.when(s != "", F.concat(s, F.lit(":"))).otherwise(""), body,
-        F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""),
-        F.when(f != "", F.concat(F.lit("#"), f)).otherwise(""),
+    control = quoted(CONTROL_OR_SPACE)
+    known = f"CASE WHEN {p}s <> '' THEN {p}s ELSE {default_scheme} END"
+    last = f"substring_index({p}w, '/', -1)"
+    return [
+        f"translate(ltrim({control}, {url}), '\\t\\r\\n', '') AS {p}u",
+        f"lower(regexp_extract({p}u, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) AS {p}s",
+        f"if({p}s <> '', substring({p}u, length({p}s) + 2), {p}u) AS {p}r",
+        f"substring_index({p}r, '#', 1) AS {p}h",
+        f"substring({p}r, length({p}h) + 2) AS {p}f",
+        f"substring_index({p}h, '?', 1) AS {p}b",
+        f"substring({p}h, length({p}b) + 2) AS {p}q",
+        f"if(startswith({p}b, '//'), substring_index(substring({p}b, 3), '/', 1), '') AS {p}n",
+        f"if(startswith({p}b, '//'), substring({p}b, length({p}n) + 3), {p}b) AS {p}w",
+        f"if(contains({last}, ';') AND {known} IN ({_list(PARAMETER_SCHEMES)}), "
+        f"substring({last}, length(substring_index({last}, ';', 1)) + 1), '') AS {p}x",
+        f"if({p}x = ';', substring({p}w, 1, length({p}w) - 1), {p}w) AS {p}p",
+        f"if({p}x = ';', '', {p}x) AS {p}m",
+    ]
+
+
+def _list(values: list[str]) -> str:
+    return ", ".join(quoted(v) for v in values)
+
+
+def _build(s: str, n: str, path: str, q: str, f: str) -> str:
+    lead = f"if({path} <> '' AND NOT startswith({path}, '/'), concat('/', {path}), {path})"
+    return (
+        f"concat(if({s} <> '', concat({s}, ':'), ''), "
+        f"CASE WHEN {n} <> '' THEN concat('//', {n}, {lead}) "
+        f"WHEN startswith({path}, '//') THEN concat('//', {path}) "
+        f"WHEN {s} <> '' AND {s} IN ({_list(AUTHORITY_SCHEMES)}) AND ({path} = '' OR startswith({path}, '/')) "
+        f"THEN concat('//', {path}) ELSE {path} END, "
+        f"if({q} <> '', concat('?', {q}), ''), if({f} <> '', concat('#', {f}), ''))"
     )
 
 
-def _resolve_dots(path: Column, relative: Column) -> Column:
-    """Remove dot segments; only paths that hold any pay for it.
+def _resolved(path: str, rooted: str) -> str:
+    """SQL that removes dot segments; only paths that hold any pay for it.
 
     Inner empty segments of a path merged with its base are dropped as well.
     """
-    segments = F.split(path, "/")
-    n = F.size(segments)
-    inner = F.filter(F.slice(segments, 2, F.greatest(n - 2, F.lit(0))), lambda s: s != "")
-    kept = F.when(
-        relative & (n > 2), F.concat(F.slice(segments, 1, 1), inner, F.slice(segments, -1, 1))
-    ).otherwise(segments)
-
-    def step(acc: Column, seg: Column) -> Column:
-        return (
-            F.when(seg == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
-            .when(seg == ".", acc)
-            .otherwise(F.concat(acc, F.array(seg)))
-        )
-
-    done = F.aggregate(kept, F.array().cast("array<string>"), step)
-    folder = F.element_at(segments, -1).isin(".", "..")
-    done = F.when(folder, F.concat(done, F.array(F.lit("")))).otherwise(done)
-    messy = path.rlike(_DOT_SEGMENT) | (relative & F.contains(path, F.lit("//")))
-    out = F.when(messy, F.array_join(done, "/")).otherwise(path)
-    return F.coalesce(F.nullif(out, F.lit("")), F.lit("/"))
+    parts = f"split({path}, '/', -1)"
+    inner = f"filter(slice({parts}, 2, greatest(size({parts}) - 2, 0)), x -> x <> '')"
+    kept = (
+        f"if(NOT {rooted} AND size({parts}) > 2, "
+        f"concat(slice({parts}, 1, 1), {inner}, slice({parts}, -1, 1)), {parts})"
+    )
+    step = (
+        "CASE WHEN x = '..' THEN slice(acc, 1, greatest(size(acc) - 1, 0)) "
+        "WHEN x = '.' THEN acc ELSE concat(acc, array(x)) END"
+    )
+    done = f"aggregate({kept}, CAST(array() AS array<string>), (acc, x) -> {step})"
+    closed = f"if(element_at({parts}, -1) IN ('.', '..'), concat({done}, array('')), {done})"
+    messy = f"{path} RLIKE {quoted(_DOT_SEGMENT)} OR (NOT {rooted} AND contains({path}, '//'))"
+    return f"coalesce(nullif(if({messy}, array_join({closed}, '/'), {path}), ''), '/')"
 
 
 def with_join(df: DataFrame, url: str, base: str, out: str, *, fragment: bool = True) -> DataFrame:
@@ -137,54 +126,50 @@ def with_join(df: DataFrame, url: str, base: str, out: str, *, fragment: bool =
     ``base`` may be a bare file path.  With ``fragment=False`` the result is
     rebuilt without its fragment, whatever the reference was.
     """
-    keep = df.columns
-    df = _with_parts(_with_parts(df, base, "_z"), url, "_a", "_zs")
-    a = {k: F.col(f"_a{k}") for k in "snpqfm"}
-    z = {k: F.col(f"_z{k}") for k in "snpqf"}
-    df = df.withColumn("_s", F.when(a["s"] != "", a["s"]).otherwise(z["s"]))
-    s = F.col("_s")
+    keep = [c for c in df.columns if c != out]
+    f = "_af" if fragment else "''"
     # path parameters take no part in resolution
-    df = df.withColumn("_own", F.substring(a["p"], F.lit(1), F.length(a["p"]) - F.length(a["m"])))
-    foreign = (s != z["s"]) | ~s.isin(RELATIVE_SCHEMES)
-    folder = F.when(z["p"] == "", "/").otherwise(
-        F.substring(z["p"], F.lit(1), F.length(z["p"]) - F.length(F.substring_index(z["p"], "/", -1)))
-    )
-    rooted = F.startswith(F.col("_own"), F.lit("/"))
-    df = df.withColumn("_merged", F.when(rooted, F.col("_own")).otherwise(F.concat(folder, F.col("_own"))))
-    df = df.withColumn(
-        "_path",
-        F.when(a["n"] != "", a["p"])
-        .when(a["p"] == "", z["p"])
-        .otherwise(F.concat(_resolve_dots(F.col("_merged"), ~rooted), a["m"])),
-    )
-    f = a["f"] if fragment else F.lit("")
-    query = F.when((a["n"] == "") & (a["p"] == "") & (a["q"] == ""), z["q"]).otherwise(a["q"])
-    joined = _build(s, F.when(a["n"] != "", a["n"]).otherwise(z["n"]), F.col("_path"), query, f)
-    alone = _build(a["s"], a["n"], a["p"], a["q"], f)
+    columns = [
+        *_parts(base, "_z", "''"),
+        *_parts(url, "_a", "_zs"),
+        "if(_as <> '', _as, _zs) AS _s",
+        "substring(_ap, 1, length(_ap) - length(_am)) AS _own",
+        "startswith(_own, '/') AS _rooted",
+        "if(_zp = '', '/', substring(_zp, 1, length(_zp) - length(substring_index(_zp, '/', -1)))) AS _dir",
+        "if(_rooted, _own, concat(_dir, _own)) AS _merged",
+        "if(_an <> '', _an, _zn) AS _site",
+        "if(_an = '' AND _ap = '' AND _aq = '', _zq, _aq) AS _query",
+        f"CASE WHEN _an <> '' THEN _ap WHEN _ap = '' THEN _zp ELSE concat({_resolved('_merged', '_rooted')}, _am) END AS _path",
+        f"_s <> _zs OR _s NOT IN ({_list(RELATIVE_SCHEMES)}) AS _foreign",
+    ]
+    joined = _build("_s", "_site", "_path", "_query", f)
     if fragment:
         value = (
-            F.when(F.col(base) == "", F.col(url)).when(F.col(url) == "", F.col(base))
-            .when(foreign, F.col(url)).otherwise(joined)
+            f"CASE WHEN {base} = '' THEN {url} WHEN {url} = '' THEN {base} "
+            f"WHEN _foreign THEN {url} ELSE {joined} END"
         )
     else:
-        value = F.when(F.col(base) == "", alone).when(foreign, alone).otherwise(joined)
-    return df.withColumn(out, value).select(*[c for c in keep if c != out], out)
+        value = f"CASE WHEN {base} = '' OR _foreign THEN {_build('_as', '_an', '_ap', '_aq', f)} ELSE {joined} END"
+    # The one-element generate keeps later filters on ``out`` above these projections;
+    # pushed below, they would repeat the whole computation for every use of ``out``.
+    return df.selectExpr("*", *columns).select(*keep, F.explode_outer(F.array(F.expr(value))).alias(out))
 
 
-def with_normalized(df: DataFrame, url: str, base: str, out: str, strip) -> DataFrame:
+def with_normalized(df: DataFrame, url: str, base: str, out: str) -> DataFrame:
     """Add ``out``: ``url`` trimmed, without closing punctuation, absolute, without fragment.
 
-    ``strip`` is the trimming to use.  ``//host`` takes the scheme of the base;
-    values that already start with http, https, ws or wss are only rebuilt.
+    ``//host`` takes the scheme of the base; values that already start with http,
+    https, ws or wss are only rebuilt.
     """
     # Punctuation dropped at the end, prefixes that are kept as they are.
-    trimmed = F.rtrim(strip(F.col(url)), F.lit(".,;:"))
-    df = df.withColumn("_v", trimmed)
-    df = df.withColumn("_bs", scheme(F.ltrim(F.col(base), F.lit(CONTROL_OR_SPACE))))
-    df = df.withColumn("_v", F.when(F.startswith(F.col("_v"), F.lit("//")),
-                                    F.concat(F.col("_bs"), F.lit(":"), F.col("_v"))).otherwise(F.col("_v")))
-    whole = F.col("_v").rlike("^(?:https?|wss?)://")
-    # resolving an absolute value against an empty base rebuilds it unchanged
-    df = df.withColumn("_base", F.when(whole | (F.col("_v") == ""), "").otherwise(F.col(base)))
-    df = df.withColumn("_ref", F.when(F.col("_v") == "", F.col(base)).otherwise(F.col("_v")))
-    return with_join(df, "_ref", "_base", out, fragment=False).drop("_v", "_bs", "_base", "_ref")
+    control = quoted(CONTROL_OR_SPACE)
+    staged = df.selectExpr(
+        "*",
+        f"rtrim('.,;:', btrim({url}, {quoted(WHITESPACE)})) AS _t",
+        f"lower(regexp_extract(ltrim({control}, {base}), '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) AS _bs",
+        "if(startswith(_t, '//'), concat(_bs, ':', _t), _t) AS _v",
+        # resolving an absolute value against an empty base rebuilds it unchanged
+        f"if(_v RLIKE '^(?:https?|wss?)://' OR _v = '', '', {base}) AS _base",
+        f"if(_v = '', {base}, _v) AS _ref",
+    )
+    return with_join(staged, "_ref", "_base", out, fragment=False).drop("_t", "_bs", "_v", "_base", "_ref")

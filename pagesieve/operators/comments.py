@@ -14,6 +14,7 @@ from pagesieve.catalog.languages import (
     line_markers,
     token,
 )
+from pagesieve.functions.regex import lookup, quoted
 from pagesieve.functions.scan import scan
 from pagesieve.functions.text import basename, count_newlines, slug, strip, suffix
 
@@ -35,35 +36,21 @@ def detect_language(corpus: DataFrame, *, path: str = "path") -> DataFrame:
     name = F.lower(basename(F.col(path)))
     marked = corpus.withColumn("_name", name).withColumn("_ext", suffix(name))
     joined = marked.join(F.broadcast(by_name), "_name", "left").join(F.broadcast(by_ext), "_ext", "left")
-    titles = F.create_map(*[F.lit(x) for lang in LANGUAGES for x in (lang.key, lang.name)])
+    titles = F.create_map(*[F.lit(x) for lang in LANGUAGES for x in (lang.key, lang.name)])  # fixed
     return joined.withColumn("lang_key", F.coalesce("_ln", "_le")).withColumn(
         "language", F.try_element_at(titles, F.col("lang_key"))
     ).drop("_name", "_ext", "_ln", "_le")
 
 
-def _opener_length(hit: Column, lang: Language) -> Column:
-    """Length of the comment marker a token starts with; null for strings."""
-    out = F.lit(None).cast("int")
-    marks = [(start, len(start)) for start, _ in block_markers(lang)] + [(m, len(m)) for m in line_markers(lang)]
-    for mark, width in reversed(marks):
-        out = F.when(F.startswith(hit, F.lit(mark)), width).otherwise(out)
-    return out
-
+def _marks(lang: Language) -> dict[str, object]:
+    """Comment markers of ``lang``, longest first: start, end (empty for line comments)."""
+    pairs = [*block_markers(lang), *[(m, "") for m in line_markers(lang)]]
+    marks = ", ".join(f"named_struct('start', {quoted(s)}, 'end', {quoted(e)})" for s, e in pairs)
+    return {"name": lang.name, "marks": _Sql(f"array({marks})")}
 
-def _closer_length(hit: Column, lang: Language) -> Column:
-    """Length of the end marker of a closed block token, 0 if it runs to the end, null otherwise."""
-    out = F.lit(None).cast("int")
-    for start, end in reversed(block_markers(lang)):
-        closed = F.endswith(hit, F.lit(end)) & (F.length(hit) >= len(start) + len(end))
-        out = F.when(F.startswith(hit, F.lit(start)), F.when(closed, len(end)).otherwise(0)).otherwise(out)
-    return out
 
-
-def _per_language(k: Column, of) -> Column:
-    out = F.when(k == 0, of(LANGUAGES[0]))
-    for i, lang in enumerate(LANGUAGES[1:], start=1):
-        out = out.when(k == i, of(lang))
-    return out
+class _Sql(str):
+    """SQL text that is not a string value."""
 
 
 def comments(
@@ -82,15 +69,18 @@ def comments(
     keys = F.create_map(*[F.lit(x) for i, lang in enumerate(LANGUAGES) for x in (lang.key, i)])
     pick = F.array(F.try_element_at(keys, F.col("lang_key")))
     found = scan(docs, "_text", [token(lang) for lang in LANGUAGES], pick=pick, keep=["path", "language"])
-    k, hit = F.col("rx"), F.col("hit")
-    found = found.withColumn("_open", _per_language(k, lambda g: _opener_length(hit, g)))
-    found = found.filter(F.col("_open").isNotNull())
-    found = found.withColumn("_close", _per_language(k, lambda g: _closer_length(hit, g)))
-    block = F.col("_close").isNotNull()
-    ended = F.when(block, F.col("_close") > 0).otherwise(F.endswith(hit, F.lit("\n")))
+    found = found.withColumn("_lang", lookup("rx", [_marks(lang) for lang in LANGUAGES]))
+    # the marker a token starts with; strings start with none and drop out
+    found = found.withColumn("_mark", F.expr("get(filter(_lang.marks, x -> startswith(hit, x.start)), 0)"))
+    found = found.filter("_mark IS NOT NULL")
+    hit, opened = F.col("hit"), F.length("_mark.start")
+    block = F.col("_mark.end") != ""
+    closed = block & F.endswith(hit, F.col("_mark.end")) & (F.length(hit) >= opened + F.length("_mark.end"))
+    ended = F.when(block, closed).otherwise(F.endswith(hit, F.lit("\n")))
     # a comment cut off by the end of the text counts only if it holds anything
-    found = found.filter(ended | (F.length(hit) > F.col("_open")))
-    body = F.substring(hit, F.col("_open") + 1, F.length(hit) - F.col("_open") - F.coalesce("_close", F.lit(0)))
+    found = found.filter(ended | (F.length(hit) > opened))
+    close = F.when(closed, F.length("_mark.end")).otherwise(0)
+    body = F.substring(hit, opened + 1, F.length(hit) - opened - close)
     out = found.select(
         "path", "language", F.col("line").alias("line_start"),
         (F.col("line") + F.when(block, count_newlines(hit)).otherwise(0)).alias("line_end"),

@@ -15,7 +15,7 @@ from pagesieve.catalog.endpoint_types import (
     REJECT_AT_START,
     STATIC_ASSET,
 )
-from pagesieve.functions.regex import Rx
+from pagesieve.functions.regex import Rx, lookup
 from pagesieve.functions.scan import scan
 from pagesieve.functions.text import strip
 from pagesieve.functions.url import with_normalized
@@ -68,10 +68,9 @@ def endpoints(
         before=METHOD_WINDOW if method else CONTEXT_WINDOW if context else 0,
         after=CONTEXT_WINDOW if context else 0,
     ).filter(is_endpoint(F.col("value"), drop_static_assets))
-    found = with_normalized(found, "value", "source_file", "url", strip)
+    found = with_normalized(found, "value", "source_file", "url")
     found = found.filter(is_endpoint(F.col("url"), drop_static_assets))
-    names = F.array(*[F.lit(name) for _, name, _ in chosen])
-    ords = F.array(*[F.lit(k) for k, _, _ in chosen])
+    found = found.withColumn("_type", lookup("rx", [{"name": name, "ord": k} for k, name, _ in chosen]))
     around = F.concat(F.substring("before", -CONTEXT_WINDOW, CONTEXT_WINDOW), "hit", "after")
     return found.select(
         "source_file",
@@ -79,8 +78,8 @@ def endpoints(
         F.col("line").alias("line_number"),
         (F.replace(around, F.lit("\n"), F.lit(" ")) if context else F.lit(None).cast("string")).alias("context"),
         (method_before(F.col("before")) if method else F.lit(None).cast("string")).alias("method"),
-        F.get(names, F.col("rx")).alias("endpoint_type"),
-        F.get(ords, F.col("rx")).alias("pattern_ord"),
+        F.col("_type.name").alias("endpoint_type"),
+        F.col("_type.ord").alias("pattern_ord"),
         F.col("off").alias("offset"),
     )
 

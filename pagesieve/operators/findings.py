@@ -18,9 +18,9 @@ from pagesieve.catalog.vuln_rules import (
     Rule,
     rules,
 )
-from pagesieve.functions.regex import glob_to_regex
+from pagesieve.functions.regex import glob_to_regex, lookup, quoted
 from pagesieve.functions.scan import FENCE, scan
-from pagesieve.functions.text import basename, split_universal, strip
+from pagesieve.functions.text import WHITESPACE, basename, split_universal
 
 COLUMNS = ["rule_id", "severity", "file", "line", "column", "snippet", "rule_ord", "offset"]
 
@@ -30,8 +30,9 @@ def rank(severity: Column) -> Column:
     return F.try_element_at(F.create_map(*table), severity)
 
 
-def has_hint(line: Column) -> Column:
-    return reduce(lambda a, b: a | b, [F.contains(line, F.lit(h)) for h in TAINT_HINTS])
+def has_hint(line: str) -> str:
+    """SQL test for any hint of user-controlled data."""
+    return "(" + " OR ".join(f"contains({line}, {quoted(h)})" for h in TAINT_HINTS) + ")"
 
 
 def _is_old(hit: Column, below: tuple[int, int, int]) -> Column:
@@ -69,19 +70,12 @@ def findings(
 
 def _scan_rules(docs: DataFrame, chosen: list[Rule]) -> DataFrame:
     docs = docs.withColumn("_lines", split_universal(F.col("_text")))
-    tainted = any(r.taint for r in chosen)
-    if tainted:
-        flags = F.when(has_hint(F.col("_text")), F.transform("_lines", has_hint))
-        docs = docs.withColumn("_hints", F.coalesce(flags, F.array().cast("array<boolean>")))
-
-    def derive(m: Column) -> dict[str, Column]:
-        line = m["line"]
-        out = {"snippet": F.substring(strip(F.coalesce(F.get(F.col("_lines"), line - 1), F.lit(""))), 1, SNIPPET)}
-        if tainted:
-            first = F.greatest(line - TAINT_BEFORE, F.lit(1))
-            near = F.slice(F.col("_hints"), first, line + TAINT_AFTER - first + 1)
-            out["hinted"] = F.exists(near, lambda h: h)
-        return out
+    derive = {"snippet": f"substring(btrim(coalesce(get(_lines, m.line - 1), ''), {quoted(WHITESPACE)}), 1, {SNIPPET})"}
+    if any(r.taint for r in chosen):
+        flags = f"if({has_hint('_text')}, transform(_lines, x -> {has_hint('x')}), array())"
+        docs = docs.withColumn("_hints", F.expr(flags))
+        first = f"greatest(m.line - {TAINT_BEFORE}, 1)"
+        derive["hinted"] = f"exists(slice(_hints, {first}, m.line + {TAINT_AFTER} - {first} + 1), x -> x)"
 
     found = scan(docs, "_text", [r.rx for r in chosen], derive=derive, keep=["file"])
     for k, r in enumerate(chosen):
@@ -91,13 +85,8 @@ def _scan_rules(docs: DataFrame, chosen: list[Rule]) -> DataFrame:
     if needs_hint:
         found = found.filter(~F.col("rx").isin(needs_hint) | F.col("hinted"))
     order = [r.rule_id for r in rules()] + [WITH_RULE.rule_id]
-    attributes = F.get(
-        F.array(*[
-            F.struct(F.lit(r.rule_id).alias("id"), F.lit(r.severity).alias("severity"),
-                     F.lit(order.index(r.rule_id)).alias("ord"))
-            for r in chosen
-        ]),
-        F.col("rx"),
+    attributes = lookup(
+        "rx", [{"id": r.rule_id, "severity": r.severity, "ord": order.index(r.rule_id)} for r in chosen]
     )
     return found.withColumn("_r", attributes).select(
         F.col("_r.id").alias("rule_id"), F.col("_r.severity").alias("severity"), "file", "line",

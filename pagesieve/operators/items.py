@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagesieve.catalog.js_categories import CATEGORIES, CONFIDENCE_RANK, WHOLE_TEXT, detectors
-from pagesieve.functions.regex import Rx
+from pagesieve.functions.regex import Rx, lookup
 from pagesieve.functions.scan import extract_values, scan
 from pagesieve.functions.text import clean_value, split_lines, strip, truncate
 from pagesieve.operators.endpoints import first_by
@@ -77,12 +77,10 @@ def js_items(
 
 def _attributes(table: list[tuple]) -> Column:
     """Catalog columns of a match, looked up by the ordinal of its expression."""
-    rows = F.array(*[
-        F.struct(F.lit(c).alias("category"), F.lit(co).alias("category_ord"),
-                 F.lit(k).alias("pattern_ord"), F.lit(conf).alias("confidence"))
+    return lookup("rx", [
+        {"category": c, "category_ord": co, "pattern_ord": k, "confidence": conf}
         for c, co, k, _, conf in table
     ])
-    return F.get(rows, F.col("rx"))
 
 
 def _line_items(docs, table, min_length, max_length, excluded, context) -> DataFrame:
@@ -124,11 +122,11 @@ def _whole_text_items(docs, category, max_length, excluded) -> DataFrame:
     for p in excluded:
         found = found.filter(~F.col("_v").rlike(p))
     value = truncate(F.col("_v"), max_length)
-    confidences = F.array(*[F.lit(conf) for _, conf in specs])
+    confidence = lookup("rx", [{"confidence": conf} for _, conf in specs])
     return found.withColumn("value", value).select(
         "path", F.lit(category).alias("category"), "value", F.col("line").alias("line_number"),
         truncate(F.col("value"), 200).alias("context"),
-        F.get(confidences, F.col("rx")).alias("confidence"),
+        confidence["confidence"].alias("confidence"),
         F.lit(CATEGORIES.index(category)).alias("category_ord"),
         F.col("rx").alias("pattern_ord"), F.col("nth").alias("match_ord"),
     )

@@ -219,7 +219,7 @@ def _references(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", base.alias("base"), F.posexplode_outer(F.array(*forms)).alias("form", "ref"))
 
 
-on("url_normalize", "pages", lambda p: with_normalized(_references(p), "ref", "base", "resolved", T.strip).select(
+on("url_normalize", "pages", lambda p: with_normalized(_references(p), "ref", "base", "resolved").select(
     "page_id", "form", "base", "resolved"))
 on("url_join", "pages", lambda p: with_join(_references(p), "ref", "base", "resolved").select(
     "page_id", "form", "base", "resolved"))

@@ -10,8 +10,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 
 def read_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Parquet files of ``path`` as they arrive."""
-    return spark.readStream.schema(schema).parquet(path)
+    """Parquet files of ``path`` as they arrive; the table may be one file or a folder."""
+    return spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def write_stream(df: DataFrame, out: str, checkpoint: str, *, mode: str = "append") -> StreamingQuery:
