@@ -83,8 +83,8 @@ def token(lang: Language) -> Rx:
         jvm.append(f"{guard}{_lit(marker)}[^\\n]*+\\n?")
         plain.append(f"{_lit(marker)}[^\\n]*\\n?")
     for delimiter in sorted(lang.strings, key=len, reverse=True):
-        jvm.append(_string(delimiter, lang.escape, "+"))
-        plain.append(_string(delimiter, lang.escape, ""))
+        jvm.append(_string(delimiter, lang.escape))
+        plain.append(_plain_string(delimiter, lang.escape))
     openers = [start for start, _ in block_markers(lang)] + line_markers(lang)
     return Rx("|".join(plain), tuple(openers), "", "|".join(jvm))
 
@@ -93,14 +93,21 @@ def _lit(text: str) -> str:
     return re.escape(text)
 
 
-def _string(delimiter: str, escape: str, possessive: str) -> str:
-    d, c = _lit(delimiter), _lit(delimiter[0])
-    inner = f"[^{c}{_lit(escape) if escape else ''}]+{possessive}"
-    parts = [inner]
+def _string(delimiter: str, escape: str) -> str:
+    """A string for the JVM: possessive, so it neither recurses nor backtracks."""
+    d, c, e = _lit(delimiter), _lit(delimiter[0]), _lit(escape)
+    parts = [f"[^{c}{e}]++"]
     if len(delimiter) > 1:
-        again = _lit(delimiter[1:])
-        parts.append(f"{c}(?!{again})")
+        parts.append(f"{c}(?!{_lit(delimiter[1:])})")
     if escape:
-        parts.append(f"(?s:{_lit(escape)}.)")
-    tail = f"{_lit(escape)}?\\z" if escape else "\\z"
-    return f"{d}(?:{'|'.join(parts)})*{possessive}(?:{d}|{tail})"
+        parts.append(f"(?s:{e}.)")
+    end = f"{e}?\\z" if escape else "\\z"
+    return f"{d}(?:{'|'.join(parts)})*+(?:{d}|{end})"
+
+
+def _plain_string(delimiter: str, escape: str) -> str:
+    """The same, as the shortest run of characters and escapes up to the delimiter."""
+    d, e = _lit(delimiter), _lit(escape)
+    if not escape:
+        return f"{d}(?s:.*?)(?:{d}|\\z)"
+    return f"{d}(?s:(?:[^{e}]|{e}.)*?)(?:{d}|{e}?\\z)"
