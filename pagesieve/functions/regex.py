@@ -9,8 +9,11 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
+from re import _parser
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -61,23 +64,58 @@ def quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def may_match(rx: Rx, text: str, lowered: str) -> str:
+# Signs that code is full of and prose is not; the first entry stands for either quote.
+SIGNS = ["\"'", "(", "=", "{", ":", "/", "@", "`", "$", "_"]
+
+
+def _required(parsed) -> set[str]:
+    """Signs that every match of a parsed expression contains."""
+    found: set[str] = set()
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            found |= {s for s in SIGNS if chr(arg) in s}
+        elif name == "IN":
+            members = {chr(v) if str(o) == "LITERAL" else None for o, v in arg}
+            found |= {s for s in SIGNS if members <= set(s)}
+        elif name == "SUBPATTERN":
+            found |= _required(arg[-1])
+        elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT") and arg[0] > 0:
+            found |= _required(arg[2])
+        elif name == "BRANCH":
+            found |= set.intersection(*[_required(a) for a in arg[1]])
+    return found
+
+
+def required_signs(rx: Rx) -> list[int]:
+    """Positions in ``SIGNS`` of what any match must contain."""
+    found = _required(_parser.parse(rx.pattern))
+    return [k for k, s in enumerate(SIGNS) if s in found]
+
+
+def _may_match(rx: Rx, text: str) -> str:
     """Cheap necessary condition for ``rx`` to match column ``text``, as SQL."""
-    if not rx.needs:
-        return "true"
-    if rx.ignore_case:
-        return " OR ".join(f"contains({lowered}, {quoted(n.lower())})" for n in rx.needs)
-    return " OR ".join(f"contains({text}, {quoted(n)})" for n in rx.needs)
+    tests = [f"_sign{k}" for k in required_signs(rx)]
+    where, words = ("_low", [n.lower() for n in rx.needs]) if rx.ignore_case else (text, rx.needs)
+    known = {c for k in required_signs(rx) for c in SIGNS[k]}
+    if words and not set(words) <= known:  # words that are just those signs are settled
+        tests.append("(" + " OR ".join(f"contains({where}, {quoted(w)})" for w in words) + ")")
+    return " AND ".join(tests) or "true"
 
 
-def candidates(rxs: list[Rx], text: str, lowered: str) -> Column:
-    """Ordinals of the expressions that column ``text`` could match, as an array.
+def with_candidates(df: DataFrame, text: str, rxs: list[Rx]) -> DataFrame:
+    """Add ``_pick``: ordinals of the expressions that column ``text`` could match.
 
-    Long catalogs are stated as SQL text: it is one expression to hand over
-    instead of thousands of small ones.
+    A few signs are looked for once per text and rule most expressions out of
+    prose; the rest is decided by their own words.  Long catalogs are stated as
+    SQL text: one expression to hand over instead of thousands of small ones.
     """
-    tests = ", ".join(f"CASE WHEN {may_match(r, text, lowered)} THEN {k} END" for k, r in enumerate(rxs))
-    return F.expr(f"array_compact(array({tests}))")
+    used = sorted({k for r in rxs for k in required_signs(r)})
+    signs = {f"_sign{k}": reduce(or_, [F.contains(text, F.lit(c)) for c in SIGNS[k]]) for k in used}
+    if any(r.ignore_case for r in rxs):
+        signs["_low"] = F.lower(text)
+    tests = ", ".join(f"CASE WHEN {_may_match(r, text)} THEN {k} END" for k, r in enumerate(rxs))
+    return (df.withColumns(signs) if signs else df).withColumn("_pick", F.expr(f"array_compact(array({tests}))"))
 
 
 def dispatch(ordinal: str, branches: list[str]) -> str:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagesieve.functions.regex import Rx, candidates, dispatch, quoted
+from pagesieve.functions.regex import Rx, dispatch, quoted, with_candidates
 
 # A Unicode noncharacter: never valid in interchanged text.
 FENCE = "\ufdd0"
@@ -88,6 +88,7 @@ def scan(
     before: int = 0,
     after: int = 0,
     pick: Column | None = None,
+    prepare: dict[str, str] | None = None,
     derive: dict[str, str] | None = None,
     keep: list[str] | None = None,
 ) -> DataFrame:
@@ -97,18 +98,17 @@ def scan(
     (match number within it), ``off`` (0-based), ``line`` and ``col`` (1-based),
     ``hit``, ``value`` (group 1 or the whole match), ``before`` and ``after``
     (surrounding text up to the given widths) and the ``derive`` columns: SQL over
-    the match ``m`` and the columns of ``df``.  ``pick`` replaces the substring
-    tests by an own array of ordinals.  Rows keep the input partitioning; there
+    the match ``m``, the columns of ``df`` and those of ``prepare``, which are worked
+    out once per text that may match at all.  ``pick`` replaces the substring tests
+    by an own array of ordinals.  Rows keep the input partitioning; there
     is no shuffle.
     """
     keep = keep if keep is not None else [c for c in df.columns if c != text]
-    new = {}
-    if any(r.ignore_case for r in rxs) and pick is None:
-        df = df.withColumn("_low", F.lower(text))
-    new["_pick"] = candidates(rxs, text, "_low") if pick is None else pick
+    df = with_candidates(df, text, rxs) if pick is None else df.withColumn("_pick", pick)
     clean = F.translate(text, FENCE, "\ufffd")
-    new[text] = F.when(F.contains(text, F.lit(FENCE)), clean).otherwise(F.col(text))
-    df = df.withColumns(new)
+    df = df.withColumn(text, F.when(F.contains(text, F.lit(FENCE)), clean).otherwise(F.col(text)))
+    for name, sql in (prepare or {}).items():
+        df = df.withColumn(name, F.expr(f"if(size(_pick) > 0, {sql}, NULL)"))
 
     fields = {
         "rx": "k", "nth": "m.idx", "off": "m.off", "line": "m.line", "col": "m.col",
@@ -132,9 +132,8 @@ def extract_values(
     become rows, then each row runs just its own expression.
     """
     keep = keep if keep is not None else [c for c in df.columns if c != text]
-    if any(r.ignore_case for r in rxs):
-        df = df.withColumn("_low", F.lower(text))
-    routed = df.select(*keep, F.col(text).alias("_t"), F.explode_outer(candidates(rxs, text, "_low")).alias("rx"))
+    df = with_candidates(df, text, rxs)
+    routed = df.select(*keep, F.col(text).alias("_t"), F.explode_outer("_pick").alias("rx"))
     hits = dispatch("rx", [f"regexp_extract_all(_t, {quoted(r.jvm())}, {r.value_group})" for r in rxs])
     found = routed.filter("rx IS NOT NULL").select(*keep, "rx", F.expr(f"posexplode_outer({hits})").alias("nth", "value"))
     return found.filter("value IS NOT NULL")

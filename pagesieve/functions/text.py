@@ -27,9 +27,11 @@ def split_lines(c: Column) -> Column:
     return F.split(c, "\n")
 
 
-def split_universal(c: Column) -> Column:
-    """Lines by any line boundary; the plain newline split covers nearly all texts."""
-    return F.when(c.rlike(NON_NEWLINE_BREAK), F.split(c, LINE_BREAKS)).otherwise(F.split(c, "\n"))
+# SQL for lines by any line boundary; the plain newline split covers nearly all texts.
+UNIVERSAL_LINES = (
+    "if({0} RLIKE '" + NON_NEWLINE_BREAK.replace("\\", "\\\\") + "', "
+    "split({0}, '" + LINE_BREAKS.replace("\\", "\\\\") + "', -1), split({0}, '\\n', -1))"
+)
 
 
 def count_newlines(c: Column) -> Column:

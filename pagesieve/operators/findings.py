@@ -20,7 +20,7 @@ from pagesieve.catalog.vuln_rules import (
 )
 from pagesieve.functions.regex import glob_to_regex, lookup, quoted
 from pagesieve.functions.scan import FENCE, scan
-from pagesieve.functions.text import WHITESPACE, basename, split_universal
+from pagesieve.functions.text import UNIVERSAL_LINES, WHITESPACE, basename
 
 COLUMNS = ["rule_id", "severity", "file", "line", "column", "snippet", "rule_ord", "offset"]
 
@@ -69,15 +69,14 @@ def findings(
 
 
 def _scan_rules(docs: DataFrame, chosen: list[Rule]) -> DataFrame:
-    docs = docs.withColumn("_lines", split_universal(F.col("_text")))
+    prepare = {"_lines": UNIVERSAL_LINES.format("_text")}
     derive = {"snippet": f"substring(btrim(coalesce(get(_lines, m.line - 1), ''), {quoted(WHITESPACE)}), 1, {SNIPPET})"}
     if any(r.taint for r in chosen):
-        flags = f"if({has_hint('_text')}, transform(_lines, x -> {has_hint('x')}), array())"
-        docs = docs.withColumn("_hints", F.expr(flags))
+        prepare["_hints"] = f"if({has_hint('_text')}, transform(_lines, x -> {has_hint('x')}), array())"
         first = f"greatest(m.line - {TAINT_BEFORE}, 1)"
         derive["hinted"] = f"exists(slice(_hints, {first}, m.line + {TAINT_AFTER} - {first} + 1), x -> x)"
 
-    found = scan(docs, "_text", [r.rx for r in chosen], derive=derive, keep=["file"])
+    found = scan(docs, "_text", [r.rx for r in chosen], prepare=prepare, derive=derive, keep=["file"])
     for k, r in enumerate(chosen):
         if r.below:
             found = found.filter((F.col("rx") != k) | _is_old(F.col("hit"), r.below))

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pagesieve.sources.corpus import spread
+
 P = "CAST(page_id AS VARCHAR(20))"
 _TITLE = "replace(regexp_extract(html, '<title>([^<]*)', 1), '@', ' ')"
 HOST = "regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)"
@@ -165,11 +167,19 @@ TABLES = {
 SCOPE = ["*.example.com", "api.*.example.org:8443", "WWW.site1.example.com", "", "# remark"]
 
 
+TEXT_TABLES = ("pages", "documents")
+
+
+def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A given table, or a derived one worked out from the given ones."""
     if name not in TABLES:
-        return spark.read.parquet(f"{folder}/{name}.parquet")
+        return read(spark, folder, name)
     sql, needs = TABLES[name]
     for n in needs:
-        spark.read.parquet(f"{folder}/{n}.parquet").createOrReplaceTempView(n)
+        read(spark, folder, n).createOrReplaceTempView(n)
     return spark.sql(sql)

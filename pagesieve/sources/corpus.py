@@ -17,6 +17,20 @@ def load_tables(spark: SparkSession, folder: str, names: list[str]) -> dict[str,
     return {n: spark.read.parquet(f"{folder}/{n}.parquet") for n in names}
 
 
+def spread(corpus: DataFrame) -> DataFrame:
+    """Give every core a share of a small input.
+
+    Text detectors are bound by CPU, and a small file is read by a single task.
+    Only inputs that fill fewer splits than there are cores are redistributed, so
+    the data moved never exceeds one wave of splits; larger ones stay as they are.
+    """
+    spark = corpus.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = int(str(corpus._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return corpus.repartition(cores) if size < split * cores else corpus
+
+
 def pages_corpus(pages: DataFrame, *, url: str = "url", html: str = "html") -> DataFrame:
     """A crawl table as a corpus."""
     return pages.select(F.col(url).alias("path"), F.col(html).alias("content"), F.lit("html").alias("kind"))
