@@ -16,6 +16,7 @@ from pagesieve.catalog.languages import (
 )
 from pagesieve.functions.regex import lookup, quoted
 from pagesieve.functions.scan import scan
+from pagesieve.functions.totals import size
 from pagesieve.functions.text import basename, count_newlines, slug, strip, suffix
 
 COLUMNS = ["path", "language", "line_start", "line_end", "text", "type", "offset"]
@@ -113,11 +114,12 @@ def select_paths(
 def stats(found: DataFrame, corpus: DataFrame) -> DataFrame:
     """One row: files scanned, files with comments, comments."""
     per_file = found.groupBy("path").agg(F.count("*").alias("n"))
-    hits = per_file.agg(
-        F.count("*").alias("files_with_comments"), F.coalesce(F.sum("n"), F.lit(0)).alias("total_comments")
+    hits = per_file.select(F.lit(0).alias("scanned"), F.lit(1).alias("files"), F.col("n").alias("comments"))
+    scanned = size(corpus).select(F.col("n").alias("scanned"), F.lit(0).alias("files"), F.lit(0).alias("comments"))
+    return scanned.unionByName(hits).agg(
+        F.sum("scanned").alias("files_scanned"), F.sum("files").alias("files_with_comments"),
+        F.sum("comments").alias("total_comments"),
     )
-    # both sides are single rows
-    return corpus.agg(F.count("*").alias("files_scanned")).crossJoin(F.broadcast(hits))
 
 
 def by_language(found: DataFrame) -> DataFrame:
@@ -128,7 +130,10 @@ def by_language(found: DataFrame) -> DataFrame:
 
 
 def per_file(found: DataFrame) -> DataFrame:
-    """Comments of each file as an ordered array; a file's comments fit in its document."""
+    """Comments of each file as an ordered array.
+
+    ``path`` is the key of the corpus, so a group is no larger than one document.
+    """
     packed = F.struct("offset", "line_start", "line_end", "text", "type")
     grouped = found.groupBy("path", "language").agg(F.array_sort(F.collect_list(packed)).alias("comments"))
     return grouped.select("path", "language", F.size("comments").alias("comment_count"), "comments")

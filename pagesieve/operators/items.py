@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pagesieve.catalog.js_categories import CATEGORIES, CONFIDENCE_RANK, WHOLE_TEXT, detectors
 from pagesieve.functions.regex import Rx, lookup
 from pagesieve.functions.scan import extract_values, scan
+from pagesieve.functions.totals import one_row, size
 from pagesieve.functions.text import clean_value, split_lines, strip, truncate
 from pagesieve.operators.endpoints import first_by
 
@@ -172,9 +173,8 @@ def stats(items: DataFrame) -> DataFrame:
 
 def totals(items: DataFrame, corpus: DataFrame, *, text: str = "content") -> DataFrame:
     """Files analysed (blank ones are skipped) and items found, as one row."""
-    files = corpus.agg(F.count_if(strip(F.col(text)) != "").alias("files_analyzed"))
-    # both sides are single rows
-    return files.crossJoin(F.broadcast(items.agg(F.count("*").alias("total_findings"))))
+    files = corpus.agg(F.count_if(strip(F.col(text)) != "").alias("n"))
+    return one_row({"files_analyzed": files, "total_findings": size(items)})
 
 
 def file_sizes(corpus: DataFrame, *, path: str = "path", text: str = "content") -> DataFrame:

@@ -6,14 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The six characters of the obfuscation, and the least length.
-_ONLY_SYMBOLS = r"^[()\[\]!+]+$"
+_ONLY_SYMBOLS = r"(?U)^[\s\uFEFF()\[\]!+]*+$"
+_BLANK = r"(?U)[\s\uFEFF]+"
 MIN_LENGTH = 20
 
 
 def is_obfuscated(text: Column, min_length: int = MIN_LENGTH) -> Column:
-    """Nothing but ``()[]!+`` apart from white space, and longer than ``min_length``."""
-    dense = F.regexp_replace(text, r"(?U)[\s\uFEFF]", "")
-    return (F.length(dense) > min_length) & dense.rlike(_ONLY_SYMBOLS)
+    """Nothing but ``()[]!+`` apart from white space, and longer than ``min_length``.
+
+    With -1 there is no least length and blank texts count as well.  Other texts
+    fail at their first letter, so their length is never worked out.
+    """
+    return text.rlike(_ONLY_SYMBOLS) & (F.length(F.regexp_replace(text, _BLANK, "")) > min_length)
 
 
 def readable(corpus: DataFrame, *, text: str = "content", min_length: int = MIN_LENGTH) -> DataFrame:

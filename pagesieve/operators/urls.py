@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagesieve.functions.text import strip
+from pagesieve.functions.totals import one_row, size
 from pagesieve.functions.url import clean_path, netloc
 
 # What makes a path interesting, and URL categories by extension.
@@ -97,24 +98,17 @@ def parameter_names(urls: DataFrame) -> DataFrame:
 
 
 def summary(urls: DataFrame, scope: list[str] | None = None) -> DataFrame:
-    """One row of counts over the distinct URLs in scope.
-
-    Each distinct count is its own pre-aggregated pass; the single-row results
-    are put side by side.
-    """
+    """One row of counts over the distinct URLs in scope; each distinct count is pre-aggregated."""
     kept = in_scope(urls, scope) if scope is not None else urls
-    dropped = scope_dropped(urls, scope) if scope is not None else None
-    out = kept.agg(F.count("*").alias("total_urls"))
-    parts = [
-        clean_paths(kept).agg(F.count("*").alias("clean_paths")),
-        important_paths(kept).agg(F.count("*").alias("important_paths")),
-        parameter_names(kept).agg(F.count("*").alias("unique_parameters")),
-        dropped if dropped is not None else None,
-    ]
-    for p in parts:
-        if p is not None:
-            out = out.crossJoin(F.broadcast(p))  # single rows on both sides
-    return out if dropped is not None else out.withColumn("out_of_scope_dropped", F.lit(0).cast("long"))
+    counts = {
+        "total_urls": size(kept),
+        "clean_paths": size(clean_paths(kept)),
+        "important_paths": size(important_paths(kept)),
+        "unique_parameters": size(parameter_names(kept)),
+    }
+    if scope is not None:
+        return one_row({**counts, "out_of_scope_dropped": scope_dropped(urls, scope)})
+    return one_row(counts).withColumn("out_of_scope_dropped", F.lit(0).cast("long"))
 
 
 def substitute_parameters(urls: DataFrame, marker: str) -> DataFrame:

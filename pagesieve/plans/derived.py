@@ -115,9 +115,9 @@ SELECT concat(CASE WHEN c_custkey % 4 = 0 THEN 'http' ELSE 'https' END, '://', C
  CASE c_custkey % 8 WHEN 0 THEN '/api/v1/x.json' WHEN 1 THEN '/admin' WHEN 2 THEN '/a/b.php' WHEN 3 THEN '/static/app.js' WHEN 4 THEN '/.env' WHEN 5 THEN '/backup.sql' WHEN 6 THEN '/login/' ELSE '/' END,
  CASE WHEN c_custkey % 5 < 2 THEN concat('?id=', CAST(c_custkey AS VARCHAR(20)), '&sort-by=n') WHEN c_custkey % 5 = 2 THEN '#frag' ELSE '' END) AS url FROM customer"""
 
-LINK_EDGES = """
-SELECT page_id AS src, (page_id * 7 + t.k) % (SELECT count(*) FROM pages) AS dst
-FROM pages CROSS JOIN (VALUES (1), (2), (3)) AS t(k)"""
+LINK_EDGES = " UNION ALL ".join(
+    f"SELECT page_id AS src, (page_id * 7 + {k}) % (SELECT count(*) FROM pages) AS dst FROM pages" for k in (1, 2, 3)
+)
 
 # One row per language: file type, line marker, block markers, quote, escape.
 _LANGUAGE_ROWS = [

@@ -494,7 +494,7 @@ def build() -> None:
     put("html_escape", f"SELECT page_id, {escaped} AS escaped FROM pages")
     body = f"CASE WHEN length(content) % 40 < 12 THEN repeat('[]! +()' || {NL}, length(content) % 7) ELSE content END"
     dense = f"regexp_replace({body}, '[[:space:]]', '', 'g')"
-    only = f"regexp_matches({dense}, '^[][()!+]+$')"
+    only = f"regexp_matches({dense}, '^[][()!+]*$')"
     put("jsfuck_gate", f"SELECT path, (length({dense}) > 20 AND {only}) AS obfuscated, {only} AS symbols_only FROM {js}")
     put("js_file_select", f"SELECT path FROM (SELECT url || CASE WHEN length(url) % 2 = 0 THEN '.map' ELSE '' END AS path FROM {urls}) WHERE ends_with(path, '.js')")
     # the whole chain
