@@ -26,7 +26,8 @@ def differences(responses: DataFrame, salts: int = SALTS) -> DataFrame:
         .filter(F.col("lo") != F.col("hi")).select("base_url")
     )
     pairs = rows.select("base_url", "url").distinct()
-    return salted_join(pairs, changed, "base_url", ["url"], "left_semi", salts)
+    # inner rather than semi: a semi join would be pushed below the distinct, onto all responses
+    return salted_join(pairs, changed, "base_url", ["url"], "inner", salts).select("base_url", "url")
 
 
 def online(urls: DataFrame, responses: DataFrame, status: str = "200") -> DataFrame:

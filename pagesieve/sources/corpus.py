@@ -7,9 +7,15 @@ from pyspark.sql import functions as F
 
 from pagesieve.functions.text import basename, strip, suffix
 
-# Script extensions, folders left out, bytes looked at for a NUL.
-SCRIPT_EXTENSIONS = [".js", ".mjs", ".cjs", ".jsx", ".ts", ".tsx", ".vue", ".svelte"]
-SKIPPED_DIRS = ["node_modules", ".git", "dist", "build"]
+# Extensions and folders left out by each kind of scan, bytes looked at for a NUL.
+SCAN_DEFAULTS = {
+    "endpoints": (
+        [".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs", ".vue", ".html", ".htm"],
+        ["node_modules", ".git", "__pycache__", ".svn", ".idea", ".vscode"],
+    ),
+    "items": ([".js", ".mjs", ".cjs", ".jsx", ".ts", ".tsx", ".vue", ".svelte"], []),
+    "findings": ([".js", ".mjs", ".cjs", ".jsx"], ["node_modules", ".git", "dist", "build"]),
+}
 BINARY_PROBE = 8192
 
 
@@ -59,24 +65,35 @@ def decode_text(df: DataFrame, *, raw: str = "raw", out: str = "content", newlin
     return df.filter(~is_binary(src)).withColumn(out, text).drop(raw)
 
 
-def path_filter(df: DataFrame, extensions: list[str] | None, skipped_dirs: list[str], *, path: str = "path") -> DataFrame:
-    """Keep files by extension and drop those under a skipped folder at any depth."""
+def path_filter(
+    df: DataFrame, extensions: list[str] | None, skipped_dirs: list[str], *, path: str = "path", root: str = ""
+) -> DataFrame:
+    """Keep files by extension and drop those under a skipped folder at any depth below ``root``."""
+    below = F.substring(F.col(path), F.lit(len(root) + 1), F.length(path))
     name = F.lower(basename(F.col(path)))
     out = df
     if extensions:
         wanted = [e.lower() if e.startswith(".") else f".{e.lower()}" for e in extensions]
         out = out.filter(suffix(name).isin(wanted))
     for d in skipped_dirs:
-        out = out.filter(~F.contains(F.col(path), F.lit(f"/{d}/")))
+        out = out.filter(~F.contains(F.concat(F.lit("/"), below), F.lit(f"/{d}/")))
     return out
 
 
+def _qualified(spark: SparkSession, folder: str) -> str:
+    """``folder`` as the file source spells it in paths."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def scan_files(
     spark: SparkSession,
     folder: str,
     *,
-    extensions: list[str] | None = SCRIPT_EXTENSIONS,
-    skipped_dirs: list[str] = SKIPPED_DIRS,
+    purpose: str = "findings",
+    extensions: list[str] | None = None,
+    extra_extensions: list[str] | None = None,
+    skipped_dirs: list[str] | None = None,
     recursive: bool = True,
     glob: str | None = None,
     newlines: bool = True,
@@ -84,12 +101,16 @@ def scan_files(
 ) -> DataFrame:
     """Text files of a folder as a corpus, read by the cluster; the listing stays in Spark.
 
-    The path tests sit next to the scan: they apply before a file's bytes are read.
+    ``purpose`` names the defaults for extensions and skipped folders.  The path
+    tests sit next to the scan: they apply before a file's bytes are read.
     """
+    wanted, skipped = SCAN_DEFAULTS[purpose]
+    extensions = [*(extensions or wanted), *(extra_extensions or [])]
+    skipped_dirs = skipped if skipped_dirs is None else skipped_dirs
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    files = path_filter(reader.load(folder), extensions, skipped_dirs)
+    files = path_filter(reader.load(folder), extensions, skipped_dirs, root=_qualified(spark, folder))
     text = decode_text(files.select("path", F.col("content").alias("raw")), newlines=newlines)
     return text.select("path", "content", F.lit(kind).alias("kind"))
 

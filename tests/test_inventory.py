@@ -98,7 +98,7 @@ def test_reach(spark):
 
 
 def test_sources(spark, tmp_path):
-    folder = tmp_path / "tree"
+    folder = tmp_path / "build" / "tree"
     for name, raw in {"src/A.JS": b"let a;\r\nx", "src/b.txt": b"no", "node_modules/c.js": b"no", "src/d.js": b"a\x00b", "src/e.js": b"\xe9a"}.items():
         (folder / name).parent.mkdir(parents=True, exist_ok=True)
         (folder / name).write_bytes(raw)
