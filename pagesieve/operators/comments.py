@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagesieve.catalog.languages import (
-    BY_KEY,
     EXCLUDED_DIRS,
     LANGUAGES,
     Language,
@@ -143,5 +142,3 @@ def language_slug(language: Column) -> Column:
     """Language name as part of a file name."""
     return slug(language)
 
-
-__all__ = ["BY_KEY", "comments", "detect_language", "select_paths", "stats", "by_language", "per_file"]

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -118,7 +116,3 @@ def count_by_method(found: DataFrame) -> DataFrame:
 
 def count_by_file(found: DataFrame) -> DataFrame:
     return found.groupBy("source_file").agg(F.count("*").alias("n"))
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

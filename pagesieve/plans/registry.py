@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagesieve.catalog.endpoint_types import ENDPOINT_TYPES
@@ -23,7 +23,7 @@ from pagesieve.operators import links as L
 from pagesieve.operators import responses as R
 from pagesieve.operators import scripts as S
 from pagesieve.operators import urls as U
-from pagesieve.plans.derived import P, SCOPE, table
+from pagesieve.plans.derived import SCOPE, table
 from pagesieve.sources import corpus as SRC
 from pagesieve.sources import sinks as SINK
 from pagesieve.streaming import streams as ST
@@ -475,4 +475,4 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     return E.count_by_type(E.dedup_endpoints(E.endpoints(corpus)))
 
 
-__all__ = ["QUERIES", "flagship", "Column", "P"]
+__all__ = ["QUERIES", "flagship"]
