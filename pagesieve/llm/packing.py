@@ -18,7 +18,7 @@ are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,7 @@ from pagesieve.llm.tokens import binary_column, encoder, with_end
 CAPACITY = 1024
 END_ID = 0
 BLOCK_ROWS = 32_768
-BLOCK_BYTES = 64 << 20
+BLOCK_BYTES = 32 << 20
 
 
 class RoomTree:
@@ -87,6 +87,79 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     return sequence, offset, n
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def _piece_schema(docs: DataFrame, id_col: str) -> T.StructType:
+    return T.StructType([
+        T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()),
+        T.StructField("ids", T.BinaryType()), T.StructField("doc_tokens", T.LongType()),
+    ])
+
+
+def _packed_schema(pieces: T.StructType) -> T.StructType:
+    return T.StructType([
+        *pieces.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()),
+        T.StructField("padded_length", T.LongType()),
+    ])
+
+
+def _cutter(tokenizer: str, end_id: int, capacity: int, names: list[str]) -> Callable[[Batches], Batches]:
+    def run(batches: Batches) -> Batches:
+        tool = encoder(tokenizer)
+        for batch in batches:
+            for first, end, ids, bounds in tool.parts(batch.column(1)):
+                ids, bounds = with_end(ids, bounds, end_id)
+                tokens = np.diff(bounds)
+                pieces = -(-tokens // capacity)
+                doc = np.repeat(np.arange(len(tokens)), pieces)
+                nth = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                start = nth * capacity
+                length = np.minimum(capacity, tokens[doc] - start)
+                cuts = np.append(bounds[doc] + start, bounds[-1])
+                of = batch.column(0)[first:end].take(pa.array(doc))
+                yield pa.RecordBatch.from_arrays(
+                    [of, pa.array(start), pa.array(length), binary_column(ids, cuts), pa.array(tokens[doc])], names
+                )
+
+    return run
+
+
+def _place(block: list[pa.RecordBatch], capacity: int, first: int) -> tuple[pa.Table, int]:
+    table = pa.Table.from_batches(block)
+    length = table.column("length").to_numpy()
+    full = length >= capacity
+    sequence = np.zeros(len(length), np.int64)
+    offset = np.zeros(len(length), np.int64)
+    sequence[~full], offset[~full], n = best_fit(length[~full], capacity)
+    sequence[full] = n + np.arange(full.sum())
+    n += int(full.sum())
+    filled = np.zeros(n, np.int64)
+    np.add.at(filled, sequence, length)
+    padded = np.where((filled > 0) & (filled & (filled - 1) == 0), filled, capacity)
+    for name, values in (("sequence_id", sequence + first), ("offset", offset), ("padded_length", padded[sequence])):
+        table = table.append_column(name, pa.array(values))
+    return table, first + n
+
+
+def _packer(capacity: int, block_rows: int, block_bytes: int) -> Callable[[Batches], Batches]:
+    def run(batches: Batches) -> Batches:
+        first = TaskContext.get().partitionId() << 40
+        block: list[pa.RecordBatch] = []
+        rows = size = 0
+        for batch in batches:
+            block.append(batch)
+            rows, size = rows + batch.num_rows, size + batch.nbytes
+            if rows >= block_rows or size >= block_bytes:
+                table, first = _place(block, capacity, first)
+                yield from table.to_batches(max_chunksize=8192)
+                block, rows, size = [], 0, 0
+        if rows:
+            yield from _place(block, capacity, first)[0].to_batches(max_chunksize=8192)
+
+    return run
+
+
 def encode_pieces(
     docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text",
     end_id: int = END_ID, capacity: int = CAPACITY,
@@ -96,29 +169,9 @@ def encode_pieces(
     ``ids`` holds little-endian unsigned 32-bit ids; ``start`` counts the document's ids
     before the piece; ``doc_tokens`` is the document's number of ids with its end id.
     """
-    kind = docs.schema[id_col].dataType
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
-        for batch in batches:
-            ids, bounds = with_end(*encode(batch.column(1)), end_id)
-            tokens = np.diff(bounds)
-            pieces = -(-tokens // capacity)
-            doc = np.repeat(np.arange(len(tokens)), pieces)
-            nth = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-            start = nth * capacity
-            length = np.minimum(capacity, tokens[doc] - start)
-            cuts = np.append(bounds[doc] + start, bounds[-1])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(doc)), pa.array(start), pa.array(length), binary_column(ids, cuts), pa.array(tokens[doc])],
-                [id_col, "start", "length", "ids", "doc_tokens"],
-            )
-
-    schema = T.StructType([
-        T.StructField(id_col, kind), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()),
-        T.StructField("ids", T.BinaryType()), T.StructField("doc_tokens", T.LongType()),
-    ])
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
+    schema = _piece_schema(docs, id_col)
+    cut = _cutter(tokenizer, end_id, capacity, schema.names)
+    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(cut, schema)
 
 
 def pack(
@@ -129,42 +182,18 @@ def pack(
     A sequence is padded to ``capacity``, or not at all where its length is a power of two.
     Sequence numbers are unique over the table; they are not consecutive across tasks.
     """
+    return pieces.mapInArrow(_packer(capacity, block_rows, block_bytes), _packed_schema(pieces.schema))
 
-    def placed(block: list[pa.RecordBatch], first: int) -> tuple[pa.Table, int]:
-        table = pa.Table.from_batches(block)
-        length = table.column("length").to_numpy()
-        full = length >= capacity
-        sequence = np.zeros(len(length), np.int64)
-        offset = np.zeros(len(length), np.int64)
-        sequence[~full], offset[~full], n = best_fit(length[~full], capacity)
-        sequence[full] = n + np.arange(full.sum())
-        n += int(full.sum())
-        filled = np.zeros(n, np.int64)
-        np.add.at(filled, sequence, length)
-        padded = np.where((filled > 0) & (filled & (filled - 1) == 0), filled, capacity)
-        for name, values in (("sequence_id", sequence + first), ("offset", offset), ("padded_length", padded[sequence])):
-            table = table.append_column(name, pa.array(values))
-        return table, first + n
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = TaskContext.get().partitionId() << 40
-        block: list[pa.RecordBatch] = []
-        rows = size = 0
-        for batch in batches:
-            block.append(batch)
-            rows, size = rows + batch.num_rows, size + batch.nbytes
-            if rows >= block_rows or size >= block_bytes:
-                table, first = placed(block, first)
-                yield from table.to_batches(max_chunksize=8192)
-                block, rows, size = [], 0, 0
-        if rows:
-            yield from placed(block, first)[0].to_batches(max_chunksize=8192)
 
-    schema = T.StructType([
-        *pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()),
-        T.StructField("padded_length", T.LongType()),
-    ])
-    return pieces.mapInArrow(run, schema)
+def pack_documents(
+    docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID,
+    capacity: int = CAPACITY, block_rows: int = BLOCK_ROWS, block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """``encode_pieces`` and ``pack`` in one step of each task."""
+    schema = _piece_schema(docs, id_col)
+    cut, packer = _cutter(tokenizer, end_id, capacity, schema.names), _packer(capacity, block_rows, block_bytes)
+    texts = docs.select(F.col(id_col), F.col(text_col).cast("string"))
+    return texts.mapInArrow(lambda batches: packer(cut(batches)), _packed_schema(schema))
 
 
 def sequences(packed: DataFrame, *, pad_id: int = 0) -> DataFrame:

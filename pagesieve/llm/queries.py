@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesieve.llm import packing, token_store
+from pagesieve.llm import packing, simhash, token_store
 from pagesieve.llm.tokens import public_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,8 +18,8 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
-    pieces = packing.encode_pieces(read(spark, folder, "documents"), public_path("byte_bpe_50k.json"))
-    return packing.pack(pieces).select(
+    packed = packing.pack_documents(read(spark, folder, "documents"), public_path("byte_bpe_50k.json"))
+    return packed.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "padded_length"
     )
 
@@ -29,8 +29,14 @@ def op4_token_store(spark: SparkSession, folder: str) -> DataFrame:
     return token_store.read_store(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(read(spark, folder, "documents"))
+    return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op4_token_store": op4_token_store,
+    "op9_simhash": op9_simhash,
 }
 ORACLE: dict[str, str] = {}

@@ -249,13 +249,15 @@ def encode_documents(
         tool = encoder(tokenizer)
         wide = tool.size > 1 << 16
         for batch in batches:
-            ids, bounds = with_end(*tool.encode(batch.column(1)), end_id)
-            data = ids.astype("<u4")
-            crc = [zlib.crc32(data[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(crc, pa.int64()), pa.array(np.diff(bounds)), binary_column(data if wide else ids.astype("<u2"), bounds)],
-                ["doc_id", "crc", "n_tokens", "ids"],
-            )
+            for first, end, ids, bounds in tool.parts(batch.column(1)):
+                ids, bounds = with_end(ids, bounds, end_id)
+                data = ids.astype("<u4")
+                crc = [zlib.crc32(data[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+                kept = binary_column(data if wide else ids.astype("<u2"), bounds)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0)[first:end], pa.array(crc, pa.int64()), pa.array(np.diff(bounds)), kept],
+                    ["doc_id", "crc", "n_tokens", "ids"],
+                )
 
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return named.mapInArrow(run, "doc_id long, crc long, n_tokens long, ids binary")

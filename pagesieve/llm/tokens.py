@@ -2,9 +2,9 @@
 
 Both supported vocabularies cut a text into words before they merge pairs, and the
 merges of a word do not depend on its neighbours. So each distinct word of a batch is
-encoded once (and kept for the next batches of the worker) and the ids of a text are
-gathered with numpy. Texts for which cutting at single spaces could differ from the
-tokenizer's own cut are given to the tokenizer whole; other vocabularies always are.
+merged once by the tokenizer's model (and kept for the next batches of the worker) and the
+ids of a text are gathered with numpy. The cut is done here for plain texts, on which
+all libraries agree; other texts, and all texts of other vocabularies, are given to the tokenizer whole.
 """
 
 from __future__ import annotations
@@ -12,28 +12,29 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 
-# White space of which a part lies before a space and a part behind it: the byte-level cut
-# keeps such a run together except for its last character.
-_RUN = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}] (?:[\s\x0b\x1c-\x1f\x{85}\p{Z}]|$)"
-# How the two kinds of vocabulary cut a text into words.
+# How the two kinds of vocabulary cut a plain text into words.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _CUT = {
-    "byte": r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
-    "word": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
+    "byte": rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^ \n{_LETTERS}0-9]+|[ \n]",
+    "word": rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^ \n{_LETTERS}0-9]+",
 }
-# Characters on whose classes, case and composition all libraries agree.
-_PLAIN = re.compile(r"[ -~\nÀ-ÖØ-öø-ÿ]*").fullmatch
-#: A worker forgets its words when they are so many or have so many ids, and their pieces likewise.
-KEPT_WORDS = 300_000
-KEPT_IDS = 4_000_000
-KEPT_PIECES = 400_000
+# Plain: only characters on whose classes, case and composition all libraries agree, and for
+# the byte-level cut no run of white space that it would keep together.
+_NOT_PLAIN = {"byte": r"[^ -~\nÀ-ÖØ-öø-ÿ]|\s\s\s|\s\s$", "word": r"[^ -~\nÀ-ÖØ-öø-ÿ]"}
+#: A worker forgets its words when they are so many or have so many ids.
+KEPT_WORDS = 250_000
+KEPT_IDS = 3_000_000
+#: Characters that are worked on at once.
+AT_ONCE = 2 << 20
 
 
 def public_path(name: str) -> str:
@@ -53,6 +54,27 @@ def _shown() -> dict[int, int]:
 _SHOWN = _shown()
 
 
+class _Words(dict):
+    """Words by number; a word that is asked for the first time is merged."""
+
+    def __init__(self, merge):
+        self._merge, self._ids, self._ends = merge, array("I"), array("q", [0])
+
+    def __missing__(self, word: str) -> int:
+        self._ids.extend(self._merge(word))
+        self._ends.append(len(self._ids))
+        self[word] = n = len(self)
+        return n
+
+    @property
+    def n_ids(self) -> int:
+        return len(self._ids)
+
+    def store(self) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, and where those of each begin and end."""
+        return np.array(self._ids, np.uint32), np.array(self._ends, np.int64)
+
+
 class Encoder:
     """Ids of texts; equal to ``Tokenizer.encode(text, add_special_tokens=False)``.
 
@@ -67,109 +89,69 @@ class Encoder:
         self._tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             self._kind = _kind(json.load(f))
-        if self._kind != "whole":
-            self._find = regex.compile(_CUT[self._kind]).findall
         self.size = self._tokenizer.get_vocab_size()
-        self._pieces: dict[str, list[int]] = {}
-        self._forget()
-
-    def _forget(self) -> None:
-        self._rows: dict[str, int] = {}
-        self._start = np.zeros(0, np.int64)
-        self._length = np.zeros(0, np.int64)
-        self._ids = np.zeros(0, np.uint32)
-
-    def _whole(self, texts: list[str]) -> list[np.ndarray]:
-        done = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.asarray(e.ids, np.uint32) for e in done]
-
-    def _words(self, words: list[str]) -> list:
-        """Ids of words: plain ones by their pieces, others by the whole tokenizer."""
-        pieces, tokenize, find = self._pieces, self._tokenizer.model.tokenize, self._find
-        out, odd = [], []
-        for i, word in enumerate(words):
-            if not _PLAIN(word):
-                odd.append(i)
-                out.append(())
-                continue
-            ids = []
-            for piece in find(word if self._kind == "byte" else word.lower()):
-                known = pieces.get(piece)
-                if known is None:
-                    known = [t.id for t in tokenize(piece.encode().decode("latin-1").translate(_SHOWN))]
-                    pieces[piece] = known
-                ids += known
-            out.append(ids)
-        for i, ids in zip(odd, self._whole([words[i] for i in odd])):
-            out[i] = ids
-        return out
-
-    def _learn(self, words: list[str]) -> np.ndarray:
-        """Rows of words in the store, new ones being encoded."""
-        rows = self._rows
-        new = [w for w in words if w not in rows]
-        if new:
-            ids = self._words(new)
-            length = np.fromiter(map(len, ids), np.int64, len(ids))
-            ends = np.cumsum(length) + len(self._ids)
-            rows.update(zip(new, range(len(self._start), len(self._start) + len(new))))
-            self._start = np.concatenate([self._start, ends - length])
-            self._length = np.concatenate([self._length, length])
-            flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(length.sum()))
-            self._ids = np.concatenate([self._ids, flat])
-        return np.fromiter(map(rows.__getitem__, words), np.int64, len(words))
+        if self._kind != "whole":
+            self._cut = re.compile(_CUT[self._kind]).findall
+        self._words = _Words(self._merge)
 
-    def _by_words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        parts = pc.split_pattern(texts, " ")
-        bounds = np.asarray(parts.offsets, np.int64)
-        words = parts.flatten().dictionary_encode()
-        index = np.asarray(words.indices, np.int64)
-        distinct = words.dictionary.to_pylist()
-        if len(self._rows) > KEPT_WORDS or len(self._ids) > KEPT_IDS:
-            self._forget()
-        if len(self._pieces) > KEPT_PIECES:
-            self._pieces.clear()
-        if self._kind == "byte":  # a word owns the space before it; the first of a text has none
-            first = np.zeros(len(index), bool)
-            first[bounds[:-1]] = True
-            used = np.zeros(len(distinct), bool)
-            used[index[~first]] = True
-            row = np.zeros(len(distinct), np.int64)
-            row[used] = self._learn([" " + w for w, u in zip(distinct, used) if u])
-            place = row[index]
-            heads = index[first]
-            place[first] = self._learn([distinct[i] for i in heads])
-        else:
-            place = self._learn(distinct)[index]
-        length = self._length[place]
-        ends = np.cumsum(length)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self._ids[np.repeat(self._start[place] - (ends - length), length) + np.arange(total)]
-        return ids, np.concatenate([[0], ends])[bounds]
+    def _merge(self, word: str) -> list[int]:
+        shown = (word if self._kind == "byte" else word.lower()).encode().decode("latin-1").translate(_SHOWN)
+        return [t.id for t in self._tokenizer.model.tokenize(shown)]
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids (unsigned 32 bits) and where each text begins and ends; null is empty."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "").cast(pa.string())
-        if self._kind == "whole":
-            odd = np.ones(len(texts), bool)
-        elif self._kind == "byte":
-            odd = np.asarray(pc.match_substring_regex(texts, _RUN))
-        else:
-            odd = np.zeros(len(texts), bool)
+    def _whole(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _by_words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if len(self._words) > KEPT_WORDS or self._words.n_ids > KEPT_IDS:
+            self._words = _Words(self._merge)
+        words = [self._cut(t) for t in texts.to_pylist()]
+        bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))])
+        place = np.fromiter(map(self._words.__getitem__, chain.from_iterable(words)), np.int64, int(bounds[-1]))
+        store, start = self._words.store()
+        length = np.diff(start)[place]
+        ends = np.concatenate([[0], np.cumsum(length)])
+        ids = store[np.repeat(start[place] - ends[:-1], length) + np.arange(ends[-1])]
+        return ids, ends[bounds]
+
+    def _some(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        odd = np.ones(len(texts), bool)
+        if self._kind != "whole":
+            odd = np.asarray(pc.match_substring_regex(texts, _NOT_PLAIN[self._kind]))
         if not odd.any():
             return self._by_words(texts)
-        some, bounds = self._by_words(texts.filter(pa.array(~odd)))
+        some, bounds = self._by_words(texts.filter(pa.array(~odd))) if not odd.all() else (np.zeros(0, np.uint32), np.zeros(1, int))
         plain = iter(range(len(bounds) - 1))
         whole = iter(self._whole(texts.filter(pa.array(odd)).to_pylist()))
         each = []
         for is_odd in odd:
             if is_odd:
-                each.append(next(whole))
+                each.append(np.asarray(next(whole), np.uint32))
             else:
                 i = next(plain)
                 each.append(some[bounds[i] : bounds[i + 1]])
-        ends = np.concatenate([[0], np.cumsum([len(x) for x in each])])
-        return (np.concatenate(each) if each else some), ends
+        return np.concatenate(each), np.concatenate([[0], np.cumsum([len(x) for x in each])])
+
+    def parts(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """For some texts at a time, from and to which: all ids, and where each text begins and ends.
+
+        Ids are unsigned 32-bit; null is an empty text.
+        """
+        texts = pc.fill_null(texts.cast(pa.large_string()), "").cast(pa.string())
+        size = np.cumsum(np.asarray(pc.binary_length(texts), np.int64))
+        first = 0
+        while first < len(texts):
+            done = size[first - 1] if first else 0
+            end = max(first + 1, int(np.searchsorted(size, done + AT_ONCE)))
+            yield first, end, *self._some(texts[first:end])
+            first = end
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of all texts, and where each text begins and ends."""
+        ids, bounds = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)]
+        for _, _, some, ends in self.parts(texts):
+            bounds.append(ends[1:] + bounds[-1][-1])
+            ids.append(some)
+        return np.concatenate(ids), np.concatenate(bounds)
 
 
 def _kind(spec: dict) -> str:
