@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesieve.llm import packing, simhash, token_store
+from pagesieve.llm import line_dedup, packing, simhash, token_store
 from pagesieve.llm.tokens import public_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,12 @@ def op4_token_store(spark: SparkSession, folder: str) -> DataFrame:
     return token_store.read_store(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """The cleaned documents."""
+    cleaned = line_dedup.dedup_lines(read(spark, folder, "documents"))
+    return cleaned.select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, folder, "documents"))
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
@@ -37,6 +43,7 @@ def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op4_token_store": op4_token_store,
+    "op8_line_dedup": op8_line_dedup,
     "op9_simhash": op9_simhash,
 }
 ORACLE: dict[str, str] = {}
