@@ -7,13 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesieve.llm import line_dedup, packing, simhash, token_store
+from pagesieve.llm import language, line_dedup, packing, simhash, token_store
+from pagesieve.llm.ship import ship
 from pagesieve.llm.tokens import public_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -24,6 +26,13 @@ def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    model = language.fit(docs.filter(~language.held_out()))
+    found = language.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op4_token_store(spark: SparkSession, folder: str) -> DataFrame:
     files = token_store.store(read(spark, folder, "documents"), public_path("word_bpe_49k.json"))
     return token_store.read_store(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -42,6 +51,7 @@ def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
+    "op3_language": op3_language,
     "op4_token_store": op4_token_store,
     "op8_line_dedup": op8_line_dedup,
     "op9_simhash": op9_simhash,
