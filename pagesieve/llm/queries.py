@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesieve.llm import language, line_dedup, packing, simhash, token_store
+from pagesieve.llm import decontaminate, language, line_dedup, packing, simhash, token_store
 from pagesieve.llm.ship import ship
 from pagesieve.llm.tokens import public_path
 
@@ -38,6 +38,11 @@ def op4_token_store(spark: SparkSession, folder: str) -> DataFrame:
     return token_store.read_store(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents and the benchmark items that occur in them."""
+    return decontaminate.matches(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
 def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """The cleaned documents."""
     cleaned = line_dedup.dedup_lines(read(spark, folder, "documents"))
@@ -53,6 +58,7 @@ QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op3_language": op3_language,
     "op4_token_store": op4_token_store,
+    "op5_decontaminate": op5_decontaminate,
     "op8_line_dedup": op8_line_dedup,
     "op9_simhash": op9_simhash,
 }
