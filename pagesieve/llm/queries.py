@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesieve.llm import decontaminate, language, line_dedup, packing, simhash, token_store
+from pagesieve.llm import decontaminate, language, line_dedup, packing, quality, simhash, token_store
+from pagesieve.llm import sql
 from pagesieve.llm.ship import ship
 from pagesieve.llm.tokens import public_path
 
@@ -54,6 +55,14 @@ def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
+    judged = quality.judge(read(spark, folder, "documents"), read(spark, folder, "labels"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        F.array_join("failed_rules", ",").alias("failed_rules"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op3_language": op3_language,
@@ -61,5 +70,8 @@ QUERIES: dict[str, Query] = {
     "op5_decontaminate": op5_decontaminate,
     "op8_line_dedup": op8_line_dedup,
     "op9_simhash": op9_simhash,
+    "op10_quality": op10_quality,
+}
+ORACLE: dict[str, str] = {
+    "op10_quality": sql.OP10,
 }
-ORACLE: dict[str, str] = {}
