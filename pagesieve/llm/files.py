@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 
 from pyarrow import fs
+from pyspark.sql import SparkSession
 
 
 def _locate(uri: str) -> tuple[fs.FileSystem, str]:
@@ -30,3 +31,8 @@ def open_for_reading(uri: str):
     """A file with ``seek``, ``read`` and ``size``."""
     system, path = _locate(uri)
     return system.open_input_file(path)
+
+
+def read_tasks(spark: SparkSession, total: int | None, each: int) -> int:
+    """Tasks to read so much, each about as much as told, but enough for all cores."""
+    return max(2 * spark.sparkContext.defaultParallelism, (total or 0) // each + 1)

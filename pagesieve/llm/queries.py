@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagesieve.functions.storage import materialize, scratch
-from pagesieve.llm import chat, decontaminate, language, line_dedup, packing, quality, simhash, token_store
+from pagesieve.llm import chat, decontaminate, language, line_dedup, packing, quality, simhash, token_store, warc
 from pagesieve.llm import sql
 from pagesieve.llm.ship import ship
 from pagesieve.llm.tokens import public_path
@@ -28,6 +28,14 @@ def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_warc(spark: SparkSession, folder: str) -> DataFrame:
+    packages = warc.write_packages(read(spark, folder, "pages"), scratch(spark, "warc"))
+    return warc.read_packages(packages).select(
+        "page_id", F.coalesce(F.octet_length("payload").cast("long"), "told_bytes").alias("payload_bytes"),
+        F.coalesce(F.sha2("payload", 256), "told_digest").alias("payload_digest"), "record_type", "refers_to",
+    )
+
+
 def op3_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents")
     model = language.fit(docs.filter(~language.held_out()))
@@ -82,6 +90,7 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
+    "op2_warc": op2_warc,
     "op3_language": op3_language,
     "op4_token_store": op4_token_store,
     "op5_decontaminate": op5_decontaminate,
@@ -91,6 +100,7 @@ QUERIES: dict[str, Query] = {
     "op10_quality": op10_quality,
 }
 ORACLE: dict[str, str] = {
+    "op2_warc": sql.OP2,
     "op6_chat": sql.OP6,
     "op10_quality": sql.OP10,
 }

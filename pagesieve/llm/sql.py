@@ -4,6 +4,15 @@ from __future__ import annotations
 
 from pagesieve.llm import quality
 
+OP2 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (
+  SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest,
+    min(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to FROM d"""
+
 OP6 = r"""
 WITH t AS (
   SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations

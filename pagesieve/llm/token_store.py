@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagesieve.functions.storage import materialize, scratch
-from pagesieve.llm.files import open_for_reading, open_for_writing
+from pagesieve.llm.files import open_for_reading, open_for_writing, read_tasks
 from pagesieve.llm.tokens import binary_column, encoder, with_end
 
 MAGIC = b"HUFTOK01"
@@ -45,8 +45,8 @@ LANE = 64
 END_ID = 1
 #: Stands for a null name in a file.
 NO_NAME = -(1 << 63)
-#: Tasks among which the files are dealt for reading.
-FILES_TASKS = 200
+#: Ids that a task reads, about.
+TASK_IDS = 32 << 20
 
 
 # --- the code --------------------------------------------------------------------------
@@ -347,7 +347,8 @@ def read_store(files: DataFrame) -> DataFrame:
                             )
                             rows, held = [], 0
 
-    spread = files.select("path", "base").repartition(FILES_TASKS, "path")
+    tasks = read_tasks(files.sparkSession, files.agg(F.sum("n_ids")).first()[0], TASK_IDS)
+    spread = files.select("path", "base").repartition(tasks, "path")
     return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
