@@ -9,7 +9,8 @@ earlier line (by ``doc_id``, then by place) has a Jaccard similarity of at least
   gives the same result; this one keeps the join small.
 * Prefix filter: similar sets of n tokens share one of their n - ceil(0.8 n) + 1 first ones.
   Length filter: the smaller has at least 0.8 times the tokens of the larger. Positional filter: what
-  follows the shared token must suffice for the overlap that 0.8 asks for.
+  follows the shared token must suffice for the overlap that 0.8 asks for. Sixty-four bits of each set
+  rule out pairs that differ in more bits than they may in tokens.
 * The texts of the lines in candidate pairs are read again, and their token sets compared in full.
 
 Token sets and tokens are known by hashes of 128 and 56 bits.
@@ -35,14 +36,22 @@ BUCKETS = 1 << 16
 NUMERATOR, DENOMINATOR = 4, 5
 
 
+_SPACE = "\t\x0b\x0c\r"
+
+
+def _plain(text: Column) -> Column:
+    """Lower-cased, with the space as only white space within lines."""
+    return F.translate(F.lower(text), _SPACE, " " * len(_SPACE))
+
+
 def words(line: Column) -> Column:
-    """Distinct lower-cased words."""
-    return F.array_distinct(F.array_remove(F.split(F.lower(line), r"[\x20\x09-\x0D]+"), ""))
+    """Distinct words of a plain line."""
+    return F.array_distinct(F.array_remove(F.split(line, " "), ""))
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc, line_no, words) of lines that have a word."""
-    lines = docs.select(F.col(id_col).alias("doc"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"))
+    lines = docs.select(F.col(id_col).alias("doc"), F.posexplode(F.split(_plain(F.col(text_col)), "\n")).alias("line_no", "line"))
     return lines.select("doc", "line_no", words(F.col("line")).alias("words")).filter(F.size("words") > 0)
 
 
@@ -66,6 +75,12 @@ def _ranked(table: bytes) -> Column:
     return F.array_sort(F.transform(F.transform("words", lambda w: F.xxhash64(w)), rank))
 
 
+def _bits(tokens: Column) -> Column:
+    """A bit for each token, of 64; sets differ in at least as many tokens as their bits differ."""
+    one = F.lit(1).cast("bigint")
+    return F.aggregate(tokens, F.lit(0).cast("bigint"), lambda acc, t: acc.bitwiseOR(F.call_function("shiftleft", one, t.bitwiseAND(F.lit(63)).cast("int"))))
+
+
 def _needed(n: Column) -> Column:
     """The least number of tokens that a set similar to one of ``n`` shares with it."""
     return F.floor((n * NUMERATOR + DENOMINATOR - 1) / DENOMINATOR).cast("int")
@@ -88,14 +103,16 @@ def _pruned_scans(spark: SparkSession) -> Iterator[None]:
 
 def _candidates(sets: DataFrame) -> DataFrame:
     """(a, b): pairs of sets that no filter rules out."""
-    prefixes = sets.filter("n > 3").select("id", "n", F.posexplode("prefix").alias("at", "token"))  # smaller sets must be equal
+    prefixes = sets.filter("n > 3").select("id", "n", "bits", F.posexplode("prefix").alias("at", "token"))  # smaller sets must be equal
     a, b = prefixes.alias("a"), prefixes.alias("b")
     shares = NUMERATOR + DENOMINATOR
+    both = F.col("a.n") + F.col("b.n")
     met = (
         (F.col("a.token") == F.col("b.token"))
         & ((F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.id") < F.col("b.id"))))
         & (F.col("a.n") * DENOMINATOR >= F.col("b.n") * NUMERATOR)
-        & (F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) * shares >= (F.col("a.n") + F.col("b.n")) * NUMERATOR)
+        & (F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) * shares >= both * NUMERATOR)
+        & (F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))) * shares <= both * (DENOMINATOR - NUMERATOR))
     )
     return a.join(b, met).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
 
@@ -107,7 +124,7 @@ def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, rank: Column,
     wanted = sets.join(ids, "id").groupBy("doc").agg(F.collect_list(F.struct("line_no", "id")).alias("wanted"))
     wanted = materialize(wanted, f"{path}/wanted").filter(F.size("wanted") > 0)
     with _pruned_scans(spark):
-        texts = docs.join(wanted, docs["doc"].eqNullSafe(wanted["doc"])).select("wanted", F.split("text", "\n").alias("lines"))
+        texts = docs.join(wanted, docs["doc"].eqNullSafe(wanted["doc"])).select("wanted", F.split(_plain(F.col("text")), "\n").alias("lines"))
         texts = texts.select(F.explode(F.transform("wanted", lambda w: F.struct(w["id"].alias("id"), F.get("lines", w["line_no"]).alias("line")))).alias("x"))
         tokens = texts.select("x.id", words(F.col("x.line")).alias("words")).filter(F.size("words") > 0)
         tokens = materialize(tokens.select("id", rank.alias("tokens")).dropDuplicates(["id"]), f"{path}/tokens")
@@ -124,9 +141,10 @@ def kept_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     lines = lines_of(docs, id_col, text_col)
     rank = _ranked(rarity_classes(lines))
     n = F.size("k")
+    prefix = F.transform(F.slice("k", 1, n - _needed(n) + 1), lambda t: t.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))  # low bits of the hash
     ranked = lines.select("doc", "line_no", rank.alias("k")).select(
         F.xxhash64("k").alias("h1"), F.xxhash64(F.lit("second"), "k").alias("h2"),
-        F.struct("doc", "line_no", n.alias("n"), F.slice("k", 1, n - _needed(n) + 1).alias("prefix")).alias("line"),
+        F.struct("doc", "line_no", n.alias("n"), prefix.alias("prefix"), _bits(F.col("k")).alias("bits")).alias("line"),
     )
     first = ranked.groupBy("h1", "h2").agg(F.min("line").alias("line"))
     sets = materialize(first.select(F.monotonically_increasing_id().alias("id"), "line.*"), f"{path}/sets")
