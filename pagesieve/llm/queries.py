@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagesieve.functions.storage import materialize, scratch
-from pagesieve.llm import chat, decontaminate, language, line_dedup, packing, quality, simhash, token_store, warc
+from pagesieve.llm import chat, decontaminate, language, licenses, line_dedup, packing, quality, simhash, token_store, warc
 from pagesieve.llm import sql
 from pagesieve.llm.ship import ship
 from pagesieve.llm.tokens import public_path
@@ -69,6 +69,10 @@ def op6_chat(spark: SparkSession, folder: str) -> DataFrame:
     return chat.read_back(formatted)
 
 
+def op7_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.licenses(read(spark, folder, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """The cleaned documents."""
     cleaned = line_dedup.dedup_lines(read(spark, folder, "documents"))
@@ -95,6 +99,7 @@ QUERIES: dict[str, Query] = {
     "op4_token_store": op4_token_store,
     "op5_decontaminate": op5_decontaminate,
     "op6_chat": op6_chat,
+    "op7_licenses": op7_licenses,
     "op8_line_dedup": op8_line_dedup,
     "op9_simhash": op9_simhash,
     "op10_quality": op10_quality,
