@@ -81,10 +81,9 @@ def directory(source) -> list[Member]:
         raise ValueError("no end of a central directory")
     n, length, place = struct.unpack_from("<HII", tail, found + 10)
     end = tail_at + found
-    if n == 0xFFFF or length == 0xFFFFFFFF or place == 0xFFFFFFFF:
-        mark, _, at, _ = struct.unpack("<4sIQI", _at(source, end - 20, 20))
-        if mark != b"PK\x06\x07":
-            raise ValueError("the ZIP64 directory is missing")
+    locator = _at(source, max(0, end - 20), 20)
+    if locator.startswith(b"PK\x06\x07"):
+        (at,) = struct.unpack_from("<Q", locator, 8)
         mark, n, length, place = struct.unpack("<4s28xQQQ", _at(source, at, 56))
         if mark != b"PK\x06\x06":
             raise ValueError("the ZIP64 directory is damaged")
