@@ -23,13 +23,11 @@ kept as they are.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesieve.functions.storage import materialize, scratch
+from pagesieve.functions.storage import scratch
+from pagesieve.llm.stages import settings, written
 
 BUCKETS = 1 << 16
 #: Similarity as a fraction of whole numbers, so that comparisons are exact.
@@ -86,19 +84,13 @@ def _needed(n: Column) -> Column:
     return F.floor((n * NUMERATOR + DENOMINATOR - 1) / DENOMINATOR).cast("int")
 
 
-@contextmanager
-def _pruned_scans(spark: SparkSession) -> Iterator[None]:
+def _pruned_scans(spark: SparkSession):
     """Let joins with a small side drop rows of the large side while it is read."""
-    prefix = "spark.sql.optimizer.runtime.bloomFilter."
-    new = {prefix + "enabled": "true", prefix + "applicationSideScanSizeThreshold": "1", prefix + "creationSideThreshold": "64m"}
-    old = {k: spark.conf.get(k) for k in new}
-    try:
-        for k, v in new.items():
-            spark.conf.set(k, v)
-        yield
-    finally:
-        for k, v in old.items():
-            spark.conf.set(k, v)
+    return settings(
+        spark, spark__sql__optimizer__runtime__bloomFilter__enabled="true",
+        spark__sql__optimizer__runtime__bloomFilter__applicationSideScanSizeThreshold="1",
+        spark__sql__optimizer__runtime__bloomFilter__creationSideThreshold="64m",
+    )
 
 
 def _candidates(sets: DataFrame) -> DataFrame:
@@ -121,13 +113,13 @@ def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, rank: Column,
     """(a, b): the pairs that are similar; ``docs`` has ``doc`` and ``text``."""
     spark = docs.sparkSession
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    wanted = sets.join(ids, "id").groupBy("doc").agg(F.collect_list(F.struct("line_no", "id")).alias("wanted"))
-    wanted = materialize(wanted, f"{path}/wanted").filter(F.size("wanted") > 0)
+    wanted = sets.join(ids, "id").groupBy("doc").agg(F.collect_list(F.struct("line_no", "id", "h1")).alias("wanted"))
+    wanted = written(wanted, f"{path}/wanted").filter(F.size("wanted") > 0)
     with _pruned_scans(spark):
         texts = docs.join(wanted, docs["doc"].eqNullSafe(wanted["doc"])).select("wanted", F.split(_plain(F.col("text")), "\n").alias("lines"))
-        texts = texts.select(F.explode(F.transform("wanted", lambda w: F.struct(w["id"].alias("id"), F.get("lines", w["line_no"]).alias("line")))).alias("x"))
-        tokens = texts.select("x.id", words(F.col("x.line")).alias("words")).filter(F.size("words") > 0)
-        tokens = materialize(tokens.select("id", rank.alias("tokens")).dropDuplicates(["id"]), f"{path}/tokens")
+        texts = texts.select(F.explode(F.transform("wanted", lambda w: F.struct(w["id"].alias("id"), w["h1"].alias("h1"), F.get("lines", w["line_no"]).alias("line")))).alias("x"))
+        tokens = texts.select("x.id", "x.h1", words(F.col("x.line")).alias("words")).filter(F.size("words") > 0)
+        tokens = written(tokens.select("id", "h1", rank.alias("tokens")).filter(F.xxhash64("tokens") == F.col("h1")).drop("h1"), f"{path}/tokens")
     left = tokens.select(F.col("id").alias("a"), F.col("tokens").alias("ta"))
     right = tokens.select(F.col("id").alias("b"), F.col("tokens").alias("tb"))
     both = F.size(F.array_intersect("ta", "tb"))
@@ -147,10 +139,10 @@ def kept_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         F.struct("doc", "line_no", n.alias("n"), prefix.alias("prefix"), _bits(F.col("k")).alias("bits")).alias("line"),
     )
     first = ranked.groupBy("h1", "h2").agg(F.min("line").alias("line"))
-    sets = materialize(first.select(F.monotonically_increasing_id().alias("id"), "line.*"), f"{path}/sets")
-    pairs = materialize(_candidates(sets), f"{path}/pairs")
+    sets = written(first.select(F.monotonically_increasing_id().alias("id"), "h1", "line.*"), f"{path}/sets")
+    pairs = written(_candidates(sets), f"{path}/pairs")
     texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-    similar = _verified(texts, sets.select("id", "doc", "line_no"), pairs, rank, path)
+    similar = _verified(texts, sets.select("id", "doc", "line_no", "h1"), pairs, rank, path)
     order = F.struct("doc", "line_no", "id")
     place = sets.select("id", order.alias("place"))
     later = (
@@ -159,7 +151,7 @@ def kept_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         .select(F.greatest("pa", "pb")["id"].alias("id")).distinct()
     )
     stay = sets.select("id", "doc", "line_no").join(later, "id", "left_anti")
-    return stay.groupBy("doc").agg(F.collect_set("line_no").alias("lines"))
+    return written(stay.groupBy("doc").agg(F.collect_set("line_no").alias("lines")), f"{path}/kept")
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
