@@ -30,7 +30,7 @@ def main() -> None:
         SparkSession.builder.master(f"local[{cpus}]").appName("bench")
         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", cpus).config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "12g")
+        .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "12g").config("pagesieve.partitions", cpus)
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -201,6 +201,11 @@ _JAVA = {
     ("regex_patterns", 0): r"""/(?:(?:[^/\\]|\\.)(?!/))*+([^/\\]|\\.)/[gimsuy]*""",
 }
 
+# Stretches of a line in which no match can begin once the expression has failed at their start.
+_IDLE = {
+    ("parameters", 3): r"""(?:params|query|body|data|options|config|args)\s*[:=]\s*\{[^}]*+\z""",
+}
+
 # The intended reading of expressions that, as specified, miss what they are for.
 _CORRECTED = {
     ("function_names", 3): (r"""["']([a-zA-Z_$][a-zA-Z0-9_$]*)["']\s*:\s*(?:async\s+)?function""", ("function",)),
@@ -222,5 +227,5 @@ def detectors(category: str, corrected: bool = False) -> list[tuple[Rx, str]]:
         java = _JAVA.get((category, k))
         if corrected and (category, k) in _CORRECTED:
             (pattern, needs), java = _CORRECTED[category, k], _CORRECTED_JAVA.get((category, k))
-        out.append((Rx(pattern, needs, "i" if category == "secrets" else "s", java), confidence))
+        out.append((Rx(pattern, needs, "i" if category == "secrets" else "s", java, idle=_IDLE.get((category, k))), confidence))
     return out

@@ -36,8 +36,8 @@ class Rule:
 
 
 def _rule(rule_id, severity, cwe, tags, pattern, needs, title, description, remediation, *,
-          flags="", java=None, re2=None, taint=False, below=None):
-    rx = Rx(pattern, needs, flags, java, re2)
+          flags="", java=None, re2=None, taint=False, below=None, idle=None):
+    rx = Rx(pattern, needs, flags, java, re2, idle)
     return Rule(rule_id, severity, cwe, tuple(tags), rx, title, description, remediation,
                 taint=taint, below=below)
 
@@ -74,7 +74,8 @@ _BY_GROUP: dict[str, list[Rule]] = {
               "insertAdjacentHTML call", "Inserts parsed markup.", "Sanitise the markup first."),
         _rule("JS-JQUERY-HTML-001", "MEDIUM", "CWE-79", ["xss"],
               r"""\$\(.*\)\.html\s*\(""", (").html",),
-              "jQuery html setter", "Sets parsed markup through jQuery.", "Use the text setter."),
+              "jQuery html setter", "Sets parsed markup through jQuery.", "Use the text setter.",
+              idle=r"""\$\(.*+"""),
         _rule("JS-DANGEROUSLYSETINNERHTML-001", "MEDIUM", "CWE-79", ["xss", "react"],
               r"""dangerouslySetInnerHTML""", ("dangerouslySetInnerHTML",),
               "React raw markup", "Turns off escaping for a node.", "Render text, or sanitise."),
@@ -126,16 +127,19 @@ _BY_GROUP: dict[str, list[Rule]] = {
     "node": [
         _rule("NODE-EXEC-001", "HIGH", "CWE-78", ["command-injection", "rce"],
               r"""(?:child_process\.)?(exec|execSync)\s*\([^)]*\+""", ("exec",),
-              "Shell command concatenated", "The command line is built from parts.", "Pass an argument list."),
+              "Shell command concatenated", "The command line is built from parts.", "Pass an argument list.",
+              idle=r"""(?:child_process\.)?(?:exec|execSync)\s*\([^)]*+"""),
         _rule("NODE-EXEC-002", "MEDIUM", "CWE-78", ["command-injection"],
               r"""(?:child_process\.)?\b(exec|execSync|spawn|spawnSync|fork|execFile)\b""", ("exec", "spawn", "fork"),
               "Process started near user data", "Arguments may be chosen by a user.", "Validate the arguments.", taint=True),
         _rule("NODE-PATH-001", "HIGH", "CWE-22", ["path-traversal"],
               r"""\bfs\.(readFile|readFileSync|writeFile|writeFileSync|appendFile|unlink|createReadStream|createWriteStream|readdir|stat|lstat|access)\s*\([^)]*\+""", ("fs.",),
-              "File path concatenated", "The path may leave its folder.", "Resolve and compare with the root."),
+              "File path concatenated", "The path may leave its folder.", "Resolve and compare with the root.",
+              idle=r"""\bfs\.(?:readFile|readFileSync|writeFile|writeFileSync|appendFile|unlink|createReadStream|createWriteStream|readdir|stat|lstat|access)\s*\([^)]*+"""),
         _rule("NODE-REQUIRE-DYNAMIC-001", "HIGH", "CWE-94", ["lfi", "code-injection"],
               r"""\brequire\s*\(\s*[^'\"][^)]*\+""", ("require",),
-              "Module name computed", "Any file may be loaded.", "Map names to listed modules."),
+              "Module name computed", "Any file may be loaded.", "Map names to listed modules.",
+              idle=r"""\brequire\s*\([^)+]*+(?:\z|(?<!\(\s{0,40})(?=\)))"""),
         _rule("NODE-SQL-CONCAT-001", "HIGH", "CWE-89", ["sqli"],
               r"""\.(query|execute)\s*\(\s*(['\"])(SELECT|INSERT|UPDATE|DELETE|DROP|UNION)[^'\"]*\1\s*\+""", (".query", ".execute"),
               "SQL text concatenated", "Values become part of the statement.", "Use bound parameters.", flags="i",
@@ -149,7 +153,8 @@ _BY_GROUP: dict[str, list[Rule]] = {
               "Code-carrying deserialiser", "The input may hold code.", "Read plain JSON."),
         _rule("NODE-XXE-001", "HIGH", "CWE-611", ["xxe"],
               r"""\b(libxmljs|xml2js|sax)\b.*\bparse""", ("libxmljs", "xml2js", "sax"),
-              "XML parsed near user data", "External entities may be resolved.", "Turn external entities off.", taint=True),
+              "XML parsed near user data", "External entities may be resolved.", "Turn external entities off.", taint=True,
+              idle=r"""\b(?:libxmljs|xml2js|sax)\b.*+"""),
         _rule("NODE-NOSQL-INJECTION-001", "HIGH", "CWE-943", ["nosql-injection"],
               r"""\.(find|findOne|update|updateOne|deleteOne)\s*\(\s*req\.(body|query|params)""", (".find", ".update", ".deleteOne"),
               "Request used as a query", "Operators may be injected.", "Validate against a schema."),

@@ -33,6 +33,9 @@ class Rx:
     flags: str = ""
     java: str | None = None
     re2: str | None = None
+    #: A stretch in which no match can begin once the expression has failed at its start; taking it
+    #: in one step keeps long lines of unfinished openers from being searched again and again.
+    idle: str | None = None
 
     @property
     def ignore_case(self) -> bool:
@@ -49,7 +52,7 @@ class Rx:
 
     def jvm(self) -> str:
         # d: only \n ends a line; U: unicode-aware \w \d \s \b (and case folding with i)
-        return f"(?dU{self.flags}){self.java or self.pattern}"
+        return f"(?dU{self.flags}){self.java or self.pattern}" + (f"|{self.idle}" if self.idle else "")
 
 
 def _group_count(pattern: str) -> int:

@@ -2,7 +2,7 @@
 
 Spark has no find-all that reports positions.  Here each expression rewrites the
 text once, fencing its matches with a separator; splitting on the separator gives
-``gap, match, value, following, gap, ...`` and a running sum over the piece
+``gap, match, value, following, idle, gap, ...`` and a running sum over the piece
 lengths gives offset, line and column.  A text is only rewritten for expressions
 that pass their substring test, and everything stays inside one row's arrays, so
 the text is never copied per match and nothing is shuffled.
@@ -17,7 +17,7 @@ from pagesieve.functions.regex import Rx, dispatch, quoted, with_candidates
 
 # A Unicode noncharacter: never valid in interchanged text.
 FENCE = "\ufdd0"
-STRIDE = 4  # pieces per match: gap, match, value, following text
+STRIDE = 5  # pieces per match: gap, match, value, following text, idle stretch
 BLOCK = 64  # running sums grow an array per block, keeping them linear overall
 
 _POSITION = "struct<off:int,line:int,col:int,ahead:string,idx:int>"
@@ -26,11 +26,11 @@ _NL = "'\\n'"
 
 
 def fenced(text: str, rx: Rx, after: int = 0) -> str:
-    """SQL for ``text`` with each match fenced as match, value, following text."""
+    """SQL for ``text`` with each match fenced as match, value, following text, idle stretch."""
     follow = f"(?=((?s:.{{0,{after}}})))" if after else "()"
     # one more group at the end holds up to ``after`` characters behind the match
-    pattern = f"(?dU{rx.flags})(?:{rx.java or rx.pattern}){follow}"
-    parts = ["$0", f"${rx.value_group}", f"${rx.groups + 1}"]
+    pattern = f"(?dU{rx.flags})(?:(?:{rx.java or rx.pattern})|({rx.idle or '(?!)'})){follow}"
+    parts = ["$0", f"${rx.value_group}", f"${rx.groups + 2}", f"${rx.groups + 1}"]
     return f"regexp_replace({text}, {quoted(pattern)}, {quoted(FENCE + FENCE.join(parts) + FENCE)})"
 
 
@@ -118,11 +118,20 @@ def scan(
     }
     row = "named_struct(" + ", ".join(f"'{n}', {e}" for n, e in fields.items()) + ")"
     pieces = f"split({dispatch('k', [fenced(text, r, after) for r in rxs])}, {quoted(FENCE)}, -1)"
-    located = _let("p", pieces, f"transform({_positions(before)}, m -> {row})")
+    places = _positions(before)
+    if any(r.idle for r in rxs):
+        places = f"filter({places}, m -> p[m.idx * {STRIDE} + 4] = '')"
+    located = _let("p", pieces, f"transform({places}, m -> {row})")
     found = df.select(*keep, F.expr(f"explode_outer(flatten(transform(_pick, k -> {located})))").alias("_m"))
     return found.filter("_m IS NOT NULL").select(*keep, "_m.*")
 
 
+def _values(rx: Rx) -> str:
+    found = f"regexp_extract_all(_t, {quoted(rx.jvm())}, {rx.value_group})"
+    # an idle stretch has no value, and expressions that have one never match without
+    return f"filter({found}, v -> v <> '')" if rx.idle else found
+
+
 def extract_values(
     df: DataFrame, text: str, rxs: list[Rx], *, keep: list[str] | None = None
 ) -> DataFrame:
@@ -134,6 +143,6 @@ def extract_values(
     keep = keep if keep is not None else [c for c in df.columns if c != text]
     df = with_candidates(df, text, rxs)
     routed = df.select(*keep, F.col(text).alias("_t"), F.explode_outer("_pick").alias("rx"))
-    hits = dispatch("rx", [f"regexp_extract_all(_t, {quoted(r.jvm())}, {r.value_group})" for r in rxs])
+    hits = dispatch("rx", [_values(r) for r in rxs])
     found = routed.filter("rx IS NOT NULL").select(*keep, "rx", F.expr(f"posexplode_outer({hits})").alias("nth", "value"))
     return found.filter("value IS NOT NULL")

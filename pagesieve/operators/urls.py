@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagesieve.functions.text import strip
-from pagesieve.functions.totals import one_row, size
 from pagesieve.functions.url import clean_path, netloc
 
 # What makes a path interesting, and URL categories by extension.
@@ -68,7 +67,7 @@ def in_scope(urls: DataFrame, scope: list[str]) -> DataFrame:
 
 
 def scope_dropped(urls: DataFrame, scope: list[str]) -> DataFrame:
-    return urls.agg(F.count_if(~is_in_scope(F.col("url"), scope)).alias("out_of_scope_dropped"))
+    return urls.select("url").distinct().agg(F.count_if(~is_in_scope(F.col("url"), scope)).alias("out_of_scope_dropped"))
 
 
 def clean_paths(urls: DataFrame) -> DataFrame:
@@ -90,25 +89,33 @@ def categories(urls: DataFrame) -> DataFrame:
     return found.filter(F.col("category").isNotNull()).select("category", "url")
 
 
+def _parameters(url: Column) -> Column:
+    return F.regexp_extract_all(F.get(F.split(url, r"\?"), F.lit(1)), F.lit(QUERY_NAME), F.lit(1))
+
+
 def parameter_names(urls: DataFrame) -> DataFrame:
     """Distinct parameter names, read from the part after the first ``?`` only."""
-    query = F.get(F.split("url", r"\?"), F.lit(1))
-    found = urls.select(F.explode_outer(F.regexp_extract_all(query, F.lit(QUERY_NAME), F.lit(1))).alias("parameter"))
+    found = urls.select(F.explode_outer(_parameters(F.col("url"))).alias("parameter"))
     return found.filter(F.col("parameter").isNotNull()).distinct()
 
 
 def summary(urls: DataFrame, scope: list[str] | None = None) -> DataFrame:
-    """One row of counts over the distinct URLs in scope; each distinct count is pre-aggregated."""
-    kept = in_scope(urls, scope) if scope is not None else urls
-    counts = {
-        "total_urls": size(kept),
-        "clean_paths": size(clean_paths(kept)),
-        "important_paths": size(important_paths(kept)),
-        "unique_parameters": size(parameter_names(kept)),
-    }
-    if scope is not None:
-        return one_row({**counts, "out_of_scope_dropped": scope_dropped(urls, scope)})
-    return one_row(counts).withColumn("out_of_scope_dropped", F.lit(0).cast("long"))
+    """One row of counts over the distinct URLs, those in scope if a scope is given.
+
+    The URLs are made distinct once; what is counted of each becomes rows of (kind, value), which
+    are made distinct and counted together.
+    """
+    inside = is_in_scope(F.col("url"), scope) if scope is not None else F.lit(True)
+    path = clean_path(F.col("url"))
+    known = urls.select("url").distinct().select("url", inside.alias("_in"), path.alias("_path"), _parameters(F.col("url")).alias("_names"))
+    kinds = F.when(~F.col("_in"), F.array(F.struct(F.lit("out_of_scope_dropped").alias("kind"), F.col("url").alias("value")))).otherwise(F.concat(
+        F.array(F.struct(F.lit("total_urls").alias("kind"), F.col("url").alias("value")), F.struct(F.lit("clean_paths").alias("kind"), F.col("_path").alias("value"))),
+        F.transform(F.coalesce("_names", F.array().cast("array<string>")), lambda n: F.struct(F.lit("unique_parameters").alias("kind"), n.alias("value"))),
+    ))
+    counted = known.select(F.inline(kinds)).distinct()
+    important = (F.col("kind") == "clean_paths") & is_important(F.col("value"))
+    names = ["total_urls", "clean_paths", "important_paths", "unique_parameters", "out_of_scope_dropped"]
+    return counted.agg(*[F.count_if(important if n == "important_paths" else F.col("kind") == n).alias(n) for n in names])
 
 
 def substitute_parameters(urls: DataFrame, marker: str) -> DataFrame:

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagesieve.sources.corpus import spread
 
 P = "CAST(page_id AS VARCHAR(20))"
 _TITLE = "replace(regexp_extract(html, '<title>([^<]*)', 1), '@', ' ')"
@@ -33,7 +32,7 @@ _LINES: list[tuple[int, str]] = [
     (13, f"concat('var a = \"AK', 'IA', lpad({P}, 16, 'A'), '\";')"),
     # endpoints
     (3, f"concat('const t = `/tpl/', {P}, '/x`; let rel = \"../up/./c', {P}, '?x=1#f\";')"),
-    (4, "'const q = graphql(\"/graphql/main\"); gql`query Users { id }`; graphql(\"query Users\");'"),
+    (4, "'const q = graphql(\"/graphql/main\"); gql`query Users { id }`; gql`/graphql/frag`; graphql(\"query Users\");'"),
     (5, f"concat('img.src = \"//cdn', {P}, '.example.com/pic.png\"; url: \"https://h.example.com/e/f.,;\",')"),
     (6, "'require(\"../shared/util.js\"); import(\"./lazy.js\"); dynamic import(\"./dyn.js\"); location.href = \"https://www.example.com/next\";'"),
     (7, f"concat('axios({{ method: \"put\", x: 1 }}); var z = \"/after/put/', {P}, '\"; apiUrl = \"https://api.example.com/base/\";')"),
@@ -97,7 +96,7 @@ RICH_PAGES = f"""
 SELECT page_id, url, concat(html,
  '<!-- <script src="/dead.js"></script> --><script src="/static/app', {P}, '.js"></script>',
  CASE WHEN page_id % 2 = 0 THEN '<script type=module SRC=''lib/x.js?a=1&amp;b=2''></script>' ELSE '' END,
- CASE WHEN page_id % 3 = 0 THEN '<script>fetch("/inline/api?x=1"); var u = "https://cdn.example.com/p";</script>' ELSE '' END,
+ CASE WHEN page_id % 3 = 0 THEN '<script>fetch("/inline/api?x=1"); var u = "https://cdn.example.com/p"; el.innerHTML = u;</script>' ELSE '' END,
  '<button class="b" onclick="go(''/btn/', {P}, ''')" onload=''open("/l/', CAST(page_id % 5 AS VARCHAR(20)), '")''>x</button>',
  CASE WHEN page_id % 5 = 0 THEN '<p onclick="no(''/p'')">t</p><a href="#top">a</a><a href="mailto:x">b</a><a href="">c</a>' ELSE '' END,
  CASE WHEN page_id % 4 = 0 THEN concat('<a title="> q" href="https://', {HOST}, '/same/', {P}, '">s</a><a href="https://other.example.net/x#f">o</a>') ELSE '' END,
@@ -167,12 +166,15 @@ TABLES = {
 SCOPE = ["*.example.com", "api.*.example.org:8443", "WWW.site1.example.com", "", "# remark"]
 
 
+#: Session setting: tasks over which the text tables are dealt. Not set, they are read as they are stored.
+PARTITIONS = "pagesieve.partitions"
 TEXT_TABLES = ("pages", "documents")
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{folder}/{name}.parquet")
-    return spread(df) if name in TEXT_TABLES else df
+    wanted = spark.conf.get(PARTITIONS, None)
+    return df.repartition(int(wanted)) if wanted and name in TEXT_TABLES else df
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -341,20 +341,20 @@ def build() -> None:
     js, src, urls, resp = JS, tab("source_corpus"), tab("urls"), tab("responses")
     # sources and sinks
     put("pages_corpus", "SELECT url AS path, html AS content, 'html' AS kind FROM pages")
-    put("scan_corpus", "SELECT page_id || ' ' || url AS line FROM pages WHERE page_id % 5 <> 0")
+    put("scan_corpus", "SELECT 'src' AS folder, 'text' AS kind, page_id || ' ' || url AS line FROM pages WHERE page_id % 5 <> 0")
     title = "regexp_extract(html, '<title>([^<]*)', 1)"
     put("decode_text", f"SELECT page_id, CASE page_id % 3 WHEN 0 THEN {title} ELSE chr(233) || regexp_replace({title}, '[^ -~]', '', 'g') END AS content FROM pages WHERE page_id % 3 < 2")
     put("list_source", "SELECT trim(url) AS value FROM pages WHERE page_id % 4 <> 0 AND page_id % 5 <> 0")
     put("sourcemap_explode", "SELECT url || '.js.map -> a.js' AS path, url AS content, 'js' AS kind FROM pages WHERE page_id % 7 <> 0 UNION ALL SELECT url || '.js.map -> b.js', 'x=1;', 'js' FROM pages WHERE page_id % 7 <> 0 AND page_id % 2 <> 0")
     put("response_log_parse", f"SELECT DISTINCT url, status, length, 'h1' AS hash FROM {resp} WHERE length <> '512'")
-    put("sink_json_roundtrip", f'SELECT rule_id, file, line, "column", snippet FROM ({findings(js, ["xss"])})')
-    put("sink_csv_roundtrip", f"SELECT {_IT} FROM ({items(js, ['urls', 'dom_selectors', 'headers'])})")
+    put("sink_json_roundtrip", f'SELECT rule_id, file, line, "column", snippet FROM ({findings(js)})')
+    put("sink_csv_roundtrip", f"SELECT {_IT} FROM ({items(js)})")
     put("report_lines", f"""SELECT '[' || severity || '] ' || rule_id || '  ' || title || {NL} || '   File : ' || file || ':' || line || ':' || "column"
  || {NL} || '   CWE  : ' || cwe || '    Tags: ' || replace(tags, ',', ', ') || CASE WHEN snippet <> '' THEN {NL} || '   Code : ' || snippet ELSE '' END
- || {NL} || '   Fix  : ' || remediation AS block FROM ({findings(js, ['xss', 'crypto'])}) JOIN {_RULES} ON rid = rule_id""")
+ || {NL} || '   Fix  : ' || remediation AS block FROM ({findings(js)}) JOIN {_RULES} ON rid = rule_id""")
     ep = endpoints(js)
     put("endpoint_lines", f"SELECT CASE WHEN method IS NOT NULL THEN '[' || method || '] ' ELSE '' END || url || '  (' || source_file || ':' || line_number || ')' AS line FROM ({ep})")
-    put("item_lines", f"SELECT '- `' || value || '` (Line ' || line_number || ', ' || confidence || ')' AS line FROM ({items(js, ['imports', 'class_names'])})")
+    put("item_lines", f"SELECT '- `' || value || '` (Line ' || line_number || ', ' || confidence || ')' AS line FROM ({items(js)})")
     co = comments(src)
     put("comment_lines", f"SELECT '  [' || CASE type WHEN 'line' THEN 'LINE ' ELSE 'BLOCK' END || ' L' || line_start || CASE WHEN line_end <> line_start THEN '-L' || line_end ELSE '' END || '] ' || text AS line FROM ({co})")
     fi = findings(js)
@@ -377,13 +377,15 @@ def build() -> None:
     put("html_internal_links", _INTERNAL)
     edges = tab("link_edges")
     put("link_reach", f"WITH RECURSIVE w(node, depth) AS (SELECT CAST(0 AS BIGINT), 0 UNION SELECT dst, depth + 1 FROM w JOIN {edges} ON src = node WHERE depth < 3) SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM w GROUP BY node")
-    put("reached_scripts", f"SELECT DISTINCT script_url FROM ({_SCRIPTS}) WHERE page_url IN (SELECT url FROM pages UNION SELECT link_url FROM ({_INTERNAL}))")
+    put("reached_scripts", f"WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT page_url, link_url FROM ({_INTERNAL})), "
+        "w(node, depth) AS (SELECT url, 0 FROM pages WHERE page_id % 10 = 0 UNION SELECT link_url, depth + 1 FROM w JOIN e ON page_url = node WHERE depth < 2) "
+        f"SELECT DISTINCT script_url FROM ({_SCRIPTS}) WHERE page_url IN (SELECT node FROM w)")
     # endpoints
     for name, _ in ENDPOINT_TYPES:
         put(f"ep_{name}", f"SELECT {ep_cols} FROM ({endpoints(js, [name])})")
     put("endpoints_all", f"SELECT * FROM ({endpoints(BOTH)})")
     v = strip("value")
-    put("ep_valid_filter", f"SELECT value, {valid('value')} AS ok, {valid('value')} AND NOT regexp_matches({v}, {lit(STATIC_ASSET)}) AS ok_no_assets FROM (SELECT DISTINCT unnest(regexp_extract_all(content, '\"([^\"' || {NL} || ']*)\"', 1)) AS value FROM {js})")
+    put("ep_valid_filter", f"SELECT value, {valid('value')} AS ok, {valid('value')} AND NOT regexp_matches({v}, {lit(STATIC_ASSET)}) AS ok_no_assets FROM (SELECT DISTINCT unnest(regexp_extract_all(content, '[\"''`]([^\"''`' || {NL} || ']*)[\"''`]', 1)) AS value FROM {js})")
     forms = ["'/root/' || p || '?a=1#f'", "'../up/' || p || '.js'", "'./here/../' || p || '/'", "'//cdn' || p || '.example.com/x?y=/z'", "'a//b/./c' || p || '.,;'",
              "'?only=query'", "'#frag'", "' /trim/.. '", "'https://abs.example.com/k#z'", "'wss://abs.example.com'", "''"]
     bases = "CASE p % 3 WHEN 0 THEN 'src/lib/f' || p || '.js' WHEN 1 THEN 'app.js' ELSE 'https://h' || p || '.example.com/d1/d2/f.js?v=1' END"
@@ -405,12 +407,12 @@ def build() -> None:
     put("js_custom", f"SELECT {_IT} FROM ({items(js, [], custom=[('track', 'ref=([0-9A-Za-z_]+)', 'low'), ('num', 'id=[0-9]+', '')])})")
     raw = f"CASE page_id % 5 WHEN 0 THEN '\"' || url || '\"' WHEN 1 THEN chr(9) || ' ''' || url || ''' ' || {NL} WHEN 2 THEN '`' || url || '\"' WHEN 3 THEN html ELSE '\"' END"
     put("js_clean_value", f"SELECT page_id, {clean('raw')} AS value FROM (SELECT page_id, {raw} AS raw FROM pages)")
-    put("js_length_gate", f"SELECT {_IT} FROM ({items(js, ['parameters', 'class_names'], 8)})")
-    put("js_exclude", f"SELECT {_IT} FROM ({items(js, ['urls', 'class_names', 'comments'])}) WHERE NOT regexp_matches(value, '(?i)example[.]com') AND lower(value) <> 'widget'")
+    put("js_length_gate", f"SELECT {_IT} FROM ({items(js, None, 8)})")
+    put("js_exclude", f"SELECT {_IT} FROM ({items(js)}) WHERE NOT regexp_matches(value, '(?i)example[.]com') AND lower(value) <> 'widget'")
     every = items(js)
     put("js_dedup", f"SELECT {_IT}, pattern_ord, match_ord FROM ({every}) QUALIFY category = 'comments' OR row_number() OVER (PARTITION BY category, value ORDER BY path, category_ord, line_number, pattern_ord, match_ord) = 1")
     put("js_distinct", f"SELECT DISTINCT category, value FROM ({every})")
-    put("js_context", f"SELECT {_IT}, context FROM ({items(js, ['urls', 'imports'])})")
+    put("js_context", f"SELECT {_IT}, context FROM ({items(js)})")
     put("js_category_filter", f"SELECT {_IT} FROM ({items(js, ['env_vars', 'graphql', 'cookies'])})")
     put("js_confidence_filter", f"SELECT {_IT} FROM ({every}) WHERE {_CONF} <= 1")
     put("js_sorted", f"SELECT {_IT} FROM ({every}) ORDER BY category_ord, {_CONF}, path, line_number, pattern_ord, match_ord")
@@ -423,9 +425,10 @@ def build() -> None:
     put("vuln_findings", f"SELECT {_FI} FROM ({fi})")
     for g in GROUPS:
         put(f"vuln_{g}", f"SELECT {_FI} FROM ({findings(js, [g])})")
-    put("vuln_documents", f"SELECT {_FI} FROM ({findings(DOCS, ['secrets', 'crypto'])})")
-    put("vuln_locations", f'SELECT file, rule_id, line, "column", "offset" FROM ({findings(js, ["config", "proto"])})')
-    put("vuln_taint_gate", f'SELECT file, rule_id, line, "column" FROM ({findings(js, ["request", "node"])})')
+    texts = f"(SELECT * FROM {tagged(_INLINE)} UNION ALL SELECT * FROM {DOCS})"
+    put("vuln_documents", f"SELECT {_FI.replace('file', 'string_split(file, chr(1))[1] AS file')} FROM ({findings(texts)})")
+    put("vuln_locations", f'SELECT file, rule_id, line, "column", "offset" FROM ({findings(js)})')
+    put("vuln_taint_gate", f'SELECT file, rule_id, line, "column" FROM ({findings(js)})')
     put("vuln_no_info", f"SELECT {_FI} FROM ({findings(js, include_info=False)})")
     put("vuln_ranked", f'SELECT {_FI}, CAST({_RANK} AS INTEGER) AS rank FROM ({fi}) ORDER BY rank DESC, file, line, rule_ord, "offset"')
     put("vuln_severity_counts", f"SELECT severity, count(*) AS n FROM ({fi}) GROUP BY 1")
@@ -449,7 +452,7 @@ def build() -> None:
     put("comment_by_language", f"SELECT language, count(DISTINCT path) AS files, count(*) AS comments FROM ({co}) GROUP BY 1")
     put("comment_per_file", f"""SELECT path, language, CAST(count(*) AS INTEGER) AS comment_count, string_agg(line_start || ':' || text, '|' ORDER BY "offset") AS comments FROM ({co}) GROUP BY 1, 2""")
     # URLs
-    put("url_union_distinct", f"SELECT DISTINCT url FROM {urls}")
+    put("url_union_distinct", f"SELECT url FROM {urls} UNION SELECT url || CASE WHEN page_id % 2 = 0 THEN '#feed' ELSE '' END FROM pages")
     put("url_domain_filter", rf"SELECT url FROM {urls} WHERE regexp_matches(url, '(?i)site3\.example\.com\b')")
     host = "regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)"
     put("domain_valid", f"SELECT domain, regexp_matches(domain, {lit(DOMAIN_NAME)}) AS valid FROM (SELECT DISTINCT CASE length(url) % 3 WHEN 0 THEN '-' || {host} WHEN 1 THEN {host} || '..' ELSE {host} END AS domain FROM {urls})")
@@ -474,7 +477,7 @@ def build() -> None:
     # responses, hosts, files
     stem = "string_split(url, '?')[1]"
     put("response_diff", f"WITH r AS MATERIALIZED (SELECT {stem} AS base_url, url, status || '_' || length AS v FROM {resp}) SELECT DISTINCT base_url, url FROM r WHERE base_url IN (SELECT base_url FROM r GROUP BY 1 HAVING count(DISTINCT v) > 1)")
-    put("url_online", f"SELECT DISTINCT url FROM {resp} WHERE status = '200'")
+    put("url_online", f"SELECT DISTINCT url FROM {resp} WHERE status = '200' AND contains(url, 'aa2a')")
     whole, name = "regexp_extract(url, '^([a-z]+://[^/?#]*)', 1)", "regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)"
     hosts = f"(SELECT DISTINCT CASE length(url) % 4 WHEN 0 THEN {whole} || '//' WHEN 1 THEN {name} WHEN 2 THEN '' ELSE {name} || '/' END AS host FROM {urls})"
     target = "CASE WHEN host <> '' THEN rtrim(CASE WHEN contains(host, '://') THEN host ELSE 'http://' || host END, '/') END"
@@ -486,7 +489,7 @@ def build() -> None:
     codes = ", ".join(f"'{c}'" for c in BUCKETS)
     put("status_buckets", f"SELECT status AS bucket, count(*) AS n FROM {resp} WHERE status IN ({codes}) GROUP BY 1")
     put("status_buckets_substring", f"SELECT bucket, count(*) AS n FROM {resp} JOIN (SELECT unnest([{codes}, '512']) AS bucket) ON contains(url || ' ' || status || ' ' || length, bucket) GROUP BY 1")
-    put("strip_ansi", "SELECT page_id, url || ' ' || left(html, 80) AS text FROM pages")
+    put("strip_ansi", "SELECT page_id, url || ' ' || html AS text FROM pages")
     put("safe_name", """SELECT page_id, coalesce(nullif(trim(regexp_replace(regexp_replace(CASE WHEN page_id % 9 = 0 THEN 'https://??' ELSE url END, '^https?://', ''), '[\\\\/:*?"<>|]+', '_', 'g'), '_'), ''), 'target') AS name FROM pages""")
     escaped = "html"
     for a, b in [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")]:
@@ -513,7 +516,12 @@ def build() -> None:
     put("audit_resume", f"SELECT kind, count(*) AS n FROM ({audit(js)}) GROUP BY 1")
     # streams
     put("stream_endpoints", f"SELECT {ep_cols} FROM ({endpoints('(SELECT url AS path, html AS content FROM pages)')})")
-    put("stream_first_seen", "SELECT DISTINCT user_id, event_type FROM events")
+    put("stream_first_seen", f"SELECT DISTINCT category, value FROM ({items(js)}) WHERE category <> 'comments'")
+    made = TABLES["js_corpus"][0].replace("SELECT ", "SELECT page_id, ", 1)
+    timed = f"(SELECT (page_id % 24 * 600 + 1699999200) || chr(1) || path AS path, content FROM ({made}))"
+    times = f"SELECT CAST(string_split(file, chr(1))[1] AS BIGINT) AS t, severity FROM ({findings(timed)})"
+    put("stream_counts", f"WITH f AS MATERIALIZED ({times}) SELECT strftime(make_timestamp(t // 3600 * 3600000000), '%Y-%m-%d %H:%M:%S') AS window_start, "
+        "severity, count(*) AS n FROM f WHERE (t // 3600 + 1) * 3600 <= (SELECT max(t) FROM f) - 3600 GROUP BY 1, 2")
 
 
 build()

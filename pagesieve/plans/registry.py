@@ -23,7 +23,7 @@ from pagesieve.operators import links as L
 from pagesieve.operators import responses as R
 from pagesieve.operators import scripts as S
 from pagesieve.operators import urls as U
-from pagesieve.plans.derived import SCOPE, table
+from pagesieve.plans.derived import SCOPE, TABLES, table
 from pagesieve.sources import corpus as SRC
 from pagesieve.sources import sinks as SINK
 from pagesieve.streaming import streams as ST
@@ -74,7 +74,8 @@ def _(spark, d):
     rows.filter("folder = 'src'").select("value").write.text(f"{out}/src")
     rows.filter("folder <> 'src'").select("value").write.text(f"{out}/node_modules")
     files = SRC.scan_files(spark, out, extensions=[".txt"], kind="text")
-    lines = files.select(F.explode_outer(F.split("content", "\n")).alias("line"))
+    where = F.regexp_extract("path", "/(src|node_modules)/[^/]*$", 1)
+    lines = files.select(where.alias("folder"), "kind", F.explode_outer(F.split("content", "\n")).alias("line"))
     return lines.filter("line <> ''")
 
 
@@ -122,7 +123,7 @@ def _(spark, d):
 @query("sink_json_roundtrip")
 def _(spark, d):
     out = storage.scratch(spark, "json")
-    rows = V.findings(table(spark, d, "js_corpus"), groups=["xss"]).select("rule_id", "file", "line", "column", "snippet")
+    rows = V.findings(table(spark, d, "js_corpus")).select("rule_id", "file", "line", "column", "snippet")
     SINK.write_json(rows, out, total="total_findings")
     return spark.read.schema(rows.schema).json(f"{out}/rows")
 
@@ -130,15 +131,15 @@ def _(spark, d):
 @query("sink_csv_roundtrip")
 def _(spark, d):
     out = storage.scratch(spark, "csv")
-    rows = I.js_items(table(spark, d, "js_corpus"), categories=["urls", "dom_selectors", "headers"])
+    rows = I.js_items(table(spark, d, "js_corpus"))
     SINK.write_csv(rows, out)
     back = spark.read.schema("category string, value string, confidence string, line_number int, path string")
-    return back.option("header", True).option("escape", '"').csv(out)
+    return back.option("header", True).option("escape", '"').option("multiLine", True).csv(out)
 
 
-on("report_lines", "js_corpus", lambda c: SINK.finding_lines(V.findings(c, groups=["xss", "crypto"])))
+on("report_lines", "js_corpus", lambda c: SINK.finding_lines(V.findings(c)))
 on("endpoint_lines", "js_corpus", lambda c: SINK.endpoint_lines(E.endpoints(c, context=False)))
-on("item_lines", "js_corpus", lambda c: SINK.item_lines(I.js_items(c, categories=["imports", "class_names"])))
+on("item_lines", "js_corpus", lambda c: SINK.item_lines(I.js_items(c)))
 on("comment_lines", "source_corpus", lambda c: SINK.comment_lines(C.comments(c)))
 on("severity_line", "js_corpus", lambda c: SINK.severity_line(V.severity_counts(V.findings(c))))
 
@@ -179,8 +180,8 @@ on("link_reach", "link_edges", lambda e: L.reach(e, e.filter("src = 0").select(F
 def _(spark, d):
     pages = table(spark, d, "rich_pages")
     edges = L.page_edges(H.internal(H.links(pages)))
-    seeds = pages.select(F.col("url").alias("node"))
-    return L.reached_scripts(L.reach(edges, seeds, 1), H.script_sources(pages))
+    seeds = pages.filter("page_id % 10 = 0").select(F.col("url").alias("node"))
+    return L.reached_scripts(L.reach(edges, seeds, 2), H.script_sources(pages))
 
 
 # --- endpoints ---------------------------------------------------------------------------
@@ -199,7 +200,7 @@ def _(spark, d):
 def _(spark, d):
     """Verdict on the raw quoted strings of the scripts."""
     c = table(spark, d, "js_corpus")
-    raw = c.select(F.explode_outer(F.regexp_extract_all("content", F.lit('"([^"\n]*)"'), F.lit(1))).alias("value"))
+    raw = c.select(F.explode_outer(F.regexp_extract_all("content", F.lit("[\"'`]([^\"'`\n]*)[\"'`]"), F.lit(1))).alias("value"))
     return raw.filter("value is not null").distinct().select(
         "value", E.is_endpoint(F.col("value")).alias("ok"), E.is_endpoint(F.col("value"), True).alias("ok_no_assets")
     )
@@ -273,11 +274,11 @@ def _(spark, d):
     return pages.select("page_id", T.clean_value(v).alias("value"))
 
 
-on("js_length_gate", "js_corpus", lambda c: items(c, categories=["parameters", "class_names"], min_length=8).select(*_IT))
-on("js_exclude", "js_corpus", lambda c: items(c, categories=["urls", "class_names", "comments"], exclude=EXCLUDE).select(*_IT))
+on("js_length_gate", "js_corpus", lambda c: items(c, min_length=8).select(*_IT))
+on("js_exclude", "js_corpus", lambda c: items(c, exclude=EXCLUDE).select(*_IT))
 on("js_dedup", "js_corpus", lambda c: I.first_seen(items(c)).select(*_IT, "pattern_ord", "match_ord"))
 on("js_distinct", "js_corpus", lambda c: I.distinct_values(items(c)))
-on("js_context", "js_corpus", lambda c: items(c, categories=["urls", "imports"], context=True).select(*_IT, "context"))
+on("js_context", "js_corpus", lambda c: items(c, context=True).select(*_IT, "context"))
 on("js_category_filter", "js_corpus", lambda c: items(c, categories=["env_vars", "graphql", "cookies"]).select(*_IT))
 on("js_confidence_filter", "js_corpus", lambda c: I.at_least(items(c), "high").select(*_IT))
 on("js_sorted", "js_corpus", lambda c: I.sort_items(items(c)).select(*_IT))
@@ -292,10 +293,19 @@ _FI = ["rule_id", "severity", "file", "line", "column", "snippet"]
 on("vuln_findings", "js_corpus", lambda c: V.findings(c).select(*_FI))
 for _group in GROUPS:
     on(f"vuln_{_group}", "js_corpus", lambda c, g=_group: V.findings(c, groups=[g]).select(*_FI))
-QUERIES["vuln_documents"] = lambda spark, d: V.findings(documents(spark, d), groups=["secrets", "crypto"]).select(*_FI)
-on("vuln_locations", "js_corpus", lambda c: V.findings(c, groups=["config", "proto"]).select(
+
+
+@query("vuln_documents")
+def _(spark, d):
+    """All rules over the documents and the inline scripts of the pages."""
+    scripts = H.inline_scripts(table(spark, d, "rich_pages"))
+    corpus = SRC.text_corpus(scripts, F.col("page_url"), F.col("content"), "js").unionByName(documents(spark, d))
+    return V.findings(corpus).select(*_FI)
+
+
+on("vuln_locations", "js_corpus", lambda c: V.findings(c).select(
     "file", "rule_id", "line", "column", "offset"))
-on("vuln_taint_gate", "js_corpus", lambda c: V.findings(c, groups=["request", "node"]).select("file", "rule_id", "line", "column"))
+on("vuln_taint_gate", "js_corpus", lambda c: V.findings(c).select("file", "rule_id", "line", "column"))
 on("vuln_no_info", "js_corpus", lambda c: V.findings(c, include_info=False).select(*_FI))
 on("vuln_ranked", "js_corpus", lambda c: V.sort_findings(V.findings(c)).select(
     *_FI, V.rank(F.col("severity")).alias("rank")))
@@ -333,8 +343,9 @@ on("comment_per_file", "source_corpus", lambda c: C.per_file(C.comments(c)).sele
 
 @query("url_union_distinct")
 def _(spark, d):
-    pages = table(spark, d, "pages").select(F.concat(F.lit(" "), "url", F.lit("\t")).alias("url"))
-    return U.inventory(table(spark, d, "urls"), pages, pages.select(F.lit("  ").alias("url")))
+    pages = table(spark, d, "pages")
+    other = pages.select(F.concat(F.lit(" "), "url", F.when(F.col("page_id") % 2 == 0, "#feed").otherwise(""), F.lit("\t")).alias("url"))
+    return U.inventory(table(spark, d, "urls"), other, other, pages.select(F.lit("  ").alias("url")))
 
 
 on("url_domain_filter", "urls", lambda u: U.on_domain(u, "site3.example.com"))
@@ -349,12 +360,12 @@ def _host_names(u: DataFrame) -> DataFrame:
 
 on("domain_valid", "urls", lambda u: _host_names(u).select("domain", U.is_domain_name(F.col("domain")).alias("valid")))
 on("url_in_scope", "urls", lambda u: U.in_scope(u, SCOPE))
-on("url_scope_dropped", "urls", lambda u: U.scope_dropped(u, SCOPE))
+on("url_scope_dropped", "urls", lambda u: U.scope_dropped(u.unionByName(u), SCOPE))
 on("url_clean_paths", "urls", U.clean_paths)
 on("url_important_paths", "urls", U.important_paths)
 on("url_categories", "urls", U.categories)
 on("url_param_names", "urls", U.parameter_names)
-on("url_summary", "urls", lambda u: U.summary(u, SCOPE))
+on("url_summary", "urls", lambda u: U.summary(u.unionByName(u), SCOPE))
 on("url_param_substitute", "urls", lambda u: U.substitute_parameters(u, "aa2a"))
 on("url_js_only", "urls", U.scripts_only)
 
@@ -366,7 +377,8 @@ on("response_diff", "responses", R.differences)
 @query("url_online")
 def _(spark, d):
     r = table(spark, d, "responses")
-    return R.online(r.select("url"), r)
+    asked = r.filter(F.contains("url", F.lit("aa2a"))).select("url").unionByName(table(spark, d, "pages").select("url"))
+    return R.online(asked, r)
 
 
 def _hosts(u: DataFrame) -> DataFrame:
@@ -392,8 +404,7 @@ on("status_buckets_substring", "responses", lambda r: R.status_buckets(r, [512],
 
 
 def _ansi(pages: DataFrame) -> DataFrame:
-    return pages.select("page_id", F.concat(F.lit("\x1b[1;31m"), "url", F.lit("\x1b[0m \x1b[2K"),
-                                            F.substring("html", 1, 80)).alias("text"))
+    return pages.select("page_id", F.concat(F.lit("\x1b[1;31m"), "url", F.lit("\x1b[0m \x1b[2K"), "html").alias("text"))
 
 
 on("strip_ansi", "pages", lambda p: _ansi(p).select("page_id", T.strip_ansi(F.col("text")).alias("text")))
@@ -437,7 +448,6 @@ def _(spark, d):
 # --- streams -------------------------------------------------------------------------------
 
 _PAGES = "page_id bigint, url string, html string"
-_EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
 def _run(spark: SparkSession, df: DataFrame, name: str, schema: str) -> DataFrame:
@@ -453,20 +463,28 @@ def _(spark, d):
     return _run(spark, found, "s1", "source_file string, url string, line_number int, endpoint_type string")
 
 
+def _script_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Scripts derived from pages as they arrive, with a time that follows from the page's number."""
+    ST.read_stream(spark, f"{d}/pages.parquet", _PAGES).createOrReplaceTempView("arriving_pages")
+    made = TABLES["js_corpus"][0].replace("SELECT ", "SELECT page_id, ", 1).replace("FROM pages", "FROM arriving_pages")
+    return spark.sql(made).select("path", "content", F.timestamp_seconds(F.col("page_id") % 24 * 600 + 1_699_999_200).alias("ts"))
+
+
 @query("stream_first_seen")
 def _(spark, d):
-    """First event type per user within the watermark."""
-    events = ST.read_stream(spark, f"{d}/events.parquet", _EVENTS).withColumn("ts", F.col("ts").cast("timestamp"))
-    seen = ST.first_seen(events, time="ts", keys=["user_id", "event_type"], delay="3650 days")
-    return _run(spark, seen.select("user_id", "event_type"), "s2", "user_id bigint, event_type string")
+    """Items of scripts, each (category, value) once within the watermark."""
+    found = ST.with_time(_script_stream(spark, d), "ts", I.js_items, "path")
+    seen = ST.first_seen(found.filter(F.col("category") != "comments"), time="ts", keys=["category", "value"], delay="1 day")
+    return _run(spark, seen.select("category", "value"), "s2", "category string, value string")
 
 
 @query("stream_counts")
 def _(spark, d):
-    """Hourly counts of the windows the watermark has closed."""
-    events = ST.read_stream(spark, f"{d}/events.parquet", _EVENTS).withColumn("ts", F.col("ts").cast("timestamp"))
-    counts = ST.windowed_counts(events, time="ts", by="event_type")
-    return _run(spark, counts.select("event_type", "n"), "s3", "event_type string, n bigint")
+    """Hourly findings by severity, of the windows the watermark has closed."""
+    found = ST.with_time(_script_stream(spark, d), "ts", V.findings, "path", "file")
+    counts = ST.windowed_counts(found, time="ts", by="severity")
+    start = F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start")
+    return _run(spark, counts.select(start, "severity", "n"), "s3", "window_start string, severity string, n bigint")
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagesieve.catalog.languages import EXCLUDED_DIRS, LANGUAGES
 from pagesieve.functions.text import basename, strip, suffix
 
 # Extensions and folders left out by each kind of scan, bytes looked at for a NUL.
@@ -15,28 +16,12 @@ SCAN_DEFAULTS = {
     ),
     "items": ([".js", ".mjs", ".cjs", ".jsx", ".ts", ".tsx", ".vue", ".svelte"], []),
     "findings": ([".js", ".mjs", ".cjs", ".jsx"], ["node_modules", ".git", "dist", "build"]),
+    "comments": ([e for language in LANGUAGES for e in language.extensions], EXCLUDED_DIRS),
 }
+SOURCE_MAP = ".js.map"
 BINARY_PROBE = 8192
 
 
-def load_tables(spark: SparkSession, folder: str, names: list[str]) -> dict[str, DataFrame]:
-    return {n: spark.read.parquet(f"{folder}/{n}.parquet") for n in names}
-
-
-def spread(corpus: DataFrame) -> DataFrame:
-    """Give every core a share of a small input.
-
-    Text detectors are bound by CPU, and a small file is read by a single task.
-    Only inputs that fill fewer splits than there are cores are redistributed, so
-    the data moved never exceeds one wave of splits; larger ones stay as they are.
-    """
-    spark = corpus.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    size = int(str(corpus._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return corpus.repartition(cores) if size < split * cores else corpus
-
-
 def pages_corpus(pages: DataFrame, *, url: str = "url", html: str = "html") -> DataFrame:
     """A crawl table as a corpus."""
     return pages.select(F.col(url).alias("path"), F.col(html).alias("content"), F.lit("html").alias("kind"))
@@ -66,24 +51,26 @@ def decode_text(df: DataFrame, *, raw: str = "raw", out: str = "content", newlin
 
 
 def path_filter(
-    df: DataFrame, extensions: list[str] | None, skipped_dirs: list[str], *, path: str = "path", root: str = ""
+    df: DataFrame, extensions: list[str] | None, skipped_dirs: list[str], *, path: str | Column = "path", root: str = "",
+    more: Column | None = None,
 ) -> DataFrame:
-    """Keep files by extension and drop those under a skipped folder at any depth below ``root``."""
-    below = F.substring(F.col(path), F.lit(len(root) + 1), F.length(path))
-    name = F.lower(basename(F.col(path)))
+    """Keep files by extension (or by ``more``) and drop those under a skipped folder at any depth below ``root``."""
+    where = F.col(path) if isinstance(path, str) else path
+    below = F.substring(where, F.locate(root, where) + len(root), F.length(where)) if root else where
+    name = F.lower(basename(where))
     out = df
     if extensions:
-        wanted = [e.lower() if e.startswith(".") else f".{e.lower()}" for e in extensions]
-        out = out.filter(suffix(name).isin(wanted))
+        wanted = suffix(name).isin([e.lower() if e.startswith(".") else f".{e.lower()}" for e in extensions])
+        out = out.filter(wanted if more is None else wanted | more)
     for d in skipped_dirs:
         out = out.filter(~F.contains(F.concat(F.lit("/"), below), F.lit(f"/{d}/")))
     return out
 
 
-def _qualified(spark: SparkSession, folder: str) -> str:
-    """``folder`` as the file source spells it in paths."""
+def _root_path(spark: SparkSession, folder: str) -> str:
+    """The path of ``folder`` as file metadata spell it, without scheme and host."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toUri().getRawPath()
 
 
 def scan_files(
@@ -98,23 +85,39 @@ def scan_files(
     glob: str | None = None,
     newlines: bool = True,
     kind: str = "js",
+    source_maps: bool | None = None,
 ) -> DataFrame:
     """Text files of a folder as a corpus, read by the cluster; the listing stays in Spark.
 
-    ``purpose`` names the defaults for extensions and skipped folders.  The path
-    tests sit next to the scan: they apply before a file's bytes are read.
+    ``purpose`` names the defaults for extensions and skipped folders.  Paths are tested on the
+    files' metadata, so files that are left out are never opened.  ``source_maps`` (by default for
+    items) also reads ``.js.map`` files and puts the sources they hold in their place.
     """
     wanted, skipped = SCAN_DEFAULTS[purpose]
     extensions = [*(extensions or wanted), *(extra_extensions or [])]
     skipped_dirs = skipped if skipped_dirs is None else skipped_dirs
+    source_maps = purpose == "items" if source_maps is None else source_maps
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    files = path_filter(reader.load(folder), extensions, skipped_dirs, root=_qualified(spark, folder))
+    where = F.col("_metadata.file_path")
+    more = F.lower(where).endswith(SOURCE_MAP) if source_maps else None
+    files = path_filter(reader.load(folder), extensions, skipped_dirs, path=where, root=_root_path(spark, folder), more=more)
     text = decode_text(files.select("path", F.col("content").alias("raw")), newlines=newlines)
+    if source_maps:
+        own = F.array(F.struct(F.col("path"), F.col("content")))
+        held = F.when(F.lower("path").endswith(SOURCE_MAP), _held_sources(F.col("path"), F.col("content"))).otherwise(own)
+        text = text.select(F.inline(held))
     return text.select("path", "content", F.lit(kind).alias("kind"))
 
 
+def _held_sources(path: Column, content: Column) -> Column:
+    """(path, content) of the sources in a source map."""
+    parsed = F.from_json(content, "struct<sources:array<string>,sourcesContent:array<string>>")
+    pairs = F.filter(F.arrays_zip(parsed["sources"].alias("s"), parsed["sourcesContent"].alias("c")), lambda p: (p["c"] != "") & p["s"].isNotNull())
+    return F.transform(pairs, lambda p: F.struct(F.concat(path, F.lit(" -> "), p["s"]).alias("path"), p["c"].alias("content")))
+
+
 def list_source(lines: DataFrame, *, value: str = "value", remarks: bool = True) -> DataFrame:
     """One value per line: trimmed, blank lines dropped, ``#`` remarks too unless kept."""
     v = strip(F.col(value))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,17 @@ from pyspark.sql.streaming import StreamingQuery
 
 def read_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Parquet files of ``path`` as they arrive; the table may be one file or a folder."""
-    return spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
+    folder, _, name = path.rstrip("/").rpartition("/")
+    stream = spark.readStream.schema(schema)
+    is_file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if is_file.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(is_file).isFile():
+        return stream.option("pathGlobFilter", _literal(name)).parquet(_literal(folder))
+    return stream.parquet(_literal(path))
+
+
+def _literal(path: str) -> str:
+    """``path`` for readers that take it as a pattern."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
 
 
 def write_stream(df: DataFrame, out: str, checkpoint: str, *, mode: str = "append") -> StreamingQuery:
@@ -27,8 +38,25 @@ def extract(stream: DataFrame, operator: Callable[[DataFrame], DataFrame]) -> Da
     return operator(stream)
 
 
+def with_time(stream: DataFrame, time: str, operator: Callable[[DataFrame], DataFrame], path: str, out: str | None = None) -> DataFrame:
+    """A document-local operator over a stream, its rows with the time of their document.
+
+    The time travels in the path, as operators keep only that of a document's columns.
+    """
+    out = out or path
+    micros = F.unix_micros(time).cast("string")
+    tagged = stream.withColumn(path, F.concat(micros, F.lit("\x00"), path)).drop(time)
+    found = operator(tagged)
+    moment = F.timestamp_micros(F.substring_index(out, "\x00", 1).cast("long"))
+    return found.withColumn(time, moment).withColumn(out, F.regexp_replace(out, "^[0-9-]+\\x00", ""))
+
+
 def first_seen(items: DataFrame, *, time: str, keys: list[str], delay: str = "1 hour") -> DataFrame:
-    """One row per key within the watermark delay; older keys leave the state."""
+    """One row per key within the watermark delay; older keys leave the state.
+
+    The state holds the keys of one delay. A stream has no reduction before its shuffle, so rows of one
+    key in one batch meet in one task, which keeps none of them but the first.
+    """
     return items.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
 
