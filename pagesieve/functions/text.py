@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -92,3 +95,34 @@ def basename(path: Column) -> Column:
 def suffix(name: Column) -> Column:
     """Last extension with its dot, empty for dot-files and names without one."""
     return F.regexp_extract(name, r"(?s)^\.*[^.].*?(\.[^.]+)$", 1)
+
+
+_REFERENCE = r"(?s)[^&]+|&#[xX][0-9a-fA-F]+;?|&#[0-9]+;?|&[a-zA-Z][a-zA-Z0-9]*;?|&"
+_REPLACED = "\ufffd"
+
+
+def _character(code: Column) -> Column:
+    """The character that a numeric reference stands for."""
+    odd = {0x80 + i: bytes([0x80 + i]).decode("cp1252", "ignore") or chr(0x80 + i) for i in range(32)} | {0: _REPLACED}
+    out = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    out = F.when((code > 0x10FFFF) | code.between(0xD800, 0xDFFF), F.lit(_REPLACED)).otherwise(out)
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in odd.items() for x in pair]), code), out)
+
+
+def decode_references(c: Column) -> Column:
+    """Text with all named and numeric character references decoded.
+
+    A name counts as a whole, with its semicolon or without one if it is known without.
+    """
+    names = F.from_json(F.lit(json.dumps({f"&{n}": v for n, v in html5.items()})), "map<string,string>")
+
+    def one(part: Column) -> Column:
+        digits = F.regexp_extract(part, "^&#0*([0-9]{1,7});?$", 1)
+        hexes = F.regexp_extract(part, "^&#[xX]0*([0-9a-fA-F]{1,6});?$", 1)
+        code = F.when(digits != "", digits.cast("int")).when(hexes != "", F.conv(hexes, 16, 10).cast("int"))
+        code = F.when(part.rlike("^&#[xX]?0+;?$"), F.lit(0)).when(part.rlike("^&#"), F.coalesce(code, F.lit(0x110000)))
+        named = F.coalesce(F.try_element_at(names, part), part)
+        return F.when(~F.startswith(part, F.lit("&")), part).when(F.startswith(part, F.lit("&#")) & (F.length(part) > 2), _character(code)).otherwise(named)
+
+    decoded = F.array_join(F.transform(F.regexp_extract_all(c, F.lit(_REFERENCE), F.lit(0)), one), "")
+    return F.when(F.contains(c, F.lit("&")), decoded).otherwise(c)

@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import html as _html
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-from pagesieve.functions.text import html_unescape
+from pagesieve.functions.text import decode_references
 from pagesieve.functions.url import netloc, with_join
 
 _ATTRIBUTES = r"""(?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+"""
@@ -31,18 +27,6 @@ HANDLER_ATTRIBUTES = ["onclick", "onload", "onerror", "onmouseover"]
 SKIPPED_LINKS = ["#", "javascript:", "mailto:", "tel:"]
 
 
-@F.pandas_udf(StringType())
-def unescape_all(s: pd.Series) -> pd.Series:
-    """All named and numeric character references, for pages that use more than the five."""
-    return s.map(_html.unescape, na_action="ignore")
-
-
-def _decode(c: Column, all_entities: bool) -> Column:
-    if all_entities:
-        return F.when(F.contains(c, F.lit("&")), unescape_all(c)).otherwise(c)
-    return html_unescape(c)
-
-
 def tags(pages: DataFrame, *, url: str = "url", html: str = "html", names: list[str]) -> DataFrame:
     """Elements called ``names``: page, position among the page's tokens, name, open tag, script body."""
     found = pages.select(
@@ -59,8 +43,8 @@ def tags(pages: DataFrame, *, url: str = "url", html: str = "html", names: list[
     )
 
 
-def attribute(found: DataFrame, wanted: list[str], *, all_entities: bool = False) -> DataFrame:
-    """One row per attribute in ``wanted`` of each tag; of repeated ones the last counts."""
+def attribute(found: DataFrame, wanted: list[str]) -> DataFrame:
+    """One row per attribute in ``wanted`` of each tag; of repeated ones the last counts.  Character references are decoded."""
     inner = F.regexp_replace("_open", _NAME, "")
     names = F.transform(F.regexp_extract_all(inner, F.lit(_ATTRIBUTE), F.lit(1)), lambda n: F.lower(n))
     values = F.regexp_extract_all(inner, F.lit(_ATTRIBUTE), F.lit(2))
@@ -75,7 +59,7 @@ def attribute(found: DataFrame, wanted: list[str], *, all_entities: bool = False
         "page_url", "tag_ord", "tag", F.explode_outer(F.array(*[last(a) for a in wanted])).alias("_a")
     ).select("page_url", "tag_ord", "tag", "_a.*").filter(F.col("raw").isNotNull())
     bare = F.regexp_extract("raw", r"""(?s)^(["']?)(.*)\1$""", 2)
-    return rows.withColumn("value", _decode(bare, all_entities)).drop("raw")
+    return rows.withColumn("value", decode_references(bare)).drop("raw")
 
 
 def script_sources(pages: DataFrame, *, url: str = "url", html: str = "html") -> DataFrame:

@@ -100,7 +100,7 @@ SELECT page_id, url, concat(html,
  '<button class="b" onclick="go(''/btn/', {P}, ''')" onload=''open("/l/', CAST(page_id % 5 AS VARCHAR(20)), '")''>x</button>',
  CASE WHEN page_id % 5 = 0 THEN '<p onclick="no(''/p'')">t</p><a href="#top">a</a><a href="mailto:x">b</a><a href="">c</a>' ELSE '' END,
  CASE WHEN page_id % 4 = 0 THEN concat('<a title="> q" href="https://', {HOST}, '/same/', {P}, '">s</a><a href="https://other.example.net/x#f">o</a>') ELSE '' END,
- '<a href="/nav?x=1&amp;y=', {P}, '">n</a>') AS html
+ '<a href="/nav?x=1&amp;y=', {P}, '">n</a><a href="/caf&eacute;&#47;&#xe9;?a&#61;', {P}, '&nbsp;">e</a>') AS html
 FROM pages"""
 
 RESPONSES = """

@@ -16,7 +16,7 @@ from pagesieve.catalog.endpoint_types import (
     STATIC_ASSET,
 )
 from pagesieve.catalog.js_categories import CATEGORIES, CONFIDENCE_RANK, detectors
-from pagesieve.catalog.languages import EXCLUDED_DIRS, LANGUAGES, block_markers, line_markers, token
+from pagesieve.catalog.languages import BY_KEY, EXCLUDED_DIRS, LANGUAGES, block_markers, line_markers, token
 from pagesieve.catalog.vuln_rules import GROUPS, SEVERITY_RANK, TAINT_HINTS, WITH_RULE, rules
 from pagesieve.functions.regex import Rx, glob_to_regex
 from pagesieve.functions.text import WHITESPACE
@@ -313,7 +313,7 @@ def attribute(name: str) -> str:
     rx = lit(rf"""(?i)[\s"']{name}\s*=\s*("[^"]*"|'[^']*'|[^\s>"']*)""")
     raw = f"regexp_extract(opened, {rx}, 1)"
     bare = f"trim({raw}, '\"''')"
-    for a, b in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&apos;", "'"), ("&amp;", "&")]:
+    for a, b in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&apos;", "'"), ("&eacute;", "é"), ("&#47;", "/"), ("&#xe9;", "é"), ("&#61;", "="), ("&nbsp;", "\u00a0"), ("&amp;", "&")]:
         bare = f"replace({bare}, {lit(a)}, {lit(b)})"
     return f"CASE WHEN regexp_matches(opened, {rx}) THEN {bare} END"
 
@@ -437,6 +437,12 @@ def build() -> None:
     put("vuln_glob_exclude", f"SELECT {_FI} FROM ({findings(f'(SELECT * FROM {js} WHERE {globs})')})")
     put("vuln_enriched", f'SELECT rule_id, file, line, "column", title, cwe, remediation, description, tags FROM ({fi}) JOIN {_RULES} ON rid = rule_id')
     put("vuln_tag_counts", f"SELECT tag, count(*) AS n FROM (SELECT unnest(string_split(tags, ',')) AS tag FROM ({fi}) JOIN {_RULES} ON rid = rule_id) GROUP BY 1")
+    tok = lit(token(BY_KEY["javascript"]).pattern)
+    blanked = (
+        f"(SELECT path, array_to_string(list_transform(range(1, len(gaps) + 1), lambda i: gaps[i] || coalesce(regexp_replace(hits[i], '[^' || {NL} || ']', ' ', 'g'), '')), '') AS content "
+        f"FROM (SELECT path, string_split_regex(content, {tok}) AS gaps, regexp_extract_all(content, {tok}, 0) AS hits FROM {js}))"
+    )
+    put("vuln_with_stmt", f"SELECT {lit(WITH_RULE.rule_id)} AS rule_id, path AS file, line, col AS \"column\" FROM ({matches(blanked, WITH_RULE.rx)})")
     # comments
     put("comment_language", f"SELECT path, {_TITLES} AS language FROM (SELECT path, {_LANG} AS lang FROM {src})")
     put("comments_html", f"SELECT {_CO} FROM ({comments(PAGES_AS_CORPUS, ['web_markup'])})")
@@ -501,6 +507,8 @@ def build() -> None:
     put("jsfuck_gate", f"SELECT path, (length({dense}) > 20 AND {only}) AS obfuscated, {only} AS symbols_only FROM {js}")
     put("js_file_select", f"SELECT path FROM (SELECT url || CASE WHEN length(url) % 2 = 0 THEN '.map' ELSE '' END AS path FROM {urls}) WHERE ends_with(path, '.js')")
     # the whole chain
+    made = TABLES["js_corpus"][0].replace("SELECT ", "SELECT page_id, ", 1)
+
     def audit(corpus: str) -> str:
         return (
             f"SELECT source_file AS source, 'endpoint' AS kind, endpoint_type AS category, NULL::VARCHAR AS severity, url AS value, line_number AS line FROM ({endpoints(corpus)}) "
@@ -513,11 +521,13 @@ def build() -> None:
     put("audit_all", whole_audit)
     put("audit_rollup", f"SELECT source, kind, category, CAST(count(*) AS BIGINT) AS n, CAST(grouping(source, kind, category) AS INTEGER) AS level FROM ({whole_audit}) GROUP BY ROLLUP (source, kind, category)")
     put("audit_new_scripts", f"SELECT DISTINCT url FROM ({ep}) WHERE url ILIKE '%.js%' AND url NOT IN (SELECT url FROM {urls})")
+    chain = f"(SELECT path, content FROM ({made}) WHERE page_id % 3 < 2 AND page_id % 5 <> 0)"
+    put("audit_chain", f"{audit(chain)} UNION ALL SELECT NULL, 'new_script', NULL, NULL, url, NULL FROM (SELECT DISTINCT url FROM ({endpoints(chain)}) "
+        f"WHERE url ILIKE '%.js%' AND url NOT IN (SELECT path FROM ({made}) WHERE page_id % 5 <> 0))")
     put("audit_resume", f"SELECT kind, count(*) AS n FROM ({audit(js)}) GROUP BY 1")
     # streams
     put("stream_endpoints", f"SELECT {ep_cols} FROM ({endpoints('(SELECT url AS path, html AS content FROM pages)')})")
     put("stream_first_seen", f"SELECT DISTINCT category, value FROM ({items(js)}) WHERE category <> 'comments'")
-    made = TABLES["js_corpus"][0].replace("SELECT ", "SELECT page_id, ", 1)
     timed = f"(SELECT (page_id % 24 * 600 + 1699999200) || chr(1) || path AS path, content FROM ({made}))"
     times = f"SELECT CAST(string_split(file, chr(1))[1] AS BIGINT) AS t, severity FROM ({findings(timed)})"
     put("stream_counts", f"WITH f AS MATERIALIZED ({times}) SELECT strftime(make_timestamp(t // 3600 * 3600000000), '%Y-%m-%d %H:%M:%S') AS window_start, "

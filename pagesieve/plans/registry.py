@@ -436,6 +436,21 @@ def _(spark, d):
     return A.new_scripts(A.audit(table(spark, d, "js_corpus"), ["endpoint"]), table(spark, d, "urls"))
 
 
+@query("audit_chain")
+def _(spark, d):
+    """Scripts of the inventory that answered 200, all that is in them, and the scripts that the inventory lacks."""
+    table(spark, d, "js_corpus")  # names the tables that the text refers to
+    made = spark.sql(TABLES["js_corpus"][0].replace("SELECT ", "SELECT page_id, ", 1))
+    known = made.filter("page_id % 5 <> 0").select(F.col("path").alias("url"))
+    answers = made.select(F.col("path").alias("url"), F.when(F.col("page_id") % 3 == 2, "404").otherwise("200").alias("status"))
+    found = A.audit_crawl(known, answers, made.select("path", "content"))
+    none = F.lit(None).cast("string")
+    more = A.new_scripts(found, known).select(
+        none.alias("source"), F.lit("new_script").alias("kind"), none.alias("category"), none.alias("severity"),
+        F.col("url").alias("value"), F.lit(None).cast("int").alias("line"))
+    return found.unionByName(more)
+
+
 @query("audit_resume")
 def _(spark, d):
     """Families written to the shared folder; a second run reuses them."""

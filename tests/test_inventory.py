@@ -86,7 +86,7 @@ def test_html(spark):
     assert rows(H.internal(H.links(pages)), "link_url") == [("https://h/x",)]
     assert rows(H.event_handlers(pages), "tag", "content") == [("div", 'go("/y")')]
     entities = spark.createDataFrame([("https://h/", '<a href="/caf&eacute;">x</a>')], "url string, html string")
-    full = H.attribute(H.tags(entities, names=["a"]), ["href"], all_entities=True)
+    full = H.attribute(H.tags(entities, names=["a"]), ["href"])
     assert rows(full, "value") == [("/café",)]
 
 
@@ -136,3 +136,12 @@ def test_first_seen_needs_one_shuffle(js):
 
     plain = js_items(js)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in plain.split("InMemoryTableScan")[0]
+
+
+def test_references_are_decoded(spark):
+    import html
+
+    cases = ["a", "&", "a&b", "caf&eacute;", "&#233;&#xE9;&#x1F600;", "&#0;", "&#128;", "&#xD800;", "&copy 2", "&nosuch;", "x &amp;lt; y", "&#;", "&#x;", "&AMP;", None, ""]
+    df = spark.createDataFrame(list(enumerate(cases)), "i int, s string")
+    got = [r.t for r in df.select("i", T.decode_references(F.col("s")).alias("t")).orderBy("i").collect()]
+    assert got == [c if c is None else html.unescape(c) for c in cases]
