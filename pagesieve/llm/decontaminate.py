@@ -31,12 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagesieve.llm.tokens import portions
+
 Q = 8
 ERRORS = 0.08
 #: Bytes of benchmark texts that go to a task at once.
 BLOCK_BYTES = 16 << 20
-#: Bytes of documents that are worked on at once.
-AT_ONCE = 1 << 21
+#: Characters of documents that are worked on at once.
+AT_ONCE = 1 << 20
 CELL = 32
 _TABLE_BITS = 22
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -215,17 +217,6 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[
         yield [r[0] for r in got], [r[1] for r in got]
 
 
-def _portions(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
-    """Texts, a bounded number of characters at a time, and the number of the first."""
-    values = [t or "" for t in texts.to_pylist()]
-    first = held = 0
-    for i, t in enumerate(values):
-        held += len(t)
-        if held >= AT_ONCE or i == len(values) - 1:
-            yield first, values[first : i + 1]
-            first, held = i + 1, 0
-
-
 def matches(
     docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     item_col: str = "item_id", item_text_col: str = "text",
@@ -243,7 +234,7 @@ def matches(
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             names, index = pa.array(held.value[0]), Index(held.value[1])
             for batch in batches:
-                for first, some in _portions(batch.column(1)):
+                for first, some in portions(batch.column(1), AT_ONCE):
                     found = np.array(index.find(some), np.int64).reshape(-1, 5)
                     if len(found):
                         yield pa.RecordBatch.from_arrays(
@@ -268,7 +259,7 @@ def drop_contaminated(
             index = Index(held.value)
             for batch in batches:
                 clean = np.ones(batch.num_rows, bool)
-                for first, some in _portions(batch.column(place)):
+                for first, some in portions(batch.column(place), AT_ONCE):
                     clean[[first + m[0] for m in index.find(some)]] = False
                 yield batch.filter(pa.array(clean))
 

@@ -30,16 +30,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagesieve.functions.storage import scratch
+from pagesieve.llm.stages import written
+from pagesieve.llm.tokens import portions
+
 #: Labelled documents of a language that a model is fitted on, in expectation.
-SAMPLE_DOCS = 4000
+SAMPLE_DOCS = 2000
 #: Words and n-grams seen less often in the sample are not part of the model.
-LEAST_WORDS, LEAST_GRAMS = 2, 3
+LEAST_WORDS, LEAST_GRAMS = 2, 4
 LONGEST = 5
 #: Log-probability lost by each step to shorter n-grams, and the least log-probability.
 STEP, FLOOR = 1.0, -18.0
 #: A worker forgets the scores of words when they are so many.
-KEPT_WORDS = 200_000
+KEPT_WORDS = 100_000
 UNKNOWN = "und"
+#: Characters of texts that are worked on at once.
+AT_ONCE = 1 << 20
 
 _WORD = re.compile(r"[^\W\d_]+").findall
 
@@ -52,16 +58,36 @@ def grams(word: str) -> Iterator[str]:
             yield marked[i : i + n]
 
 
+class Table:
+    """Smoothed log shares by language, a row for each key; shares are within keys of the same group."""
+
+    def __init__(self, counts: list[dict[str, int]], group):
+        self.rows: dict[str, int] = {}
+        for own in counts:
+            for key in own:
+                self.rows.setdefault(key, len(self.rows))
+        groups = {g: i for i, g in enumerate(sorted({group(k) for k in self.rows}))}
+        of = np.fromiter((groups[group(k)] for k in self.rows), np.int64, len(self.rows))
+        self.values = np.zeros((len(self.rows), len(counts)), np.float32)
+        for i, own in enumerate(counts):
+            n = np.zeros(len(self.rows))
+            n[np.fromiter((self.rows[k] for k in own), np.int64, len(own))] = np.fromiter(own.values(), np.float64, len(own))
+            total = np.bincount(of, n, len(groups))[of]
+            shares = np.where(n > 0, n / np.maximum(total, 1), 0.1 / (total + 1))
+            self.values[:, i] = np.maximum(np.log(shares), FLOOR)
+
+    def get(self, key: str) -> np.ndarray | None:
+        row = self.rows.get(key)
+        return None if row is None else self.values[row]
+
+
 class Model:
     """Log frequencies of words and n-grams by language."""
 
     def __init__(self, words: dict[str, dict[str, int]], gram_counts: dict[str, dict[str, int]]):
         self.languages = sorted(words)
-        size = len(self.languages)
-        self._unseen: dict[str, np.ndarray] = {}
-        self.words = _log_shares([words[x] for x in self.languages], lambda w: 0)
-        self.grams = _log_shares([gram_counts.get(x, {}) for x in self.languages], len)
-        self._floor = np.full(size, FLOOR)
+        self.words = Table([words[x] for x in self.languages], lambda w: 0)
+        self.grams = Table([gram_counts.get(x, {}) for x in self.languages], len)
 
     def word(self, word: str) -> np.ndarray:
         """A row of scores, one for each language."""
@@ -70,32 +96,18 @@ class Model:
 
     def _back_off(self, word: str) -> np.ndarray:
         marked = f"<{word}>"
-        total, places = np.zeros(len(self.languages)), 0
+        rows, found, steps, missed = self.grams.rows, [], 0, 0
         for i in range(len(marked) - 1):
-            places += 1
             for n in range(min(LONGEST, len(marked) - i), 0, -1):
-                row = self.grams.get(marked[i : i + n])
+                row = rows.get(marked[i : i + n])
                 if row is not None:
-                    total += row - STEP * (LONGEST - n)
+                    found.append(row)
+                    steps += LONGEST - n
                     break
             else:
-                total += self._floor
-        return total / places
-
-
-def _log_shares(counts: list[dict[str, int]], group) -> dict[str, np.ndarray]:
-    """Smoothed log shares of each key, within keys of the same group."""
-    totals: list[Counter] = [Counter() for _ in counts]
-    for i, own in enumerate(counts):
-        for key, n in own.items():
-            totals[i][group(key)] += n
-    rows: dict[str, np.ndarray] = {}
-    for i, own in enumerate(counts):
-        for key, n in own.items():
-            if key not in rows:
-                rows[key] = np.array([math.log(0.1 / (t[group(key)] + 1)) for t in totals])
-            rows[key][i] = math.log(n / totals[i][group(key)])
-    return {k: np.maximum(v, FLOOR) for k, v in rows.items()}
+                missed += 1
+        total = self.grams.values[found].sum(axis=0) - STEP * steps + FLOOR * missed
+        return total / (len(marked) - 1)
 
 
 class Predictor:
@@ -107,26 +119,32 @@ class Predictor:
 
     def _forget(self) -> None:
         self._rows: dict[str, int] = {}
-        self._scores: list[np.ndarray] = []
+        self._scores = np.zeros((1024, len(self._model.languages)), np.float32)
+
+    def _learn(self, words: set[str]) -> None:
+        need = len(self._rows) + len(words)
+        if need > len(self._scores):
+            more = np.zeros((max(need, 2 * len(self._scores)) - len(self._scores), self._scores.shape[1]), np.float32)
+            self._scores = np.concatenate([self._scores, more])
+        for w in words:
+            self._rows[w] = k = len(self._rows)
+            self._scores[k] = self._model.word(w)
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         if len(self._rows) > KEPT_WORDS:
             self._forget()
-        rows, languages = self._rows, self._model.languages
+        languages = self._model.languages
         words = [_WORD(t.lower()) for t in texts]
         n = np.fromiter(map(len, words), np.int64, len(words))
         if not languages or not n.any():
             return [UNKNOWN] * len(texts), np.zeros(len(texts))
-        for w in set(chain.from_iterable(words)) - rows.keys():
-            rows[w] = len(self._scores)
-            self._scores.append(self._model.word(w))
-        table = np.array(self._scores)
-        places = np.fromiter(map(rows.__getitem__, chain.from_iterable(words)), np.int64, int(n.sum()))
+        self._learn(set(chain.from_iterable(words)) - self._rows.keys())
+        places = np.fromiter(map(self._rows.__getitem__, chain.from_iterable(words)), np.int64, int(n.sum()))
         some = np.flatnonzero(n)
         sums = np.zeros((len(texts), len(languages)))
         starts = (np.cumsum(n) - n)[some]
         for k in range(len(languages)):
-            sums[some, k] = np.add.reduceat(table[places, k], starts)
+            sums[some, k] = np.add.reduceat(self._scores[:, k][places], starts, dtype=np.float64)
         best = sums.argmax(axis=1)
         shares = np.exp(sums - sums.max(axis=1, keepdims=True))
         score = np.where(n > 0, 1 / shares.sum(axis=1), 0.0)
@@ -153,10 +171,11 @@ def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", samp
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: Counter = Counter()
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                seen.update((lang, w) for w in _WORD(text.lower()))
-            yield _counted(seen)
+            for first, texts in portions(batch.column(1), AT_ONCE):
+                seen: Counter = Counter()
+                for lang, text in zip(batch.column(0)[first : first + len(texts)].to_pylist(), texts):
+                    seen.update((lang, w) for w in _WORD(text.lower()))
+                yield _counted(seen)
 
     def grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,12 +188,10 @@ def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", samp
 
     schema = "lang string, key string, n long"
     sample = sample_of(docs, text_col=text_col, lang_col=lang_col, sample_docs=sample_docs)
-    words = sample.mapInArrow(words_of, schema).groupBy("lang", "key").agg(F.sum("n").alias("n")).persist()
+    words = sample.mapInArrow(words_of, schema).groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    words = written(words, f"{scratch(docs.sparkSession, 'language')}/words")
     parts = words.mapInArrow(grams_of, schema).groupBy("lang", "key").agg(F.sum("n").alias("n"))
-    try:
-        return Model(_by_language(words, LEAST_WORDS), _by_language(parts, LEAST_GRAMS))
-    finally:
-        words.unpersist()
+    return Model(_by_language(words, LEAST_WORDS), _by_language(parts, LEAST_GRAMS))
 
 
 def _counted(seen: Counter) -> pa.RecordBatch:
@@ -205,8 +222,8 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text", out: tuple
         for batch in batches:
             texts = batch.column(place)
             langs, scores = [], []
-            for i in range(0, len(texts), 500):
-                lang, score = predictor.predict([t or "" for t in texts[i : i + 500].to_pylist()])
+            for _, some in portions(texts, AT_ONCE):
+                lang, score = predictor.predict(some)
                 langs += lang
                 scores.append(score)
             new = [pa.array(langs, pa.string()), pa.array(np.concatenate([np.zeros(0), *scores]))]

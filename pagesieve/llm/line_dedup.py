@@ -4,8 +4,8 @@ A line's tokens are its distinct lower-cased words. A line with tokens is remove
 earlier line (by ``doc_id``, then by place) has a Jaccard similarity of at least 0.8 to it.
 
 * Equal token sets are reduced to their first line before anything is joined.
-* Tokens are ordered by rarity, rare first. Rarity is the count of the token's hash bucket in all
-  lines; there are ``BUCKETS`` of them whatever the input, so the table is a constant of the plan. Any common order
+* Tokens are ordered by rarity, rare first. Rarity is the number of documents of the token's hash
+  bucket, over all of them; there are ``BUCKETS`` of them whatever the input, so the table is a constant of the plan. Any common order
   gives the same result; this one keeps the join small.
 * Prefix filter: similar sets of n tokens share one of their n - ceil(0.8 n) + 1 first ones.
   Length filter: the smaller has at least 0.8 times the tokens of the larger. Positional filter: what
@@ -22,6 +22,7 @@ kept as they are.
 
 from __future__ import annotations
 
+import json
 import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,35 +43,38 @@ def _plain(text: Column) -> Column:
     return F.translate(F.lower(text), _SPACE, " " * len(_SPACE))
 
 
-def words(line: Column) -> Column:
-    """Distinct words of a plain line."""
-    return F.array_distinct(F.array_remove(F.split(line, " "), ""))
+def tokens_of(line: Column) -> Column:
+    """Hashes of the distinct words of a plain line."""
+    hashes = F.transform(F.split(line, " "), lambda w: F.xxhash64(w))
+    return F.array_distinct(F.array_remove(hashes, F.xxhash64(F.lit(""))))
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, line_no, words) of lines that have a word."""
+    """(doc, line_no, tokens) of lines that have a word."""
     lines = docs.select(F.col(id_col).alias("doc"), F.posexplode(F.split(_plain(F.col(text_col)), "\n")).alias("line_no", "line"))
-    return lines.select("doc", "line_no", words(F.col("line")).alias("words")).filter(F.size("words") > 0)
+    return lines.select("doc", "line_no", tokens_of(F.col("line")).alias("tokens")).filter(F.size("tokens") > 0)
 
 
-def rarity_classes(lines: DataFrame) -> bytes:
-    """For each bucket of token hashes a printable byte that grows with its count."""
-    seen = lines.select(F.explode("words").alias("w")).groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).alias("b")).count()
-    table = bytearray(b"!" * BUCKETS)
+def rarity_classes(docs: DataFrame, text_col: str) -> list[int]:
+    """For each bucket of token hashes a small number that grows with its documents."""
+    words = F.split(F.translate(_plain(F.col(text_col)), "\n", " "), " ")
+    buckets = F.array_distinct(F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int")))
+    seen = docs.select(F.explode(buckets).alias("b")).groupBy("b").count()
+    table = [0] * BUCKETS
     for r in seen.collect():  # at most BUCKETS rows
-        table[r["b"]] = 33 + min(93, int(2 * math.log2(r["count"])))
-    return bytes(table)
+        table[r["b"]] = 1 + min(93, int(2 * math.log2(r["count"])))
+    return table
 
 
-def _ranked(table: bytes) -> Column:
+def _ranked(table: list[int]) -> Column:
     """Tokens as longs, rare first: seven bits of rarity above 56 bits of hash."""
+    classes = F.from_json(F.lit(json.dumps(table, separators=(",", ":"))), "array<bigint>")  # folded to a constant
 
     def rank(h: Column) -> Column:
-        at = F.pmod(h, F.lit(BUCKETS)).cast("int") + 1
-        rarity = F.ascii(F.substring(F.lit(table), at, F.lit(1)).cast("string")).cast("long")
+        rarity = F.get(classes, F.pmod(h, F.lit(BUCKETS)).cast("int"))
         return F.shiftleft(rarity, 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
-    return F.array_sort(F.transform(F.transform("words", lambda w: F.xxhash64(w)), rank))
+    return F.sort_array(F.transform("tokens", rank))
 
 
 def _bits(tokens: Column) -> Column:
@@ -118,7 +122,7 @@ def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, rank: Column,
     with _pruned_scans(spark):
         texts = docs.join(wanted, docs["doc"].eqNullSafe(wanted["doc"])).select("wanted", F.split(_plain(F.col("text")), "\n").alias("lines"))
         texts = texts.select(F.explode(F.transform("wanted", lambda w: F.struct(w["id"].alias("id"), w["h1"].alias("h1"), F.get("lines", w["line_no"]).alias("line")))).alias("x"))
-        tokens = texts.select("x.id", "x.h1", words(F.col("x.line")).alias("words")).filter(F.size("words") > 0)
+        tokens = texts.select("x.id", "x.h1", tokens_of(F.col("x.line")).alias("tokens")).filter(F.size("tokens") > 0)
         tokens = written(tokens.select("id", "h1", rank.alias("tokens")).filter(F.xxhash64("tokens") == F.col("h1")).drop("h1"), f"{path}/tokens")
     left = tokens.select(F.col("id").alias("a"), F.col("tokens").alias("ta"))
     right = tokens.select(F.col("id").alias("b"), F.col("tokens").alias("tb"))
@@ -131,7 +135,7 @@ def kept_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     """(doc, lines): the places of the lines with words that stay, for each document that has some."""
     path = scratch(docs.sparkSession, "lines")
     lines = lines_of(docs, id_col, text_col)
-    rank = _ranked(rarity_classes(lines))
+    rank = _ranked(rarity_classes(docs, text_col))
     n = F.size("k")
     prefix = F.transform(F.slice("k", 1, n - _needed(n) + 1), lambda t: t.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))  # low bits of the hash
     ranked = lines.select("doc", "line_no", rank.alias("k")).select(
@@ -163,7 +167,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     joined = docs.join(kept.select(F.col("doc").alias("_kept_doc"), F.col("lines").alias("_kept")), F.col(id_col).eqNullSafe(F.col("_kept_doc")), "left")
     joined = joined.withColumn("_lines", F.split(F.col(text_col), "\n"))
     blank = F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: ~F.get("_lines", i).rlike(r"[^\x20\x09-\x0D]"))
-    places = F.array_sort(F.array_union(blank, F.coalesce("_kept", F.array().cast("array<int>"))))
+    places = F.sort_array(F.array_union(blank, F.coalesce("_kept", F.array().cast("array<int>"))))
     joined = joined.withColumn("_places", F.when(F.col(text_col).isNotNull(), F.filter(places, lambda i: i < F.size("_lines"))))
     text = F.array_join(F.transform("_places", lambda i: F.get("_lines", i)), "\n")
     n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size("_lines"))

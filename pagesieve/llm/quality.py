@@ -68,7 +68,7 @@ def measures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         "doc_id", "stratum", n.alias("n_words"), "word_chars", "n_symbols", F.size("lines").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"), F.transform(starts, window).alias("windows"),
     )
-    placed = F.array_sort(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    placed = F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     repeats = F.size(F.array_distinct("windows")) < F.size("windows")
     df = df.withColumn("placed", F.when(repeats, placed)).drop("windows")
     # Sorted by hash, a repeated window has an equal one beside it.
@@ -79,7 +79,7 @@ def measures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         F.col("placed").alias("own"), F.concat(none, F.slice("hashes", 1, rest)).alias("before"), F.concat(F.slice("hashes", 2, rest), none).alias("after")
     )
     again = F.filter(beside, lambda x: (x["own"]["h"] == x["before"]) | (x["own"]["h"] == x["after"]))
-    places = F.array_sort(F.transform(again, lambda x: x["own"]["i"]))
+    places = F.sort_array(F.transform(again, lambda x: x["own"]["i"]))
     covered = F.aggregate(
         places, F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).alias("n")),
         lambda acc, i: F.struct(i.alias("last"), (acc["n"] + F.least(F.lit(WINDOW), i - acc["last"])).alias("n")),

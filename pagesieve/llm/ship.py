@@ -11,10 +11,13 @@ from pyspark.sql import SparkSession
 import pagesieve
 
 NAME = "pagesieve-package.zip"
+#: Bytes of rows that a Python task is handed at once; texts may be long, and workers are small.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package's modules to the executors, once for each context."""
+    """Send the package's modules to the executors, once for each context, and keep their batches small."""
+    spark.conf.set(*BATCH)
     context = spark.sparkContext
     if NAME in getattr(context, "_python_includes", []):
         return

@@ -31,10 +31,10 @@ _CUT = {
 # the byte-level cut no run of white space that it would keep together.
 _NOT_PLAIN = {"byte": r"[^ -~\nÀ-ÖØ-öø-ÿ]|\s\s\s|\s\s$", "word": r"[^ -~\nÀ-ÖØ-öø-ÿ]"}
 #: A worker forgets its words when they are so many or have so many ids.
-KEPT_WORDS = 250_000
-KEPT_IDS = 3_000_000
+KEPT_WORDS = 150_000
+KEPT_IDS = 2_000_000
 #: Characters that are worked on at once.
-AT_ONCE = 2 << 20
+AT_ONCE = 1 << 20
 
 
 def public_path(name: str) -> str:
@@ -165,6 +165,18 @@ def _kind(spec: dict) -> str:
     return "whole"
 
 
+def portions(texts: pa.Array, size: int) -> Iterator[tuple[int, list[str]]]:
+    """Some texts at a time, of about ``size`` characters, and the number of the first; null is empty."""
+    some: list[str] = []
+    first = held = 0
+    for i, text in enumerate(texts):
+        some.append(text.as_py() or "")
+        held += len(some[-1])
+        if held >= size or i == len(texts) - 1:
+            yield first, some
+            some, first, held = [], i + 1, 0
+
+
 @lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:
     """The worker's encoder of a vocabulary file."""
