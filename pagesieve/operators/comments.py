@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagesieve.catalog.languages import (
@@ -21,25 +21,26 @@ from pagesieve.functions.text import basename, count_newlines, slug, strip, suff
 COLUMNS = ["path", "language", "line_start", "line_end", "text", "type", "offset"]
 
 
-def language_table(spark: SparkSession) -> DataFrame:
-    """Lower-cased file name or extension -> language key; a fixed size."""
-    rows = [(f.lower(), "name", lang.key) for lang in LANGUAGES for f in lang.filenames]
-    rows += [(e.lower(), "ext", lang.key) for lang in LANGUAGES for e in lang.extensions]
-    return spark.createDataFrame(rows, "mark string, by string, lang string").dropDuplicates(["mark", "by"])
+def _keys(marks: str) -> dict[str, str]:
+    """Lower-cased file names or extensions -> language key; of two languages the first counts."""
+    out: dict[str, str] = {}
+    for lang in LANGUAGES:
+        for mark in getattr(lang, marks):
+            out.setdefault(mark.lower(), lang.key)
+    return out
+
+
+def _constant(values: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
 
 
 def detect_language(corpus: DataFrame, *, path: str = "path") -> DataFrame:
     """Add ``lang_key`` and ``language``: exact file name first, then last extension, else null."""
-    table = language_table(corpus.sparkSession)
-    by_name = table.filter("by = 'name'").select(F.col("mark").alias("_name"), F.col("lang").alias("_ln"))
-    by_ext = table.filter("by = 'ext'").select(F.col("mark").alias("_ext"), F.col("lang").alias("_le"))
     name = F.lower(basename(F.col(path)))
-    marked = corpus.withColumn("_name", name).withColumn("_ext", suffix(name))
-    joined = marked.join(F.broadcast(by_name), "_name", "left").join(F.broadcast(by_ext), "_ext", "left")
-    titles = F.create_map(*[F.lit(x) for lang in LANGUAGES for x in (lang.key, lang.name)])  # fixed
-    return joined.withColumn("lang_key", F.coalesce("_ln", "_le")).withColumn(
-        "language", F.try_element_at(titles, F.col("lang_key"))
-    ).drop("_name", "_ext", "_ln", "_le")
+    by_name = F.try_element_at(_constant(_keys("filenames")), name)
+    key = F.coalesce(by_name, F.try_element_at(_constant(_keys("extensions")), suffix(name)))
+    titles = _constant({lang.key: lang.name for lang in LANGUAGES})
+    return corpus.withColumn("lang_key", key).withColumn("language", F.try_element_at(titles, F.col("lang_key")))
 
 
 def _marks(lang: Language) -> dict[str, object]:
