@@ -11,7 +11,8 @@ earlier line (by ``doc_id``, then by place) has a Jaccard similarity of at least
   Length filter: the smaller has at least 0.8 times the tokens of the larger. Positional filter: what
   follows the shared token must suffice for the overlap that 0.8 asks for. Sixty-four bits of each set
   rule out pairs that differ in more bits than they may in tokens.
-* The texts of the lines in candidate pairs are read again, and their token sets compared in full.
+* The texts of the lines in candidate pairs are read again, and their token sets compared in full: each
+  with its first candidate, and if that is not similar with all others.
 
 Token sets and tokens are known by hashes of 128 and 56 bits.
 
@@ -113,22 +114,33 @@ def _candidates(sets: DataFrame) -> DataFrame:
     return a.join(b, met).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
 
 
-def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, rank: Column, path: str) -> DataFrame:
-    """(a, b): the pairs that are similar; ``docs`` has ``doc`` and ``text``."""
-    spark = docs.sparkSession
+def _directed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(later, earlier, place): which set of each pair comes first, and where."""
+    place = sets.select("id", F.struct("doc", "line_no", "id").alias("place"))
+    both = pairs.join(place.withColumnsRenamed({"id": "a", "place": "pa"}), "a").join(place.withColumnsRenamed({"id": "b", "place": "pb"}), "b")
+    earlier, later = F.least("pa", "pb"), F.greatest("pa", "pb")
+    return both.select(later["id"].alias("later"), earlier["id"].alias("earlier"), earlier.alias("place"))
+
+
+def _tokens(docs: DataFrame, sets: DataFrame, pairs: DataFrame, rank: Column, path: str) -> DataFrame:
+    """(id, tokens) of the sets in pairs, read again; ``docs`` has ``doc`` and ``text``."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     wanted = sets.join(ids, "id").groupBy("doc").agg(F.collect_list(F.struct("line_no", "id", "h1")).alias("wanted"))
     wanted = written(wanted, f"{path}/wanted").filter(F.size("wanted") > 0)
-    with _pruned_scans(spark):
+    with _pruned_scans(docs.sparkSession):
         texts = docs.join(wanted, docs["doc"].eqNullSafe(wanted["doc"])).select("wanted", F.split(_plain(F.col("text")), "\n").alias("lines"))
         texts = texts.select(F.explode(F.transform("wanted", lambda w: F.struct(w["id"].alias("id"), w["h1"].alias("h1"), F.get("lines", w["line_no"]).alias("line")))).alias("x"))
         tokens = texts.select("x.id", "x.h1", tokens_of(F.col("x.line")).alias("tokens")).filter(F.size("tokens") > 0)
-        tokens = written(tokens.select("id", "h1", rank.alias("tokens")).filter(F.xxhash64("tokens") == F.col("h1")).drop("h1"), f"{path}/tokens")
-    left = tokens.select(F.col("id").alias("a"), F.col("tokens").alias("ta"))
-    right = tokens.select(F.col("id").alias("b"), F.col("tokens").alias("tb"))
+        return written(tokens.select("id", "h1", rank.alias("tokens")).filter(F.xxhash64("tokens") == F.col("h1")).drop("h1"), f"{path}/tokens")
+
+
+def _similar(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
+    """The later sets of pairs that are similar."""
+    left = tokens.select(F.col("id").alias("earlier"), F.col("tokens").alias("ta"))
+    right = tokens.select(F.col("id").alias("later"), F.col("tokens").alias("tb"))
     both = F.size(F.array_intersect("ta", "tb"))
     either = F.size("ta") + F.size("tb") - both
-    return pairs.join(left, "a").join(right, "b").filter(both * DENOMINATOR >= either * NUMERATOR).select("a", "b")
+    return pairs.join(left, "earlier").join(right, "later").filter(both * DENOMINATOR >= either * NUMERATOR).select("later").distinct()
 
 
 def kept_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -145,16 +157,15 @@ def kept_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     first = ranked.groupBy("h1", "h2").agg(F.min("line").alias("line"))
     sets = written(first.select(F.monotonically_increasing_id().alias("id"), "h1", "line.*"), f"{path}/sets")
     pairs = written(_candidates(sets), f"{path}/pairs")
-    texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-    similar = _verified(texts, sets.select("id", "doc", "line_no", "h1"), pairs, rank, path)
-    order = F.struct("doc", "line_no", "id")
-    place = sets.select("id", order.alias("place"))
-    later = (
-        similar.join(place.withColumnsRenamed({"id": "a", "place": "pa"}), "a")
-        .join(place.withColumnsRenamed({"id": "b", "place": "pb"}), "b")
-        .select(F.greatest("pa", "pb")["id"].alias("id")).distinct()
-    )
-    stay = sets.select("id", "doc", "line_no").join(later, "id", "left_anti")
+    tokens = _tokens(docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")), sets, pairs, rank, path)
+    # One similar earlier set is enough. Each set is compared with its first candidate; only those
+    # that differ from it are compared with all others, so a group of near copies isn't compared in all its pairs.
+    directed = written(_directed(pairs, sets), f"{path}/directed")
+    nearest = directed.groupBy("later").agg(F.min("place")["id"].alias("earlier"))
+    gone = written(_similar(nearest, tokens), f"{path}/gone")
+    others = directed.join(gone, "later", "left_anti").select("later", "earlier")
+    gone = gone.unionByName(written(_similar(others, tokens), f"{path}/others"))
+    stay = sets.select("id", "doc", "line_no").join(gone.withColumnRenamed("later", "id"), "id", "left_anti")
     return written(stay.groupBy("doc").agg(F.collect_set("line_no").alias("lines")), f"{path}/kept")
 
 
