@@ -191,3 +191,14 @@ def test_licenses_by_exact_wording(spark):
     assert sorted((r.doc_id, r.license) for r in got.collect()) == [(1, "all-rights-reserved"), (6, "MIT"), (6, "MIT")]
     assert got.filter("doc_id = 6").first().missing_words == 0
     assert licenses.licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_licenses_compare_every_template():
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    found = lambda text: [x[0] for x in licenses.find(text, scanner)]
+    assert found("Licensed under the Apache License, Version 2.0. All rights reserved.") == ["Apache-2.0", "all-rights-reserved"]
+    line = ("This work is licensed under the GNU General Public License, version 3. Released under the MIT License. All rights reserved. "
+            "Licensed under CC BY-NC 4.0.")
+    assert found(line) == ["CC-BY-NC-4.0", "GPL-3.0", "MIT", "all-rights-reserved"]
+    lgpl, gpl = licenses.TEMPLATES["LGPL-3.0"], licenses.TEMPLATES["GPL-3.0"]
+    assert found(f"{lgpl}\n\n\n{gpl}") == ["GPL-3.0", "LGPL-3.0"]
