@@ -202,3 +202,27 @@ def test_licenses_compare_every_template():
     assert found(line) == ["CC-BY-NC-4.0", "GPL-3.0", "MIT", "all-rights-reserved"]
     lgpl, gpl = licenses.TEMPLATES["LGPL-3.0"], licenses.TEMPLATES["GPL-3.0"]
     assert found(f"{lgpl}\n\n\n{gpl}") == ["GPL-3.0", "LGPL-3.0"]
+
+
+FSF = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version {} of the License, or
+# (at your option) any later version."""
+
+
+def test_licenses_across_lines_and_no_far_words():
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    found = lambda text: [x[0] for x in licenses.find(text, scanner)]
+    for text in (FSF, "\n".join(FSF.split()), " ".join(FSF.split())):
+        for around in ("", "word " * 500, "license " * 9000):
+            assert found(around + text.format(3) + "\n" + around) == ["GPL-3.0"]
+            assert found(around + text.format(2) + "\n" + around) == ["GPL-2.0"]
+            assert found(around + text.format(3).replace("General", "Affero General") + around) == ["AGPL-3.0"]
+    gpl = licenses.TEMPLATES["GPL-3.0"]
+    for tail in (".\nSee chapter 2", ". See chapter 2", ". Needs library version 2"):
+        assert found(gpl + tail) == ["GPL-3.0"]
+    assert found(licenses.TEMPLATES["LGPL-3.0"].replace("3", "2")) == []
+    assert found(gpl + " or (at your option) version 2") == ["GPL-2.0", "GPL-3.0"]
+    for name, wording in licenses.TEMPLATES.items():  # a word a line
+        text = "See the manual.\n" + "\n".join(wording.split()) + "\nSo much for this."
+        assert [(x[0], text[x[4] : x[5]]) for x in licenses.find(text, scanner)] == [(name, "\n".join(wording.split()).rstrip(".,"))]
