@@ -11,6 +11,11 @@ and their diagonals (place in the document less place in the item) span at most
    half, so that one of them has all hits of a match,
 4. bands with enough hits are verified by an alignment within the band.
 
+An item also occurs in a document that has only a part of it: each ``PASSAGE`` words in a row of a longer item are
+searched in the same way, with edits and bands of their own. Their hits are those of the item that lie within them, so
+passages need no q-grams of their own. A document has the place of the whole item if that is found, otherwise that of the
+passage with the fewest edits (then the first), and these edits. Pieces of at most ``PIECE`` bytes of a word count as words.
+
 The benchmark is read in blocks of at most ``BLOCK_BYTES`` bytes, each of which goes to all tasks; the
 documents are passed once for each block, whole, without a shuffle.
 
@@ -40,9 +45,13 @@ BLOCK_BYTES = 16 << 20
 #: Characters of documents that are worked on at once.
 AT_ONCE = 1 << 20
 CELL = 32
+#: Words in a row of an item that count as its occurrence, and the most bytes of one.
+PASSAGE = 13
+PIECE = 24
 _TABLE_BITS = 22
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _WORD = re.compile(r"[^\W_]+")
+_PIECE = re.compile(rb"[^ ]{1,%d}" % PIECE)
 
 
 def normal(text: str) -> bytes:
@@ -98,13 +107,26 @@ def align(item: bytes, text: bytes, budget: int, low: int, width: int) -> tuple[
 
 
 class Index:
-    """The q-grams of benchmark items."""
+    """The q-grams of benchmark items; what is searched are the items, and then their passages if these are wanted."""
 
-    def __init__(self, items: list[str]):
+    def __init__(self, items: list[str], *, passages: bool = False):
         self.items = [normal(t) for t in items]
-        sizes = np.array([len(t) for t in self.items], np.int64)
+        parts = [(i, a, z) for i, t in enumerate(self.items) for a, z in _passages(t)] if passages else []
+        own = np.array(parts, np.int64).reshape(-1, 3)
+        lengths = np.array([len(t) for t in self.items], np.int64)
+        n = len(lengths)
+        self.item_of = np.concatenate([np.arange(n), own[:, 0]])
+        self.begin = np.concatenate([np.zeros(n, np.int64), own[:, 1]])
+        sizes = np.concatenate([lengths, own[:, 2] - own[:, 1]])
+        self._longest = int(lengths.max(initial=0)) + 1
+        self._firsts, self._lasts = own[:, 0] * self._longest + own[:, 1], own[:, 0] * self._longest + own[:, 2]
         self.budget = np.minimum((ERRORS * sizes).astype(np.int64), np.maximum((sizes + 1 - Q // 2) // Q - 1, 0))
         self.least = np.maximum(sizes + 1 - Q * (self.budget + 1), 1)
+        self._ends = self.begin + sizes
+        # For each item: half the width of its passages' widest bands, and the hits that any of them needs.
+        self._half, self._fewest = np.ones(n, np.int64), np.full(n, 1 << 40)
+        np.maximum.at(self._half, own[:, 0], self.budget[n:] + 1)
+        np.minimum.at(self._fewest, own[:, 0], self.least[n:])
         grams = [q_grams(t) for t in self.items]
         of = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
         at = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(g)) for g in grams)])
@@ -115,7 +137,7 @@ class Index:
         self._starts = np.append(starts, len(flat))
         self._table = np.zeros(1 << _TABLE_BITS, bool)
         self._table[self._slot(self._grams)] = True
-        # For some classes of length: the hits that any of its items needs, within so many cells.
+        # For some classes of length: the hits that any item or passage of it needs, within so many cells.
         self._classes = []
         usable = sizes >= Q
         for bits in np.unique(np.log2(sizes[usable]).round(1)) if usable.any() else []:
@@ -145,6 +167,30 @@ class Index:
             np.add.at(enough, last[rich], -1)
         return places[np.cumsum(enough)[places // CELL] > 0]
 
+    def part(self, i: int) -> bytes:
+        """What is searched as number ``i``."""
+        return self.items[self.item_of[i]][self.begin[i] : self._ends[i]]
+
+    def _with_passages(self, item: np.ndarray, at: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(part, diagonal) of hits: in the item and in each passage of it that has the q-gram."""
+        items, diagonals = item, place - at
+        if not len(self._firsts):
+            return items, diagonals
+        # Hits in bands of the item, as wide as its widest passage needs, that are too few for any passage go first.
+        half, span = self._half[item], np.int64(1) << 40
+        keys = item * span + diagonals // half + (span >> 1)
+        own, which, counts = np.unique(keys, return_inverse=True, return_counts=True)
+        beside = np.append(np.where(np.diff(own) == 1, counts[1:], 0), 0) + counts
+        before = np.append(0, beside[:-1]) * np.append(False, np.diff(own) == 1)
+        rich = np.maximum(beside, before)[which] >= self._fewest[item]
+        item, at, place = item[rich], at[rich], place[rich]
+        begin = item * self._longest + at
+        low = np.searchsorted(self._lasts, begin + Q, "left")
+        many = np.maximum(np.searchsorted(self._firsts, begin, "right") - low, 0)
+        passage = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(int(many.sum())) + len(self.items)
+        diagonal = np.repeat(place - at, many) + self.begin[passage]
+        return np.concatenate([items, passage]), np.concatenate([diagonals, diagonal])
+
     def find(self, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
         """(text, item, edits, begin, end) of each match; places are characters of the given text."""
         plain = [normal(t) for t in texts]
@@ -164,8 +210,7 @@ class Index:
         places, row = places[real], row[real]
         many = self._starts[row + 1] - self._starts[row]
         source = np.repeat(self._starts[row] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-        item = self._of[source]
-        diagonal = np.repeat(places, many) - self._at[source]
+        item, diagonal = self._with_passages(self._of[source], self._at[source], np.repeat(places, many))
         half = self.budget[item] + 1
         band = diagonal // half
         span = np.int64(len(data) + 2)
@@ -174,22 +219,34 @@ class Index:
         item, band = keys // (2 * span), keys % (2 * span) - span
         rich = counts >= self.least[item]
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        whole: set[tuple[int, int]] = set()  # items come before passages
         for i, b in zip(item[rich].tolist(), band[rich].tolist()):
+            part, own, is_item = self.part(i), int(self.item_of[i]), i < len(self.items)
             half = int(self.budget[i]) + 1
-            middle = b * half + half + len(self.items[i]) // 2
+            middle = b * half + half + len(part) // 2
             doc = int(np.searchsorted(begins, middle, "right")) - 1
             for d in {doc, *([doc - 1] if doc > 0 and middle - begins[doc] < 2 * half else []), *([doc + 1] if doc + 1 < len(plain) else [])}:
-                if d < 0:
+                if d < 0 or not is_item and ((d, own) in whole or best.get((d, own), (1,))[0] == 0 and best[d, own][1] <= b * half - begins[d]):
                     continue
                 low = b * half - int(begins[d])
-                if low > len(plain[d]) or low + 2 * half + len(self.items[i]) < 0:
+                if low > len(plain[d]) or low + 2 * half + len(part) < 0:
                     continue
-                found = align(self.items[i], plain[d], int(self.budget[i]), low, 2 * half)
-                if found and ((d, i) not in best or found < best[d, i]):
-                    best[d, i] = found
+                found = align(part, plain[d], int(self.budget[i]), low, 2 * half)
+                if found and ((d, own) not in best or found < best[d, own]):
+                    best[d, own] = found
+                if found and is_item:
+                    whole.add((d, own))
         return [(d, i, edits, *_original(texts[d], a, z)) for (d, i), (edits, a, z) in sorted(best.items())]
 
 
+def _passages(item: bytes) -> list[tuple[int, int]]:
+    """Begin and end of each ``PASSAGE`` words in a row, of an item that has more."""
+    words = [m.span() for m in _PIECE.finditer(item)]
+    if len(words) <= PASSAGE:
+        return []
+    return [(a, z) for (a, _), (_, z) in zip(words, words[PASSAGE - 1 :]) if z - a >= Q]
+
+
 def _original(text: str, begin: int, end: int) -> tuple[int, int]:
     """Where bytes ``begin`` to ``end`` of the normal form lie in the text, by whole words."""
     at, lower = 0, text.lower()
@@ -221,7 +278,7 @@ def matches(
     docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     item_col: str = "item_id", item_text_col: str = "text",
 ) -> DataFrame:
-    """(doc_id, item_id, edits, begin, end): every document and item of it, with the place in the text."""
+    """(doc_id, item_id, edits, begin, end): every document and item of it or of which it has a passage, with the place in the text."""
     schema = T.StructType([
         T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("item_id", benchmark.schema[item_col].dataType),
         *(T.StructField(c, T.LongType()) for c in ("edits", "begin", "end")),
@@ -232,7 +289,7 @@ def matches(
         held = docs.sparkSession.sparkContext.broadcast((ids, items))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            names, index = pa.array(held.value[0]), Index(held.value[1])
+            names, index = pa.array(held.value[0]), Index(held.value[1], passages=True)
             for batch in batches:
                 for first, some in portions(batch.column(1), AT_ONCE):
                     found = np.array(index.find(some), np.int64).reshape(-1, 5)
@@ -250,13 +307,13 @@ def matches(
 def drop_contaminated(
     docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
 ) -> DataFrame:
-    """The documents in which no item of the benchmark occurs."""
+    """The documents in which no item of the benchmark and no passage of one occurs."""
     place = docs.columns.index(text_col)
     for _, items in _blocks(benchmark, item_col, item_text_col):
         held = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            index = Index(held.value)
+            index = Index(held.value, passages=True)
             for batch in batches:
                 clean = np.ones(batch.num_rows, bool)
                 for first, some in portions(batch.column(place), AT_ONCE):

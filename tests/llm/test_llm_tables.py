@@ -123,6 +123,25 @@ def test_decontamination_tables(spark):
     assert decontaminate.matches(docs.limit(0), bench).count() == 0
 
 
+def test_decontamination_finds_parts_of_items(spark):
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randrange(2, 9)))
+    words = [word() for _ in range(60)]
+    n = decontaminate.PASSAGE
+    parts = [words[:50], words[9:], words[:30], words[20 : 20 + n], words[60 - n :], words[:n], words[9 : 9 + n // 2], words[::2]]
+    around = lambda x: " ".join([*(word() for _ in range(30)), *x, *(word() for _ in range(30))])
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, "字" * 400)], "item_id long, text string")
+    texts = [around(p) for p in parts] + [" ".join(p) for p in parts] + [around(["字" * 250])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.matches(docs, bench).collect()}
+    assert sorted(got) == [0, 1, 2, 3, 4, 5, 8, 9, 10, 11, 12, 13, 16]
+    assert all(r.edits == 0 and r.item_id == 1 for d, r in got.items() if d < 16) and got[16].item_id == 2
+    assert texts[3][got[3].begin : got[3].end] == " ".join(parts[3])
+    assert sorted(r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()) == [6, 7, 14, 15]
+    spoilt = " ".join(words[10:40]).replace(words[20], words[20] + "x", 1)
+    assert decontaminate.matches(spark.createDataFrame([(1, spoilt)], "doc_id long, text string"), bench).count() == 1
+
+
 def _similar(a, b):
     both = len(a & b)
     return 5 * both >= 4 * (len(a) + len(b) - both)
