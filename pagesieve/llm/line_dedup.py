@@ -17,8 +17,8 @@ earlier line (by ``doc_id``, then by place) has a Jaccard similarity of at least
 Token sets and tokens are known by hashes of 128 and 56 bits.
 
 Defined cases: lines without a word are kept; a null or empty text stays as it is; rows with one
-``doc_id`` are one document, and so are those without; an empty table gives no row; other columns are
-kept as they are.
+``doc_id``, or without, are documents of their own if their texts differ, by a hash of the text; equal ones are treated
+alike; an empty table gives no row; other columns are kept as they are.
 """
 
 from __future__ import annotations
@@ -44,6 +44,11 @@ def _plain(text: Column) -> Column:
     return F.translate(F.lower(text), _SPACE, " " * len(_SPACE))
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """What tells documents apart, and orders them."""
+    return F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"))
+
+
 def tokens_of(line: Column) -> Column:
     """Hashes of the distinct words of a plain line."""
     hashes = F.transform(F.split(line, " "), lambda w: F.xxhash64(w))
@@ -128,7 +133,7 @@ def _tokens(docs: DataFrame, sets: DataFrame, pairs: DataFrame, rank: Column, pa
     wanted = sets.join(ids, "id").groupBy("doc").agg(F.collect_list(F.struct("line_no", "id", "h1")).alias("wanted"))
     wanted = written(wanted, f"{path}/wanted").filter(F.size("wanted") > 0)
     with _pruned_scans(docs.sparkSession):
-        texts = docs.join(wanted, docs["doc"].eqNullSafe(wanted["doc"])).select("wanted", F.split(_plain(F.col("text")), "\n").alias("lines"))
+        texts = docs.join(wanted, "doc").select("wanted", F.split(_plain(F.col("text")), "\n").alias("lines"))
         texts = texts.select(F.explode(F.transform("wanted", lambda w: F.struct(w["id"].alias("id"), w["h1"].alias("h1"), F.get("lines", w["line_no"]).alias("line")))).alias("x"))
         tokens = texts.select("x.id", "x.h1", tokens_of(F.col("x.line")).alias("tokens")).filter(F.size("tokens") > 0)
         return written(tokens.select("id", "h1", rank.alias("tokens")).filter(F.xxhash64("tokens") == F.col("h1")).drop("h1"), f"{path}/tokens")
@@ -144,10 +149,11 @@ def _similar(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
 
 
 def kept_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, lines): the places of the lines with words that stay, for each document that has some."""
+    """(doc, lines): the places of the lines with words that stay, for each document (``row_key``) that has some."""
     path = scratch(docs.sparkSession, "lines")
-    lines = lines_of(docs, id_col, text_col)
-    rank = _ranked(rarity_classes(docs, text_col))
+    docs = docs.select(row_key(id_col, text_col).alias("doc"), F.col(text_col).alias("text"))
+    lines = lines_of(docs, "doc", "text")
+    rank = _ranked(rarity_classes(docs, "text"))
     n = F.size("k")
     prefix = F.transform(F.slice("k", 1, n - _needed(n) + 1), lambda t: t.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))  # low bits of the hash
     ranked = lines.select("doc", "line_no", rank.alias("k")).select(
@@ -157,7 +163,7 @@ def kept_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     first = ranked.groupBy("h1", "h2").agg(F.min("line").alias("line"))
     sets = written(first.select(F.monotonically_increasing_id().alias("id"), "h1", "line.*"), f"{path}/sets")
     pairs = written(_candidates(sets), f"{path}/pairs")
-    tokens = _tokens(docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")), sets, pairs, rank, path)
+    tokens = _tokens(docs, sets, pairs, rank, path)
     # One similar earlier set is enough. Each set is compared with its first candidate; only those
     # that differ from it are compared with all others, so a group of near copies isn't compared in all its pairs.
     directed = written(_directed(pairs, sets), f"{path}/directed")
@@ -175,7 +181,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     ``n_lines`` counts the lines of the text, ``n_removed`` those taken out.
     """
     kept = kept_lines(docs, id_col=id_col, text_col=text_col)
-    joined = docs.join(kept.select(F.col("doc").alias("_kept_doc"), F.col("lines").alias("_kept")), F.col(id_col).eqNullSafe(F.col("_kept_doc")), "left")
+    joined = docs.join(kept.select(F.col("doc").alias("_kept_doc"), F.col("lines").alias("_kept")), row_key(id_col, text_col) == F.col("_kept_doc"), "left")
     joined = joined.withColumn("_lines", F.split(F.col(text_col), "\n"))
     blank = F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: ~F.get("_lines", i).rlike(r"[^\x20\x09-\x0D]"))
     places = F.sort_array(F.array_union(blank, F.coalesce("_kept", F.array().cast("array<int>"))))

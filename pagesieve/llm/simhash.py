@@ -211,12 +211,17 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return found.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, **columns: str) -> DataFrame:
-    """The documents of which ``doc_id`` names its component; a repeated ``doc_id`` stays once."""
-    id_col = columns.get("id_col", "doc_id")
-    kept = near_duplicates(docs, **columns).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = kept.select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.dropDuplicates([id_col]).join(kept, docs[id_col].eqNullSafe(kept[id_col]), "left_semi")
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """One row of each component: the one with the least ``doc_id`` (null comes last), then the least hash of its values.
+
+    Rows are told apart by all their values, so those without a ``doc_id`` or with a repeated one are documents of their own.
+    """
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    row = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(*own).alias("h1"), F.xxhash64(F.lit("second"), *own).alias("h2"))
+    near = near_duplicates(docs.select(row.alias("_row"), F.col(text_col)), id_col="_row", text_col=text_col, radius=radius)
+    kept = near.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id.h1").alias("_h1"), F.col("doc_id.h2").alias("_h2"))
+    keyed = docs.withColumns({"_h1": row["h1"], "_h2": row["h2"]})
+    return keyed.join(kept, ["_h1", "_h2"], "left_semi").dropDuplicates(["_h1", "_h2"]).select(*own)
 
 
 def hex_digits(fp: Column) -> Column:

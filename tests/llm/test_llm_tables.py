@@ -242,6 +242,19 @@ def test_simhash_documents(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_rows_without_or_with_one_id_are_documents_of_their_own(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(None, text(0), "a"), (None, text(1), "b"), (None, text(1), "b"), (7, text(2), "c"), (7, text(3), "d"), (2, text(3), "e"), (None, text(2), "f")]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, source string").repartition(3)
+        kept = simhash.keep_one(docs)
+        assert kept.columns == docs.columns and sorted(r.source for r in kept.collect()) == ["a", "b", "c", "e"]
+    docs = spark.createDataFrame([(1, "a b c d e f\nk l m n"), (1, "g h i j\na b c d e f"), (None, "o p q r"), (None, "s t u v\no p q r")], "doc_id long, text string")
+    got = [r.text for r in line_dedup.dedup_lines(docs).collect()]
+    lines = [x for t in got for x in t.split("\n") if x]
+    assert sorted(lines) == ["a b c d e f", "g h i j", "k l m n", "o p q r", "s t u v"]
+
+
 def test_quality_counts(spark):
     rows = [(1, "a b c d e x a b c d e x y", "en"), (2, None, "en"), (3, "", None), (4, "l #1\nl #1\n\n\nl #1 ", "en"), (5, "same " * 30000, "en"), (None, "a b", None)]
     got = {r.doc_id: r for r in quality.measures(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, lang string, stratum int")).collect()}
