@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagesieve.functions.storage import materialize, scratch
-from pagesieve.llm import chat, decontaminate, language, licenses, line_dedup, packing, quality, simhash, token_store, warc
+from pagesieve.llm import byte_bpe, chat, decontaminate, language, licenses, line_dedup, packing, prefix_trie, quality, repair
+from pagesieve.llm import simhash, token_store, warc
 from pagesieve.llm import sql
 from pagesieve.llm.ship import ship
+from pagesieve.llm.stages import written
 from pagesieve.llm.tokens import public_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,6 +94,60 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def rebuilt(turns: DataFrame) -> DataFrame:
+    """Each conversation begins with a few turns of the first one of its hundred: (conv_id, nr, role, text), number 0 names it."""
+    base = F.col("conv_id") - F.col("conv_id") % 100
+    taken = F.crc32(F.col("conv_id").cast("string")) % 6
+    firsts = turns.filter((F.col("conv_id") % 100 == 0) & (F.col("nr") < 6)).withColumnRenamed("conv_id", "base")
+    others = turns.filter("nr = 1").select("conv_id", base.alias("base"), taken.alias("taken")).filter("conv_id <> base")
+    begin = others.join(firsts, "base").filter("nr <= taken").select("conv_id", "nr", "role", "text")
+    rest = turns.filter((F.col("conv_id") == base) | (F.col("nr") > taken))
+    named = turns.filter("nr = 1").select("conv_id", F.lit(0).cast("long").alias("nr"))
+    return begin.unionByName(rest).unionByName(named, allowMissingColumns=True)
+
+
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """The trie of all rebuilt conversations."""
+    turns = written(prefix_trie.numbered(read(spark, folder, "conversations")), scratch(spark, "turns"))
+    return prefix_trie.trie(rebuilt(turns))
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """Some rows lost, emptied, cut, repeated or given to the user, by a checksum of their place."""
+    turns = turns.select("conv_id", "turn", *[F.coalesce(c, F.lit(" ")).alias(c) for c in ("role", "text")])
+    place = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")]
+    fate = F.crc32(F.concat(place[0], F.lit(":"), place[1])) % 20
+    text = F.when(fate == 1, "").when(fate == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    role = F.when(fate == 4, "user").otherwise(F.col("role"))
+    kept = turns.filter(fate != 0).select("conv_id", "turn", role.alias("role"), text.alias("text"), F.when(fate == 3, 2).otherwise(1).alias("copies"))
+    return kept.select("conv_id", "turn", "role", "text", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).drop("col")
+
+
+def op12_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """All damaged conversations, what ails them, and a digest of what the cheapest edits make of them."""
+    turns = read(spark, folder, "conversations")
+    path = scratch(spark, "repair")
+    rows = written(repair.with_faults(damaged(turns)), f"{path}/rows")
+    plans = written(repair.plans(rows, turns.select("conv_id").distinct()), f"{path}/plans")
+    digests = repair.digests(repair.repaired(rows, plans)).withColumnRenamed("conv_id", "conv")
+    found = plans.join(digests, F.col("conv_id").eqNullSafe(F.col("conv")), "left")
+    nothing = F.sha2(F.lit("").cast("binary"), 256)
+    return found.select(*plans.columns, F.coalesce("sha256", nothing).alias("repaired_sha256"))
+
+
+def op13_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of all documents, and what they decode to."""
+    from public_tokenizers import PATTERN
+
+    path = public_path("byte_bpe_50k.tiktoken")
+    encoded = byte_bpe.encode(read(spark, folder, "documents"), path, PATTERN)
+    shown = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return byte_bpe.decode(encoded, path).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(shown.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op2_warc": op2_warc,
@@ -103,6 +159,9 @@ QUERIES: dict[str, Query] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_simhash": op9_simhash,
     "op10_quality": op10_quality,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_repair": op12_repair,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 ORACLE: dict[str, str] = {
     "op2_warc": sql.OP2,
