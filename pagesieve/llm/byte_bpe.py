@@ -5,7 +5,9 @@ meets (a *chunk* ends after ``CHUNK_DISTINCT`` of them or ``CHUNK_WORDS`` words)
 the numbers of its words, in order. Of these only the chunk's distinct words are shuffled by word:
 all chunks that have a word meet in one task, which merges it once and joins its ids back to the chunks.
 A second shuffle brings ids and documents of a chunk together, where each document is put together
-by position. A word has one row for each chunk, so no word is hot, however frequent it is; a chunk's rows are bounded.
+by position. A chunk sends a word once, so no word is hot, however frequent it is; a chunk's rows are bounded.
+Words travel in blocks of one chunk and one *bucket* (a checksum of the word), compressed, as rows of single words would take
+three times the room. A bucket's distinct words are held by one task: there are ``BUCKETS`` buckets for each shuffle partition.
 
 Documents and words of a chunk come from one exchange that both branches read (Spark reuses it). A lost
 executor's part of it is worked out again from its input, so the input must be a table, not rows in an order that changes.
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 import base64
 import re
+import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
@@ -41,9 +44,11 @@ CHUNK_DISTINCT = 1 << 19
 CHUNK_WORDS = 1 << 22
 #: Characters that are cut at once.
 AT_ONCE = 1 << 20
-#: Words that are merged, or documents that are put together, before they are handed on.
+#: Documents, or their ids, that are put together before they are handed on.
 ROWS_AT_ONCE = 20_000
 IDS_AT_ONCE = 1 << 21
+#: Buckets of words for each shuffle partition.
+BUCKETS = 16
 
 
 # --- the cut ---------------------------------------------------------------------------------
@@ -108,11 +113,11 @@ class _Numbers(dict):
         return n
 
 
-def _packed(codes: np.ndarray) -> bytes:
+def _packed(numbers: np.ndarray) -> bytes:
     """Numbers by planes of bytes, which compress better than numbers do."""
     import zstandard
 
-    planes = np.ascontiguousarray(codes, "<u4").view(np.uint8).reshape(-1, 4).T
+    planes = np.ascontiguousarray(numbers, "<u4").view(np.uint8).reshape(-1, 4).T
     return zstandard.compress(planes.tobytes(), 1)
 
 
@@ -123,8 +128,14 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
 
 
-def _cut_texts(pattern: str, names: list[str], most: int = CHUNK_DISTINCT) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """From documents to rows of (chunk, nr, doc_id, word, codes): words have no codes, documents no word."""
+def _cut_texts(
+    pattern: str, names: list[str], buckets: int, most: int = CHUNK_DISTINCT
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From documents to rows of (chunk, bucket, doc_id, numbers, sizes, data).
+
+    A document has the numbers of its words and nothing else; a block of words has the steps from number to number, and
+    the size and the bytes of each word.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, numbers, held = _cutter(pattern), _Numbers(), 0
@@ -139,33 +150,43 @@ def _cut_texts(pattern: str, names: list[str], most: int = CHUNK_DISTINCT) -> Ca
                 n = len(rows)
                 yield pa.RecordBatch.from_arrays([
                     pa.repeat(pa.scalar(chunk, pa.int64()), n), pa.nulls(n, pa.int64()), batch.column(0).slice(first, n),
-                    pa.nulls(n, pa.string()), pa.array(rows, pa.binary()),
+                    pa.array(rows, pa.binary()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()),
                 ], names)
                 held += int(ends[-1])
                 if held >= CHUNK_WORDS or len(numbers) >= most:
-                    yield from _word_rows(numbers, chunk, doc_type, names)
+                    yield _word_blocks(numbers, chunk, buckets, doc_type, names)
                     numbers, held, chunk = _Numbers(), 0, chunk + 1
         if numbers:
-            yield from _word_rows(numbers, chunk, doc_type, names)
+            yield _word_blocks(numbers, chunk, buckets, doc_type, names)
 
     return run
 
 
-def _word_rows(numbers: _Numbers, chunk: int, doc_type: pa.DataType, names: list[str]) -> Iterator[pa.RecordBatch]:
-    words = list(numbers)
-    for a in range(0, len(words), ROWS_AT_ONCE):
-        some = words[a : a + ROWS_AT_ONCE]
-        n = len(some)
-        yield pa.RecordBatch.from_arrays([
-            pa.repeat(pa.scalar(chunk, pa.int64()), n), pa.array(np.arange(a, a + n), pa.int64()), pa.nulls(n, doc_type),
-            pa.array(some, pa.string()), pa.nulls(n, pa.binary()),
-        ], names)
+def _word_blocks(numbers: _Numbers, chunk: int, buckets: int, doc_type: pa.DataType, names: list[str]) -> pa.RecordBatch:
+    """The distinct words of a chunk, one row for each bucket."""
+    import zstandard
+
+    words = [w.encode() for w in numbers]
+    bucket = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % buckets
+    order = np.argsort(bucket, kind="stable")
+    own, starts = np.unique(bucket[order], return_index=True)
+    columns = [], [], []
+    for some in np.split(order, starts[1:]):
+        texts = [words[i] for i in some.tolist()]
+        for column, data in zip(columns, (
+            _packed(np.diff(some, prepend=0)), _packed(np.fromiter(map(len, texts), np.uint32, len(texts))), zstandard.compress(b"".join(texts), 1),
+        )):
+            column.append(data)
+    n = len(own)
+    return pa.RecordBatch.from_arrays([
+        pa.repeat(pa.scalar(chunk, pa.int64()), n), pa.array(own, pa.int64()), pa.nulls(n, doc_type), *[pa.array(c, pa.binary()) for c in columns],
+    ], names)
 
 
 def _only_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The word rows. A filter would be pushed below the exchange, which then could not be shared."""
+    """The blocks of words. A filter would be pushed below the exchange, which then could not be shared."""
     for batch in batches:
-        words = batch.select(["chunk", "nr", "word"]).filter(pc.is_valid(batch.column("word")))
+        words = batch.select(["chunk", "bucket", "numbers", "sizes", "data"]).filter(pc.is_valid(batch.column("bucket")))
         if len(words):
             yield words
 
@@ -188,18 +209,36 @@ def _merger(path: str) -> Callable[[str], list[int]]:
     return tool.encode_ordinary
 
 
+class _Merged(dict):
+    """Words with their ids as bytes; a word that is asked for the first time is merged."""
+
+    def __init__(self, merge: Callable[[str], list[int]]):
+        self._merge = merge
+
+    def __missing__(self, word: bytes) -> bytes:
+        self[word] = ids = np.array(self._merge(word.decode()), "<u4").tobytes()
+        return ids
+
+
 def _merge_words(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(chunk, nr, ids) from (chunk, nr, word) in the order of words; a word is merged when it first comes."""
+    """(chunk, numbers, sizes, ids) from the blocks of words, in the order of buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merge, word, ids = _merger(path), None, b""
+        import zstandard
+
+        merge, now, known = _merger(path), None, None
         for batch in batches:
             out = []
-            for w in batch.column("word").to_pylist():
-                if w != word:
-                    word, ids = w, np.array(merge(w), "<u4").tobytes()
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("nr"), pa.array(out, pa.binary())], ["chunk", "nr", "ids"])
+            for bucket, sizes, data in zip(*(batch.column(c).to_pylist() for c in ("bucket", "sizes", "data"))):
+                if bucket != now:
+                    now, known = bucket, _Merged(merge)
+                text, ends = zstandard.decompress(data), np.cumsum(_unpacked(sizes)).tolist()
+                ids = [known[text[a:b]] for a, b in zip([0, *ends], ends)]
+                out.append((_packed(np.fromiter(map(len, ids), np.uint32, len(ids)) // 4), _packed(np.frombuffer(b"".join(ids), "<u4"))))
+            if out:
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("chunk"), batch.column("numbers"), *[pa.array(c, pa.binary()) for c in zip(*out)]], ["chunk", "numbers", "sizes", "ids"]
+                )
 
     return run
 
@@ -207,31 +246,28 @@ def _merge_words(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
 # --- documents by position -------------------------------------------------------------------
 
 
-def _pieces(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """All ids of a binary column, and where those of each row begin and end."""
-    size = np.asarray(pc.binary_length(column), np.int64) // 4
-    data = b"".join(x.as_buffer() for x in column) if len(column) else b""
-    return np.frombuffer(data, "<u4"), np.concatenate([[0], np.cumsum(size)])
-
-
 def _reassemble(left: pa.Table, right: pa.Table) -> pa.Table:
     """(doc_id, ids) of a chunk: its documents as numbers, and the ids of each number."""
-    docs = left.filter(pc.is_valid(left.column("codes")))
-    store, ends = _pieces(right.take(pa.array(np.argsort(np.asarray(right.column("nr"))))).column("ids"))
+    docs = left.filter(pc.is_null(left.column("bucket")))
+    nothing = np.zeros(0, np.uint32)
+    number = np.concatenate([nothing, *[np.cumsum(_unpacked(x.as_buffer())) for x in right.column("numbers")]]).astype(np.int64)
+    sizes = np.concatenate([nothing, *[_unpacked(x.as_buffer()) for x in right.column("sizes")]]).astype(np.int64)
+    store = np.concatenate([nothing, *[_unpacked(x.as_buffer()) for x in right.column("ids")]])
+    begins, lengths = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
+    begins[number], lengths[number] = np.cumsum(sizes) - sizes, sizes
     out, some, bounds, first = [], [], [0], 0
 
     def batch(last: int) -> pa.RecordBatch:
         doc_ids = docs.column("doc_id").slice(first, last - first).combine_chunks()
-        values = pa.array(np.concatenate([np.zeros(0, np.uint32), *some]).astype(np.int32))
+        values = pa.array(np.concatenate([nothing, *some]).astype(np.int32))
         return pa.RecordBatch.from_arrays([_one(doc_ids), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), values)], ["doc_id", "ids"])
 
-    for i, data in enumerate(docs.column("codes")):
+    for i, data in enumerate(docs.column("numbers")):
         codes = _unpacked(data.as_buffer())
-        begin = ends[codes]
-        size = ends[codes + 1] - begin
+        size = lengths[codes]
         stop = np.cumsum(size)
         total = int(stop[-1]) if len(stop) else 0
-        some.append(store[np.repeat(begin - stop + size, size) + np.arange(total)])
+        some.append(store[np.repeat(begins[codes] - stop + size, size) + np.arange(total)])
         bounds.append(bounds[-1] + total)
         if bounds[-1] >= IDS_AT_ONCE or len(some) >= ROWS_AT_ONCE:
             out.append(batch(i + 1))
@@ -253,12 +289,15 @@ def encode(docs: DataFrame, path: str, pattern: str, *, key: str = "doc_id", tex
     """
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    names = ["chunk", "nr", "doc_id", "word", "codes"]
-    cut = rows.mapInArrow(_cut_texts(pattern, names), f"chunk long, nr long, doc_id {kind}, word string, codes binary")
+    names = ["chunk", "bucket", "doc_id", "numbers", "sizes", "data"]
+    buckets = BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = rows.mapInArrow(
+        _cut_texts(pattern, names, buckets), f"chunk long, bucket long, doc_id {kind}, numbers binary, sizes binary, data binary"
+    )
     dealt = cut.repartition("chunk")
-    words = dealt.mapInArrow(_only_words, "chunk long, nr long, word string")
-    by_word = words.repartition("word").sortWithinPartitions("word")
-    ids = by_word.mapInArrow(_merge_words(path), "chunk long, nr long, ids binary")
+    words = dealt.mapInArrow(_only_words, "chunk long, bucket long, numbers binary, sizes binary, data binary")
+    by_word = words.repartition("bucket").sortWithinPartitions("bucket")
+    ids = by_word.mapInArrow(_merge_words(path), "chunk long, numbers binary, sizes binary, ids binary")
     together = dealt.groupBy("chunk").cogroup(ids.groupBy("chunk"))
     return together.applyInArrow(_reassemble, f"doc_id {kind}, ids array<int>")
 

@@ -243,7 +243,7 @@ def test_small_chunks_give_the_same_ids(spark, plain_tool, monkeypatch):
     ship(spark)
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text")
     cut = byte_bpe._cut_texts
-    monkeypatch.setattr(byte_bpe, "_cut_texts", lambda pattern, names: cut(pattern, names, 500))
+    monkeypatch.setattr(byte_bpe, "_cut_texts", lambda pattern, names, buckets: cut(pattern, names, buckets, 500))
     got = byte_bpe.encode(docs, RANKS, public_tokenizers.PATTERN).collect()
     want = sorted((r.doc_id, plain_tool.encode_ordinary(r.text or "")) for r in docs.collect())
     assert sorted((r.doc_id, r.ids) for r in got) == want
