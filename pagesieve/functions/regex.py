@@ -106,19 +106,22 @@ def _may_match(rx: Rx, text: str) -> str:
     return " AND ".join(tests) or "true"
 
 
-def with_candidates(df: DataFrame, text: str, rxs: list[Rx]) -> DataFrame:
-    """Add ``_pick``: ordinals of the expressions that column ``text`` could match.
-
-    A few signs are looked for once per text and rule most expressions out of
-    prose; the rest is decided by their own words.  Long catalogs are stated as
-    SQL text: one expression to hand over instead of thousands of small ones.
-    """
+def with_signs(df: DataFrame, text: str, rxs: list[Rx]) -> DataFrame:
+    """Add what ``candidates`` reads: a few signs are looked for once per text and rule most expressions out of prose."""
     used = sorted({k for r in rxs for k in required_signs(r)})
     signs = {f"_sign{k}": reduce(or_, [F.contains(text, F.lit(c)) for c in SIGNS[k]]) for k in used}
     if any(r.ignore_case for r in rxs):
         signs["_low"] = F.lower(text)
+    return df.withColumns(signs) if signs else df
+
+
+def candidates(rxs: list[Rx], text: str) -> str:
+    """SQL for the ordinals of the expressions that column ``text`` could match.
+
+    Stated as text: one expression to hand over instead of thousands of small ones.
+    """
     tests = ", ".join(f"CASE WHEN {_may_match(r, text)} THEN {k} END" for k, r in enumerate(rxs))
-    return (df.withColumns(signs) if signs else df).withColumn("_pick", F.expr(f"array_compact(array({tests}))"))
+    return f"array_compact(array({tests}))"
 
 
 def dispatch(ordinal: str, branches: list[str]) -> str:

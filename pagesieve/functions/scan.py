@@ -1,11 +1,12 @@
 """Find every match of a set of expressions, with positions, in one plan.
 
 Spark has no find-all that reports positions.  Here each expression rewrites the
-text once, fencing its matches with a separator; splitting on the separator gives
+text once, fencing its matches with a separator that the text lacks; splitting on the separator gives
 ``gap, match, value, following, idle, gap, ...`` and a running sum over the piece
-lengths gives offset, line and column.  A text is only rewritten for expressions
-that pass their substring test, and everything stays inside one row's arrays, so
-the text is never copied per match and nothing is shuffled.
+lengths gives offset, line and column.  The pieces leave the document's row in blocks of
+``SPAN`` matches, each with the offset, line and column at which it begins, and become matches
+block by block, so a text with very many matches never has them all in one row.  A text is only
+rewritten for expressions that pass their substring test; nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -13,25 +14,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagesieve.functions.regex import Rx, dispatch, quoted, with_candidates
+from pagesieve.functions.regex import Rx, candidates, dispatch, quoted, with_signs
 
-# A Unicode noncharacter: never valid in interchanged text.
-FENCE = "\ufdd0"
+# Unicode noncharacters: never valid in interchanged text.  A text is fenced with the first that it lacks.
+FENCES = [chr(c) for c in range(0xFDD0, 0xFDF0)]
 STRIDE = 5  # pieces per match: gap, match, value, following text, idle stretch
 BLOCK = 64  # running sums grow an array per block, keeping them linear overall
+SPAN = 1024  # matches that leave a document's row together
 
 _POSITION = "struct<off:int,line:int,col:int,ahead:string,idx:int>"
+_START = "struct<off:int,line:int,tail:int,ahead:string>"
 _STATE = f"struct<off:int,line:int,tail:int,ahead:string,out:array<{_POSITION}>>"
 _NL = "'\\n'"
 
 
+def fence_of(text: str) -> str:
+    """SQL for a separator that ``text`` lacks; null if it has them all."""
+    return "CASE " + " ".join(f"WHEN NOT contains({text}, '{f}') THEN '{f}'" for f in FENCES) + " END"
+
+
+def with_fence(df: DataFrame, text: str) -> DataFrame:
+    """Add ``_fence``.  Only a text with all 32 separators is changed: its U+FDD0 becomes U+FFFD."""
+    df = df.withColumn("_fence", F.expr(fence_of(text)))
+    freed = F.translate(text, FENCES[0], "\ufffd")
+    return df.withColumns({
+        text: F.when(F.col("_fence").isNull(), freed).otherwise(F.col(text)), "_fence": F.coalesce("_fence", F.lit(FENCES[0])),
+    })
+
+
 def fenced(text: str, rx: Rx, after: int = 0) -> str:
     """SQL for ``text`` with each match fenced as match, value, following text, idle stretch."""
     follow = f"(?=((?s:.{{0,{after}}})))" if after else "()"
     # one more group at the end holds up to ``after`` characters behind the match
     pattern = f"(?dU{rx.flags})(?:(?:{rx.java or rx.pattern})|({rx.idle or '(?!)'})){follow}"
-    parts = ["$0", f"${rx.value_group}", f"${rx.groups + 2}", f"${rx.groups + 1}"]
-    return f"regexp_replace({text}, {quoted(pattern)}, {quoted(FENCE + FENCE.join(parts) + FENCE)})"
+    parts = [f"'${g}', _fence" for g in (0, rx.value_group, rx.groups + 2, rx.groups + 1)]
+    return f"regexp_replace({text}, {quoted(pattern)}, concat(_fence, {', '.join(parts)}))"
 
 
 def _let(name: str, value: str, body: str) -> str:
@@ -43,13 +60,13 @@ def _tail(text: str, width: int) -> str:
     return f"substring({text}, -{width}, {width})" if width else "''"
 
 
-def _positions(before: int) -> str:
-    """SQL over the array ``p`` of pieces: offset, line, column and the text ahead of each gap.
+def _count(pieces: str) -> str:
+    """Matches among ``pieces``, which may end with a gap."""
+    return f"CAST(size({pieces}) div {STRIDE} AS INT)"
 
-    Piece sizes come first; a running sum over them, kept per block, gives the rest.
-    """
-    gap, hit = f"p[i * {STRIDE}]", f"p[i * {STRIDE} + 1]"
-    n = f"CAST((size(p) - 1) div {STRIDE} AS INT)"
+
+def _measured(pieces: str) -> str:
+    """Length, newlines and length behind the last newline of each gap and match, none for no match."""
 
     def sizes(name: str, piece: str) -> str:
         return (
@@ -57,27 +74,95 @@ def _positions(before: int) -> str:
             f"'{name}t', length(substring_index({piece}, {_NL}, -1))"
         )
 
-    measured = f"transform(sequence(0, {n} - 1), i -> named_struct({sizes('g', gap)}, {sizes('h', hit)}))"
-    col = "if(z[i].gn > 0, z[i].gt, s.tail + z[i].gl)"
-    here = f"named_struct('off', s.off + z[i].gl, 'line', s.line + z[i].gn, 'col', {col} + 1, 'ahead', s.ahead, 'idx', i)"
-    step = (
-        f"named_struct('off', s.off + z[i].gl + z[i].hl, 'line', s.line + z[i].gn + z[i].hn, "
-        f"'tail', if(z[i].hn > 0, z[i].ht, {col} + z[i].hl), "
-        f"'ahead', {_tail(f'concat(s.ahead, {_tail(gap, before)}, {hit})', before)}, "
-        f"'out', concat(s.out, array({here})))"
+    gap, hit = f"{pieces}[i * {STRIDE}]", f"{pieces}[i * {STRIDE} + 1]"
+    return f"transform(sequence(0, {_count(pieces)} - 1), i -> named_struct({sizes('g', gap)}, {sizes('h', hit)}))"
+
+
+_COL = "if(z[i].gn > 0, z[i].gt, s.tail + z[i].gl)"
+
+
+def _moved(pieces: str, before: int) -> str:
+    """Fields of the state ``s`` behind match ``i`` of ``pieces``, whose sizes are ``z``."""
+    gap, hit = f"{pieces}[i * {STRIDE}]", f"{pieces}[i * {STRIDE} + 1]"
+    return (
+        f"'off', s.off + z[i].gl + z[i].hl, 'line', s.line + z[i].gn + z[i].hn, "
+        f"'tail', if(z[i].hn > 0, z[i].ht, {_COL} + z[i].hl), "
+        f"'ahead', {_tail(f'concat(s.ahead, {_tail(gap, before)}, {hit})', before)}"
+    )
+
+
+def _behind(pieces: str, start: str, before: int) -> str:
+    """SQL for the state behind all ``pieces``."""
+    fold = f"aggregate(sequence(0, size(z) - 1), {start}, (s, i) -> CAST(named_struct({_moved(pieces, before)}) AS {_START}))"
+    return _let("z", _measured(pieces), fold)
+
+
+def _blocks(before: int, lines: dict[str, str], margin: tuple[int, int]) -> str:
+    """SQL over the array ``p`` of pieces of expression ``k``: its blocks.
+
+    A block has the state ahead of its first match, that match's number, its pieces, and of each array in ``lines``
+    (one entry a line) the part that its matches can refer to, which begins with line ``since``.
+    """
+    zero = f"CAST(named_struct('off', 0, 'line', 1, 'tail', 0, 'ahead', '') AS {_START})"
+    step = f"concat(acc, array({_behind('q', 'element_at(acc, -1)', before)}))"
+    states = (
+        f"if(n <= {SPAN}, array({zero}), aggregate(sequence(1, CAST((n - 1) div {SPAN} AS INT)), array({zero}), (acc, j) -> "
+        f"{_let('q', f'slice(p, (j - 1) * {SPAN * STRIDE} + 1, {SPAN * STRIDE})', step)}))"
     )
-    nothing = f"CAST(array() AS array<{_POSITION}>)"
-    start = f"CAST(named_struct('off', 0, 'line', 1, 'tail', 0, 'ahead', '', 'out', {nothing}) AS {_STATE})"
-    last = "element_at(acc, -1)"
-    carry = (
-        f"CAST(named_struct('off', {last}.off, 'line', {last}.line, 'tail', {last}.tail, "
-        f"'ahead', {last}.ahead, 'out', {nothing}) AS {_STATE})"
+    since = f"greatest(s.line - {margin[0]}, 1)"
+    parts = "".join(
+        f", '{name}', if(size(b) = 1, {name}, if(j + 1 = size(b), slice({name}, {since}, size({name})), "
+        f"slice({name}, {since}, b[j + 1].line + {margin[1]} - {since} + 1)))" for name in lines
     )
+    whole = f"if(size(b) = 1, p, slice(p, j * {SPAN * STRIDE} + 1, {SPAN * STRIDE}))"
+    block = f"named_struct('k', k, 'nth', j * {SPAN}, 'at', s, 'since', {since}, 'p', {whole}{parts})"
+    out = _let("b", states, f"transform(b, (s, j) -> {block})")
+    return _let("n", f"CAST((size(p) - 1) div {STRIDE} AS INT)", f"if(n > 0, {out}, slice({out}, 1, 0))")
+
+
+def _positions(before: int) -> str:
+    """SQL over the pieces ``p`` of the block ``_b``: offset, line, column and the text ahead of each gap.
+
+    Piece sizes come first; a running sum over them, kept per block, gives the rest.
+    """
+    here = f"named_struct('off', s.off + z[i].gl, 'line', s.line + z[i].gn, 'col', {_COL} + 1, 'ahead', s.ahead, 'idx', i)"
+    step = f"named_struct({_moved('p', before)}, 'out', concat(s.out, array({here})))"
+
+    def state(last: str) -> str:
+        fields = ", ".join(f"'{f}', {last}.{f}" for f in ("off", "line", "tail", "ahead"))
+        return f"CAST(named_struct({fields}, 'out', CAST(array() AS array<{_POSITION}>)) AS {_STATE})"
+
     inside = f"sequence(b, least(b + {BLOCK - 1}, size(z) - 1))"
-    block = f"concat(acc, array(aggregate({inside}, {carry}, (s, i) -> {step})))"
-    blocks = f"aggregate(sequence(0, size(z) - 1, {BLOCK}), array({start}), (acc, b) -> {block})"
-    summed = f"flatten(transform({blocks}, s -> s.out))"
-    return f"CASE WHEN {n} > 0 THEN {_let('z', measured, summed)} ELSE {nothing} END"
+    block = f"concat(acc, array(aggregate({inside}, {state('element_at(acc, -1)')}, (s, i) -> {step})))"
+    blocks = f"aggregate(sequence(0, size(z) - 1, {BLOCK}), array({state('_b.at')}), (acc, b) -> {block})"
+    return _let("z", _measured("p"), f"flatten(transform({blocks}, s -> s.out))")
+
+
+def _row(before: int, derive: dict[str, str] | None) -> str:
+    """SQL for the match ``m`` of the block ``_b`` with pieces ``p``."""
+    fields = {
+        "rx": "_b.k", "nth": "_b.nth + m.idx", "off": "m.off", "line": "m.line", "col": "m.col",
+        "hit": f"p[m.idx * {STRIDE} + 1]", "value": f"p[m.idx * {STRIDE} + 2]",
+        "before": _tail(f"concat(m.ahead, p[m.idx * {STRIDE}])", before),
+        "after": f"p[m.idx * {STRIDE} + 3]", **(derive or {}),
+    }
+    return "named_struct(" + ", ".join(f"'{n}', {e}" for n, e in fields.items()) + ")"
+
+
+def located(rxs: list[Rx], before: int, derive: dict[str, str] | None) -> str:
+    """SQL for the array of matches of the block ``_b``."""
+    places = _positions(before)
+    if any(r.idle for r in rxs):
+        places = f"filter({places}, m -> p[m.idx * {STRIDE} + 4] = '')"
+    return _let("p", "_b.p", f"transform({places}, m -> {_row(before, derive)})")
+
+
+def in_blocks(
+    rxs: list[Rx], text: str, pick: str, before: int, after: int, lines: dict[str, str] | None, margin: tuple[int, int]
+) -> str:
+    """SQL for the blocks of all picked expressions in a text with ``_fence``."""
+    pieces = f"split({dispatch('k', [fenced(text, r, after) for r in rxs])}, _fence, -1)"
+    return f"flatten(transform({pick}, k -> {_let('p', pieces, _blocks(before, lines or {}, margin))}))"
 
 
 def scan(
@@ -88,7 +173,8 @@ def scan(
     before: int = 0,
     after: int = 0,
     pick: Column | None = None,
-    prepare: dict[str, str] | None = None,
+    lines: dict[str, str] | None = None,
+    margin: tuple[int, int] = (0, 0),
     derive: dict[str, str] | None = None,
     keep: list[str] | None = None,
 ) -> DataFrame:
@@ -98,34 +184,39 @@ def scan(
     (match number within it), ``off`` (0-based), ``line`` and ``col`` (1-based),
     ``hit``, ``value`` (group 1 or the whole match), ``before`` and ``after``
     (surrounding text up to the given widths) and the ``derive`` columns: SQL over
-    the match ``m``, the columns of ``df`` and those of ``prepare``, which are worked
-    out once per text that may match at all.  ``pick`` replaces the substring tests
+    the match ``m`` and the arrays of ``lines``: SQL with one entry for each line of the text,
+    worked out once per text that may match at all, of which a match sees the entries
+    from ``margin`` lines ahead of it to as many behind, its own at ``m.line - _b.since``.  ``pick`` replaces the substring tests
     by an own array of ordinals.  Rows keep the input partitioning; there
     is no shuffle.
     """
     keep = keep if keep is not None else [c for c in df.columns if c != text]
-    df = with_candidates(df, text, rxs) if pick is None else df.withColumn("_pick", pick)
-    clean = F.translate(text, FENCE, "\ufffd")
-    df = df.withColumn(text, F.when(F.contains(text, F.lit(FENCE)), clean).otherwise(F.col(text)))
-    for name, sql in (prepare or {}).items():
+    if pick is None:
+        df = with_signs(df, text, rxs).withColumn("_pick", F.expr(candidates(rxs, text)))
+    else:
+        df = df.withColumn("_pick", pick)
+    df = with_fence(df, text)
+    for name, sql in (lines or {}).items():
         df = df.withColumn(name, F.expr(f"if(size(_pick) > 0, {sql}, NULL)"))
+    blocks = df.select(*keep, F.expr(f"explode_outer({in_blocks(rxs, text, '_pick', before, after, lines, margin)})").alias("_b"))
+    return matches(blocks.filter("_b IS NOT NULL"), keep, located(rxs, before, _seen(derive, lines)))
 
-    fields = {
-        "rx": "k", "nth": "m.idx", "off": "m.off", "line": "m.line", "col": "m.col",
-        "hit": f"p[m.idx * {STRIDE} + 1]", "value": f"p[m.idx * {STRIDE} + 2]",
-        "before": _tail(f"concat(m.ahead, p[m.idx * {STRIDE}])", before),
-        "after": f"p[m.idx * {STRIDE} + 3]", **(derive or {}),
-    }
-    row = "named_struct(" + ", ".join(f"'{n}', {e}" for n, e in fields.items()) + ")"
-    pieces = f"split({dispatch('k', [fenced(text, r, after) for r in rxs])}, {quoted(FENCE)}, -1)"
-    places = _positions(before)
-    if any(r.idle for r in rxs):
-        places = f"filter({places}, m -> p[m.idx * {STRIDE} + 4] = '')"
-    located = _let("p", pieces, f"transform({places}, m -> {row})")
-    found = df.select(*keep, F.expr(f"explode_outer(flatten(transform(_pick, k -> {located})))").alias("_m"))
+
+def matches(blocks: DataFrame, keep: list[str], located: str) -> DataFrame:
+    found = blocks.select(*keep, F.expr(f"explode_outer({located})").alias("_m"))
     return found.filter("_m IS NOT NULL").select(*keep, "_m.*")
 
 
+def _seen(derive: dict[str, str] | None, lines: dict[str, str] | None) -> dict[str, str]:
+    """``derive`` over the arrays that came with the block."""
+    out = {}
+    for name, sql in (derive or {}).items():
+        for array in lines or {}:
+            sql = sql.replace(array, f"_b.{array}")
+        out[name] = sql
+    return out
+
+
 def _values(rx: Rx) -> str:
     found = f"regexp_extract_all(_t, {quoted(rx.jvm())}, {rx.value_group})"
     # an idle stretch has no value, and expressions that have one never match without
@@ -141,7 +232,7 @@ def extract_values(
     become rows, then each row runs just its own expression.
     """
     keep = keep if keep is not None else [c for c in df.columns if c != text]
-    df = with_candidates(df, text, rxs)
+    df = with_signs(df, text, rxs).withColumn("_pick", F.expr(candidates(rxs, text)))
     routed = df.select(*keep, F.col(text).alias("_t"), F.explode_outer("_pick").alias("rx"))
     hits = dispatch("rx", [_values(r) for r in rxs])
     found = routed.filter("rx IS NOT NULL").select(*keep, "rx", F.expr(f"posexplode_outer({hits})").alias("nth", "value"))

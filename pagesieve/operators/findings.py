@@ -19,7 +19,7 @@ from pagesieve.catalog.vuln_rules import (
     rules,
 )
 from pagesieve.functions.regex import glob_to_regex, lookup, quoted
-from pagesieve.functions.scan import FENCE, scan
+from pagesieve.functions.scan import scan, with_fence
 from pagesieve.functions.text import UNIVERSAL_LINES, WHITESPACE, basename
 
 COLUMNS = ["rule_id", "severity", "file", "line", "column", "snippet", "rule_ord", "offset"]
@@ -68,15 +68,19 @@ def findings(
     return found
 
 
-def _scan_rules(docs: DataFrame, chosen: list[Rule]) -> DataFrame:
-    prepare = {"_lines": UNIVERSAL_LINES.format("_text")}
-    derive = {"snippet": f"substring(btrim(coalesce(get(_lines, m.line - 1), ''), {quoted(WHITESPACE)}), 1, {SNIPPET})"}
+def surroundings(chosen: list[Rule]) -> dict[str, object]:
+    """What ``scan`` needs to add ``snippet`` and, for rules that ask for one, ``hinted``: a hint in the lines around."""
+    lines = {"_lines": UNIVERSAL_LINES.format("_text")}
+    derive = {"snippet": f"substring(btrim(coalesce(get(_lines, m.line - _b.since), ''), {quoted(WHITESPACE)}), 1, {SNIPPET})"}
     if any(r.taint for r in chosen):
-        prepare["_hints"] = f"if({has_hint('_text')}, transform(_lines, x -> {has_hint('x')}), array())"
+        lines["_hints"] = f"if({has_hint('_text')}, transform(_lines, x -> {has_hint('x')}), array())"
         first = f"greatest(m.line - {TAINT_BEFORE}, 1)"
-        derive["hinted"] = f"exists(slice(_hints, {first}, m.line + {TAINT_AFTER} - {first} + 1), x -> x)"
+        derive["hinted"] = f"exists(slice(_hints, {first} - _b.since + 1, m.line + {TAINT_AFTER} - {first} + 1), x -> x)"
+    return {"lines": lines, "derive": derive, "margin": (TAINT_BEFORE, TAINT_AFTER)}
+
 
-    found = scan(docs, "_text", [r.rx for r in chosen], prepare=prepare, derive=derive, keep=["file"])
+def _scan_rules(docs: DataFrame, chosen: list[Rule]) -> DataFrame:
+    found = scan(docs, "_text", [r.rx for r in chosen], keep=["file"], **surroundings(chosen))
     for k, r in enumerate(chosen):
         if r.below:
             found = found.filter((F.col("rx") != k) | _is_old(F.col("hit"), r.below))
@@ -94,10 +98,10 @@ def _scan_rules(docs: DataFrame, chosen: list[Rule]) -> DataFrame:
     )
 
 
-def code_only(text: Column) -> Column:
-    """Script text with comments and strings blanked, every position kept."""
+def code_only(text: str) -> Column:
+    """SQL column ``text`` with comments and strings blanked, every position kept; needs ``_fence``."""
     js = token(BY_KEY["javascript"])
-    pieces = F.split(F.regexp_replace(text, js.jvm(), f"{FENCE}$0{FENCE}"), FENCE)
+    pieces = F.expr(f"split(regexp_replace({text}, {quoted(js.jvm())}, concat(_fence, '$0', _fence)), _fence, -1)")
     blanked = F.transform(
         pieces, lambda p, i: F.when(i % 2 == 1, F.regexp_replace(p, "[^\n]", " ")).otherwise(p)
     )
@@ -107,7 +111,8 @@ def code_only(text: Column) -> Column:
 def with_findings(corpus: DataFrame, *, path: str = "path", text: str = "content") -> DataFrame:
     """``with`` statements, looked for outside comments and strings."""
     has = corpus.filter(F.contains(F.col(text), F.lit("with")))
-    docs = has.select(F.col(path).alias("file"), code_only(F.col(text)).alias("_text"))
+    docs = with_fence(has.select(F.col(path).alias("file"), F.col(text).alias("_text")), "_text")
+    docs = docs.select("file", code_only("_text").alias("_text"))
     found = _scan_rules(docs, [WITH_RULE])
     return found.withColumn("snippet", F.lit("'with' statement"))
 

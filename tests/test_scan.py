@@ -50,3 +50,24 @@ def test_required_signs_hold_for_alternatives():
     assert [SIGNS[k] for k in required_signs(Rx(r"f\s*\(|g\s*\(x"))] == ["("]
     assert required_signs(Rx(r"f\(|g")) == []
     assert required_signs(Rx(r"(?:a=)?b")) == []
+
+
+def test_blocks_of_matches_and_any_character(spark):
+    from pagesieve.functions.scan import FENCES, SPAN
+
+    rng = random.Random(6)
+    texts = ["".join(rng.choice(["ab", "b", "x", "\n", "a \n", FENCES[0], FENCES[1], "xa\n"]) for _ in range(n)) for n in (5, SPAN, 5 * SPAN, 9000)]
+    texts.append("".join(FENCES[1:]) + "ab" + "".join(FENCES[1:]) + "xa")
+    rxs = [Rx(r"a\s*b"), Rx(r"x(a+)", ("x",)), Rx("b|" + FENCES[0])]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    assert rows(scan(df, "t", rxs, before=5, after=3)) == sorted(expected(texts, rxs, 5, 3), key=repr)
+
+
+def test_lines_around_a_match_come_with_its_block(spark):
+    text = "".join(f"{k}\r{'a' * (k % 3)}\n" for k in range(4000))
+    df = spark.createDataFrame([(text,)], "t string")
+    derive = {"here": "get(_all, m.line - _b.since)", "around": "array_join(slice(_all, greatest(m.line - 2, 1) - _b.since + 1, m.line + 1 - greatest(m.line - 2, 1) + 1), '|')"}
+    found = scan(df, "t", [Rx("a")], lines={"_all": "split(t, '\\n', -1)"}, margin=(2, 1), derive=derive, keep=[])
+    lines = text.split("\n")
+    for r in found.collect():
+        assert r.here == lines[r.line - 1] and r.around == "|".join(lines[max(r.line - 3, 0):r.line + 1])
