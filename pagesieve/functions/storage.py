@@ -37,6 +37,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def latest_run(spark: SparkSession, folder: str) -> int | None:
+    """The greatest number of a finished write among ``folder/run=0``, ``folder/run=1`` ..."""
+    if not exists(spark, folder):
+        return None
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    names = [s.getPath().getName() for s in place.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(place)]
+    runs = sorted((int(n[4:]) for n in names if n.startswith("run=") and n[4:].isdigit()), reverse=True)
+    return next((k for k in runs if is_complete(spark, f"{folder}/run={k}")), None)
+
+
 def is_complete(spark: SparkSession, path: str) -> bool:
     """Whether ``path`` holds the output of a finished write."""
     jvm = spark._jvm

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagesieve.functions.storage import materialize
+from pagesieve.catalog.endpoint_types import ENDPOINT_TYPES
+from pagesieve.catalog.js_categories import CATEGORIES, detectors
+from pagesieve.catalog.languages import LANGUAGES, token
+from pagesieve.catalog.vuln_rules import rules
+from pagesieve.functions.storage import latest_run, materialize
 from pagesieve.operators import comments as _comments
 from pagesieve.operators import endpoints as _endpoints
 from pagesieve.operators import findings as _findings
@@ -43,7 +48,7 @@ def family(corpus: DataFrame, kind: str) -> DataFrame:
 
 
 def audit(corpus: DataFrame, kinds: list[str] | None = None) -> DataFrame:
-    """All families over readable documents.  Each scans the corpus once; nothing is shuffled."""
+    """All families over readable documents; each reads the corpus for itself, and nothing is shuffled."""
     kept = _scripts.readable(corpus)
     return reduce(DataFrame.unionByName, [family(kept, k) for k in kinds or KINDS])
 
@@ -76,8 +81,42 @@ def rollup(found: DataFrame) -> DataFrame:
     )
 
 
-def run(corpus: DataFrame, folder: str, *, resume: bool = True) -> DataFrame:
-    """Write each family under ``folder`` and combine them; finished ones are reused."""
-    kept = _scripts.readable(corpus)
-    parts = [materialize(family(kept, k), f"{folder}/{k}", resume=resume) for k in KINDS]
-    return reduce(DataFrame.unionByName, parts)
+def _settings() -> str:
+    """A digest of all that decides what is found in a text."""
+    parts = [
+        [(n, rx) for n, rx in ENDPOINT_TYPES], [(c, detectors(c)) for c in CATEGORIES], [(r.rule_id, r.rx, r.severity) for r in rules()],
+        [token(lang) for lang in LANGUAGES],
+    ]
+    return hashlib.sha256(repr(parts).encode()).hexdigest()
+
+
+def run(corpus: DataFrame, folder: str, *, resume: bool = True, stamp: Column | None = None) -> DataFrame:
+    """Audit what is new or changed since the last run under ``folder`` and combine it with what that run knows.
+
+    ``folder/manifest`` holds, for each finished run, every document with its stamp and the run that scanned it;
+    ``folder/results`` holds what each run found. A document is scanned again when its stamp or any expression has changed;
+    documents that are gone drop out of the result. ``stamp`` is what tells a change, such as a file's time and size, from which
+    unchanged documents are known without their text; by default a hash of the text. ``path`` is the key of the corpus.
+    A run that failed leaves no manifest and counts for nothing.
+    """
+    spark = corpus.sparkSession
+    seen = F.sha2(F.concat_ws("|", F.lit(_settings()), (stamp if stamp is not None else F.sha2("content", 256)).cast("string")), 256)
+    stamped = corpus.withColumn("_stamp", seen)
+    last = latest_run(spark, f"{folder}/manifest") if resume else None
+    if last is None:
+        last, known = latest_run(spark, f"{folder}/manifest"), None
+    else:
+        known = spark.read.schema("path string, _stamp string, run int").parquet(f"{folder}/manifest/run={last}")
+    now = 0 if last is None else last + 1
+    docs = stamped.select("path", "_stamp").distinct()
+    if known is None:
+        manifest, todo = docs.withColumn("run", F.lit(now)), stamped
+    else:
+        kept = docs.join(known, ["path", "_stamp"], "left")
+        manifest = kept.select("path", "_stamp", F.coalesce("run", F.lit(now)).alias("run"))
+        todo = stamped.join(known.select("path", "_stamp"), ["path", "_stamp"], "left_anti")
+    materialize(audit(todo.drop("_stamp")), f"{folder}/results/run={now}")
+    manifest = materialize(manifest, f"{folder}/manifest/run={now}")
+    schema = "source string, kind string, category string, severity string, value string, line int, run int"
+    found = spark.read.schema(schema).parquet(f"{folder}/results")
+    return found.join(manifest.select(F.col("path").alias("source"), "run").distinct(), ["source", "run"], "left_semi").select(*COLUMNS)

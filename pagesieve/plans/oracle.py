@@ -527,7 +527,8 @@ def build() -> None:
     put("audit_resume", f"SELECT kind, count(*) AS n FROM ({audit(js)}) GROUP BY 1")
     # streams
     put("stream_endpoints", f"SELECT {ep_cols} FROM ({endpoints('(SELECT url AS path, html AS content FROM pages)')})")
-    put("stream_first_seen", f"SELECT DISTINCT category, value FROM ({items(js)}) WHERE category <> 'comments'")
+    put("stream_first_seen", f"WITH i AS MATERIALIZED ({items(js)}) SELECT DISTINCT category, value FROM i WHERE category <> 'comments' "
+        "UNION ALL SELECT category, value FROM i WHERE category = 'comments'")
     timed = f"(SELECT (page_id % 24 * 600 + 1699999200) || chr(1) || path AS path, content FROM ({made}))"
     times = f"SELECT CAST(string_split(file, chr(1))[1] AS BIGINT) AS t, severity FROM ({findings(timed)})"
     put("stream_counts", f"WITH f AS MATERIALIZED ({times}) SELECT strftime(make_timestamp(t // 3600 * 3600000000), '%Y-%m-%d %H:%M:%S') AS window_start, "

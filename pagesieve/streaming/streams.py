@@ -5,10 +5,16 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from pagesieve.functions.storage import exists, materialize
+from pagesieve.operators.endpoints import first_by
+
+#: Folders over which the digests of a batch's keys are dealt.
+KEY_BUCKETS = 16
+
 
 def read_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Parquet files of ``path`` as they arrive; the table may be one file or a folder."""
@@ -60,6 +66,36 @@ def first_seen(items: DataFrame, *, time: str, keys: list[str], delay: str = "1
     return items.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
 
+def write_first_seen(
+    items: DataFrame, out: str, checkpoint: str, *, keys: list[str], order: list[str], through: Column | None = None
+) -> StreamingQuery:
+    """Write each key of a stream once, however long it runs: the first row by ``order`` of the batch that has it first.
+
+    A batch is reduced to one row a key before its shuffle, so a key in very many rows is no task's burden, and
+    loses the keys of earlier batches by an anti-join with their digests. Those lie under the checkpoint, one folder
+    for each batch and bucket. A batch that is run again, after a failure or a restart, replaces its own output and digests and looks
+    at earlier ones only, so nothing is repeated or lost. Rows for which ``through`` holds are all written.
+    """
+    columns = items.columns
+    known = f"{checkpoint}/keys"
+    digest = F.unhex(F.md5(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})))
+
+    def step(batch: DataFrame, nr: int) -> None:
+        spark = batch.sparkSession
+        passing = F.coalesce(through, F.lit(False)) if through is not None else F.lit(False)
+        best = first_by(batch.filter(~passing), keys, order, columns).select(*columns)
+        best = best.withColumn("_digest", digest).withColumn("_bucket", F.pmod(F.xxhash64("_digest"), F.lit(KEY_BUCKETS)).cast("int"))
+        if nr and exists(spark, known):
+            earlier = spark.read.schema("_digest binary, batch long, _bucket int").parquet(known).filter(F.col("batch") < nr)
+            best = best.join(earlier.select("_bucket", "_digest"), ["_bucket", "_digest"], "left_anti")
+        new = materialize(best, f"{checkpoint}/new/batch={nr}")
+        new.select("_digest", "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{known}/batch={nr}")
+        rows = new.select(*columns).unionByName(batch.filter(passing))
+        rows.write.mode("overwrite").parquet(f"{out}/batch={nr}")
+
+    return items.writeStream.foreachBatch(step).option("checkpointLocation", f"{checkpoint}/progress").trigger(availableNow=True).start()
+
+
 def windowed_counts(found: DataFrame, *, time: str, by: str, window: str = "1 hour", delay: str = "1 hour") -> DataFrame:
     """Rows per time window and ``by``; rows later than the delay are dropped."""
     counts = found.withWatermark(time, delay).groupBy(F.window(time, window).alias("w"), by)
