@@ -89,13 +89,13 @@ def categories(urls: DataFrame) -> DataFrame:
     return found.filter(F.col("category").isNotNull()).select("category", "url")
 
 
-def _parameters(url: Column) -> Column:
+def parameters_of(url: Column) -> Column:
     return F.regexp_extract_all(F.get(F.split(url, r"\?"), F.lit(1)), F.lit(QUERY_NAME), F.lit(1))
 
 
 def parameter_names(urls: DataFrame) -> DataFrame:
     """Distinct parameter names, read from the part after the first ``?`` only."""
-    found = urls.select(F.explode_outer(_parameters(F.col("url"))).alias("parameter"))
+    found = urls.select(F.explode_outer(parameters_of(F.col("url"))).alias("parameter"))
     return found.filter(F.col("parameter").isNotNull()).distinct()
 
 
@@ -107,7 +107,7 @@ def summary(urls: DataFrame, scope: list[str] | None = None) -> DataFrame:
     """
     inside = is_in_scope(F.col("url"), scope) if scope is not None else F.lit(True)
     path = clean_path(F.col("url"))
-    known = urls.select("url").distinct().select("url", inside.alias("_in"), path.alias("_path"), _parameters(F.col("url")).alias("_names"))
+    known = urls.select("url").distinct().select("url", inside.alias("_in"), path.alias("_path"), parameters_of(F.col("url")).alias("_names"))
     kinds = F.when(~F.col("_in"), F.array(F.struct(F.lit("out_of_scope_dropped").alias("kind"), F.col("url").alias("value")))).otherwise(F.concat(
         F.array(F.struct(F.lit("total_urls").alias("kind"), F.col("url").alias("value")), F.struct(F.lit("clean_paths").alias("kind"), F.col("_path").alias("value"))),
         F.transform(F.coalesce("_names", F.array().cast("array<string>")), lambda n: F.struct(F.lit("unique_parameters").alias("kind"), n.alias("value"))),

@@ -29,6 +29,7 @@ from pagesieve.operators.urls import (
     scope_patterns,
 )
 from pagesieve.plans.derived import SCOPE, TABLES
+from pagesieve.sources.reports import TITLES
 
 ORACLE: dict[str, str] = {}
 NL = "chr(10)"
@@ -363,6 +364,46 @@ def build() -> None:
     put("comment_lang_slug", f"SELECT language, trim(regexp_replace(lower(language), '[^a-z0-9]+', '_', 'g'), '_') AS lang_slug, count(*) AS n FROM ({co}) GROUP BY 1, 2")
     cats = " UNION ALL ".join(f"SELECT {lit(c)} AS category, url FROM {urls} WHERE regexp_matches(url, {lit('(?i)' + rx)})" for c, rx in URL_CATEGORIES.items())
     put("sink_url_categories", cats)
+    # whole reports: blocks are joined in order and split into numbered lines
+    def report(name: str, blocks: str, given: str = "") -> None:
+        whole = f"SELECT string_split(string_agg(line, {NL} ORDER BY part, section, a, b, c, nth, line), {NL}) AS l FROM ({blocks})"
+        put(name, f"{given} SELECT CAST(unnest(generate_series(0, len(l) - 1)) AS BIGINT) AS nr, unnest(l) AS line FROM ({whole})")
+
+    def block(part: int, section: str, line: str, tail: str = "", a: str = "0", b: str = "0", c: str = "0", nth: str = "0") -> str:
+        return f"SELECT {part} AS part, {section} AS section, {a} AS a, {b} AS b, {c} AS c, {nth} AS nth, {line} AS line {tail}"
+
+    bar, thin = "repeat('=', 78)", "repeat('-', 78)"
+    own = f"""'[' || severity || '] ' || rule_id || '  ' || title || {NL} || '   File : ' || file || ':' || line || ':' || "column"
+ || {NL} || '   CWE  : ' || cwe || '    Tags: ' || replace(tags, ',', ', ') || CASE WHEN snippet <> '' THEN {NL} || '   Code : ' || snippet ELSE '' END
+ || {NL} || '   Fix  : ' || remediation || {NL}"""
+    report("report_findings", " UNION ALL ".join([
+        block(0, "''", f"{bar} || {NL} || ' Findings in scripts: ' || (SELECT count(*) FROM f) || {NL} || {bar} || {NL} || ' Severity breakdown: ' || (SELECT string_agg(severity || '=' || n, ', ' ORDER BY r DESC) "
+              f"FROM (SELECT severity, count(*) AS n, {_RANK} AS r FROM f GROUP BY severity)) || {NL} || {thin}"),
+        block(1, f"CAST(9 - {_RANK} AS VARCHAR) || file", own, f"FROM f JOIN {_RULES} ON rid = rule_id", "line", "rule_ord", '"offset"'),
+    ]), f"WITH f AS MATERIALIZED ({fi})")
+    ranks = "list_position([" + ", ".join(lit(c) for c in CATEGORIES) + "], category)"
+    named = "CASE category " + " ".join(f"WHEN {lit(c)} THEN {lit(t)}" for c, t in TITLES.items()) + " ELSE category END"
+    report("report_items", " UNION ALL ".join([
+        block(0, "''", f"'# Items of scripts' || {NL} || {NL} || '**Files Analyzed:** ' || (SELECT count(*) FROM {js}) || {NL}"),
+        block(1, "path", f"{NL} || '## ' || path || {NL}", f"FROM {js}", "-1"),
+        block(1, "path", f"'### ' || {named} || {NL}", "FROM (SELECT DISTINCT path, category FROM i)", ranks, "-1"),
+        block(1, "path", "'- `' || value || '` (Line ' || line_number || ', ' || confidence || ')'", "FROM i", ranks, "line_number", "pattern_ord", "match_ord"),
+        block(1, "path", "''", "FROM (SELECT DISTINCT path, category FROM i)", ranks, "1000000"),
+    ]), f"WITH i AS MATERIALIZED ({items(js)})")
+    bar, thin = "repeat('=', 72)", "repeat('-', 72)"
+    span = "'L' || line_start || CASE WHEN line_end <> line_start THEN '-L' || line_end ELSE '' END"
+    shown = f"array_to_string(list_transform(string_split(text, {NL}), lambda x: '    ' || x || {NL} || {thin}), {NL})"
+    report("report_comments", " UNION ALL ".join([
+        block(0, "''", f"{bar} || {NL} || '  COMMENTS' || {NL} || {bar} || {NL} || 'Source path         : sources' || {NL} || 'Files scanned       : ' || (SELECT count(*) FROM {src}) || {NL} || "
+              f"'Files with comments : ' || (SELECT count(DISTINCT path) FROM k) || {NL} || 'Total comments      : ' || (SELECT count(*) FROM k) || {NL} || {bar} || {NL}"),
+        block(1, "path", f"{thin} || {NL} || 'FILE     : ' || path || {NL} || 'LANGUAGE : ' || language || {NL} || 'COMMENTS : ' || count(*) || {NL} || {thin}", "FROM k GROUP BY path, language", "-1"),
+        block(1, "path", f"'  [' || CASE type WHEN 'line' THEN 'LINE ' ELSE 'BLOCK' END || ' ' || {span} || ']' || {NL} || {shown} || {NL}", "FROM k", '"offset"'),
+        block(1, "path", "''", "FROM (SELECT DISTINCT path FROM k)", "1000000000"),
+    ]), f"WITH k AS MATERIALIZED ({co})")
+    array = f'SELECT CAST(row_number() OVER (ORDER BY {_RANK} DESC, file, line, rule_ord, "offset") - 1 AS INTEGER) AS nr, rule_id, file, line, "column", snippet FROM f'
+    put("sink_json_array", f"WITH f AS MATERIALIZED ({fi}) {array}")
+    put("sink_json_document", f"WITH f AS MATERIALIZED ({fi}) SELECT 'pagesieve' AS tool, (SELECT count(DISTINCT file) FROM f) AS files_analyzed, "
+        f"(SELECT count(*) FROM f) AS total_findings, true AS dated, * FROM ({array})")
     # HTML
     put("html_script_src", _SCRIPTS)
     put("html_inline_scripts", _INLINE)
@@ -478,11 +519,25 @@ def build() -> None:
     put("url_summary", f"SELECT (SELECT count(*) FROM {kept}) AS total_urls, (SELECT count(*) FROM ({at(paths)})) AS clean_paths, "
         f"(SELECT count(*) FROM ({at(paths)}) WHERE regexp_matches(path, {important})) AS important_paths, (SELECT count(*) FROM ({at(params)})) AS unique_parameters, "
         f"(SELECT count(*) FROM {urls} WHERE NOT {inside}) AS out_of_scope_dropped")
+    labels = {
+        "total_urls": "[+] Total Distinct URLs Discovered : ", "clean_paths": "[+] Clean Directory Paths Found     : ",
+        "important_paths": "[+] Critical/Important Paths Found  : ", "unique_parameters": "[+] Unique URL Parameter Keys Found : ",
+        "out_of_scope_dropped": "[+] Out-of-scope URLs Dropped       : ",
+    }
+    bar = "repeat('=', 53)"
+    counted = f" || {NL} || ".join(f"{lit(t)} || {c}" for c, t in labels.items())
+    report("report_urls", block(0, "''", f"{bar} || {NL} || '           URL INVENTORY OF EXAMPLE.COM' || {NL} || {bar} || {NL} || {NL} || {counted} || {NL} || {NL} || {bar}", "FROM s"), f"WITH s AS ({ORACLE['url_summary']})")
+    put("sink_inventory", f"SELECT 'clean_paths' AS output, path AS value FROM ({paths}) UNION ALL SELECT 'important_paths', path FROM ({paths}) WHERE regexp_matches(path, {important}) "
+        f"UNION ALL SELECT 'parameters', parameter FROM ({params}) UNION ALL SELECT DISTINCT 'files_' || category, url FROM ({cats})")
     put("url_param_substitute", f"SELECT DISTINCT regexp_replace(url, '=[^&#]*', '=aa2a', 'g') AS url FROM {urls} WHERE contains(url, '?')")
     put("url_js_only", f"SELECT url FROM {urls} WHERE url ILIKE '%.js%'")
     # responses, hosts, files
     stem = "string_split(url, '?')[1]"
     put("response_diff", f"WITH r AS MATERIALIZED (SELECT {stem} AS base_url, url, status || '_' || length AS v FROM {resp}) SELECT DISTINCT base_url, url FROM r WHERE base_url IN (SELECT base_url FROM r GROUP BY 1 HAVING count(DISTINCT v) > 1)")
+    report("report_differences", " UNION ALL ".join([
+        block(1, "base_url", "chr(128293) || ' ' || base_url", "FROM (SELECT DISTINCT base_url FROM d)", "0"),
+        block(1, "base_url", "url", "FROM d", "1"), block(1, "base_url", "''", "FROM (SELECT DISTINCT base_url FROM d)", "2"),
+    ]), f"WITH d AS MATERIALIZED (SELECT * FROM ({ORACLE['response_diff']}))")
     put("url_online", f"SELECT DISTINCT url FROM {resp} WHERE status = '200' AND contains(url, 'aa2a')")
     whole, name = "regexp_extract(url, '^([a-z]+://[^/?#]*)', 1)", "regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)"
     hosts = f"(SELECT DISTINCT CASE length(url) % 4 WHEN 0 THEN {whole} || '//' WHEN 1 THEN {name} WHEN 2 THEN '' ELSE {name} || '/' END AS host FROM {urls})"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagesieve.catalog.endpoint_types import ENDPOINT_TYPES
@@ -25,6 +25,7 @@ from pagesieve.operators import scripts as S
 from pagesieve.operators import urls as U
 from pagesieve.plans.derived import SCOPE, TABLES, table
 from pagesieve.sources import corpus as SRC
+from pagesieve.sources import reports as REPORT
 from pagesieve.sources import sinks as SINK
 from pagesieve.streaming import streams as ST
 
@@ -162,6 +163,74 @@ def _(spark, d):
     return back.select("category", F.col("value").alias("url"))
 
 
+def _read_back(spark: SparkSession, path: str) -> DataFrame:
+    """(nr, line) of a report's part files in the order of their names."""
+    parts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.split("value", "\n").alias("lines"))
+    sizes = parts.select("file", (F.size("lines") - 1).alias("n"))
+    before = F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
+    lines = parts.select("file", F.posexplode(F.slice("lines", 1, F.size("lines") - 1)).alias("pos", "line"))
+    starts = sizes.select("file", F.coalesce(before, F.lit(0)).alias("begin"))
+    return lines.join(starts, "file").select((F.col("begin") + F.col("pos")).cast("long").alias("nr"), "line")
+
+
+def report(name: str, tab: str, build: Callable[[DataFrame], DataFrame]) -> None:
+    """Register a report: written in parallel, then read back line by line."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        out = storage.scratch(spark, name)
+        REPORT.write_lines(build(table(spark, d, tab)), out)
+        return _read_back(spark, out)
+
+    QUERIES[name] = run
+
+
+report("report_findings", "js_corpus", lambda c: REPORT.finding_report(V.findings(c)))
+report("report_items", "js_corpus", lambda c: REPORT.item_report(I.js_items(c), c))
+report("report_comments", "source_corpus", lambda c: REPORT.comment_report(C.comments(c), c, "sources"))
+report("report_urls", "urls", lambda u: REPORT.url_report(u.unionByName(u), "example.com", SCOPE))
+report("report_differences", "responses", REPORT.difference_report)
+
+_DOCUMENT = ["rule_id", "file", "line", "column", "snippet"]
+_FOUND = "array<struct<rule_id:string,file:string,line:int,`column`:int,snippet:string>>"
+
+
+def _document(spark: SparkSession, d: str, name: str, **kw) -> DataFrame:
+    """Findings written as one JSON document, and its text."""
+    out = storage.scratch(spark, name)
+    found = V.findings(table(spark, d, "js_corpus"))
+    order = [F.desc(V.rank(F.col("severity"))), "file", "line", "rule_ord", "offset"]
+    REPORT.write_document(found, out, order=order, columns=_DOCUMENT, **kw)
+    lines = _read_back(spark, out)
+    return lines.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nr", "line"))), lambda x: x["line"]), "\n").alias("text"))
+
+
+@query("sink_json_document")
+def _(spark, d):
+    """The metadata and every element, each with its place, of a document that is parsed as a whole."""
+    facts = {"tool": F.lit("pagesieve"), "timestamp": F.current_timestamp(), "files_analyzed": F.count_distinct("file"), "total_findings": F.count("*")}
+    text = _document(spark, d, "document", metadata=facts)
+    schema = f"metadata struct<tool:string,timestamp:timestamp,files_analyzed:long,total_findings:long>, results {_FOUND}"
+    parsed = text.select(F.from_json("text", schema, {"mode": "FAILFAST"}).alias("doc"))
+    told = [F.col(f"doc.metadata.{c}").alias(c) for c in ("tool", "files_analyzed", "total_findings")]
+    dated = F.col("doc.metadata.timestamp").isNotNull().alias("dated")
+    return parsed.select(*told, dated, F.posexplode("doc.results").alias("nr", "r")).select("tool", "files_analyzed", "total_findings", "dated", "nr", "r.*")
+
+
+@query("sink_json_array")
+def _(spark, d):
+    """The bare sorted array."""
+    text = _document(spark, d, "array")
+    return text.select(F.posexplode(F.from_json("text", _FOUND, {"mode": "FAILFAST"})).alias("nr", "r")).select("nr", "r.*")
+
+
+@query("sink_inventory")
+def _(spark, d):
+    """Categories, clean and important paths and parameter names, written at once."""
+    out = storage.scratch(spark, "inventory")
+    REPORT.write_inventory(table(spark, d, "urls"), out, rows_per_file=1000)
+    return spark.read.schema("value string, output string").text(out).select("output", "value")
+
+
 # --- HTML --------------------------------------------------------------------------------
 
 on("html_script_src", "rich_pages", H.script_sources)

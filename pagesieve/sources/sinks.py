@@ -35,9 +35,8 @@ def write_csv(items: DataFrame, path: str) -> None:
     ).csv(path)
 
 
-def finding_lines(found: DataFrame) -> DataFrame:
-    """Report block of each finding, most severe first."""
-    rows = sort_findings(enrich(found))
+def finding_block() -> Column:
+    """The lines that report an enriched finding."""
     tags = F.coalesce(F.nullif(F.array_join("tags", ", "), F.lit("")), F.lit("-"))
     parts = [
         F.format_string("[%s] %s  %s", "severity", "rule_id", "title"),
@@ -46,7 +45,12 @@ def finding_lines(found: DataFrame) -> DataFrame:
         F.when(F.col("snippet") != "", F.concat(F.lit("   Code : "), "snippet")),
         F.concat(F.lit("   Fix  : "), "remediation"),
     ]
-    return rows.select(F.concat_ws("\n", *parts).alias("block"))
+    return F.concat_ws("\n", *parts)
+
+
+def finding_lines(found: DataFrame) -> DataFrame:
+    """Report block of each finding, most severe first."""
+    return sort_findings(enrich(found)).select(finding_block().alias("block"))
 
 
 def severity_line(counts: DataFrame) -> DataFrame:

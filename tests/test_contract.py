@@ -11,7 +11,8 @@ TABLES = ["pages", "documents", "events", "customer"]
 SAMPLE = [
     "endpoints_all", "ep_dedup", "js_items_all", "js_dedup", "vuln_findings", "comments_all", "html_links",
     "html_script_src", "url_summary", "response_diff", "link_reach", "audit_rollup", "url_normalize",
-    "stream_endpoints", "stream_first_seen", "sink_csv_roundtrip", "scan_corpus", "decode_text",
+    "stream_endpoints", "stream_first_seen", "sink_csv_roundtrip", "report_findings", "report_comments", "report_differences",
+    "sink_json_document", "sink_json_array", "sink_inventory", "scan_corpus", "decode_text",
 ]
 
 
