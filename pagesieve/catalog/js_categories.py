@@ -206,6 +206,14 @@ _IDLE = {
     ("parameters", 3): r"""(?:params|query|body|data|options|config|args)\s*[:=]\s*\{[^}]*+\z""",
 }
 
+# What ends a match and what follows it, for expressions whose unfinished openers tell nothing of the next ones; and the
+# expression for their matches without that end.
+_CLOSER = {
+    ("parameters", 0): (")", "", "(?!)()"),
+    ("parameters", 1): (")", r"""\s*=>""", "(?!)()"),
+    ("function_names", 2): (")", r"""\s*=>""", r"""(?:const|let|var)\s+([a-zA-Z_$][a-zA-Z0-9_$]*)\s*=\s*(?:async\s+)?function"""),
+}
+
 # The intended reading of expressions that, as specified, miss what they are for.
 _CORRECTED = {
     ("function_names", 3): (r"""["']([a-zA-Z_$][a-zA-Z0-9_$]*)["']\s*:\s*(?:async\s+)?function""", ("function",)),
@@ -227,5 +235,5 @@ def detectors(category: str, corrected: bool = False) -> list[tuple[Rx, str]]:
         java = _JAVA.get((category, k))
         if corrected and (category, k) in _CORRECTED:
             (pattern, needs), java = _CORRECTED[category, k], _CORRECTED_JAVA.get((category, k))
-        out.append((Rx(pattern, needs, "i" if category == "secrets" else "s", java, idle=_IDLE.get((category, k))), confidence))
+        out.append((Rx(pattern, needs, "i" if category == "secrets" else "s", java, idle=_IDLE.get((category, k)), closer=_CLOSER.get((category, k))), confidence))
     return out

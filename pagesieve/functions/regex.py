@@ -36,6 +36,9 @@ class Rx:
     #: A stretch in which no match can begin once the expression has failed at its start; taking it
     #: in one step keeps long lines of unfinished openers from being searched again and again.
     idle: str | None = None
+    #: A sign that ends a match and stands in no other part of it, what follows it in a match, and the expression for
+    #: matches without it. Values are then sought between such signs, so that openers without an end are not searched from each.
+    closer: tuple[str, str, str] | None = None
 
     @property
     def ignore_case(self) -> bool:

@@ -218,11 +218,29 @@ def _seen(derive: dict[str, str] | None, lines: dict[str, str] | None) -> dict[s
 
 
 def _values(rx: Rx) -> str:
+    if rx.closer:
+        return _between_closers(rx)
     found = f"regexp_extract_all(_t, {quoted(rx.jvm())}, {rx.value_group})"
     # an idle stretch has no value, and expressions that have one never match without
     return f"filter({found}, v -> v <> '')" if rx.idle else found
 
 
+def _between_closers(rx: Rx) -> str:
+    """SQL for the values of an expression with a closer.
+
+    The closers are found once. A part of the text that one ends which something fitting follows is searched with that end put back; its
+    first opener takes all of it. In any other part only matches without a closer can lie.
+    """
+    sign, follows, without = rx.closer
+    ends = f"get(z, j + 1) RLIKE {quoted(f'^(?:(?dU{rx.flags}){follows})')}"
+    # no more of the next part than follows the closer: the rest is searched in its own turn
+    end = f"regexp_extract(get(z, j + 1), {quoted(f'^(?:(?dU{rx.flags}){follows})')}, 0)"
+    closed = f"regexp_extract_all(concat(x, '{sign}', {end}), {quoted(rx.jvm())}, {rx.value_group})"
+    alone = f"regexp_extract_all(x, {quoted(f'(?dU{rx.flags}){without}')}, 1)"
+    part = f"transform(z, (x, j) -> if({ends}, {closed}, {alone}))"
+    return f"flatten({_let('z', f'split(_t, {quoted(chr(92) + sign)}, -1)', part)})"
+
+
 def extract_values(
     df: DataFrame, text: str, rxs: list[Rx], *, keep: list[str] | None = None
 ) -> DataFrame:

@@ -20,6 +20,7 @@ URL_CATEGORIES = {
     "web_pages": r"\.(html|css|asp|php|aspx|jsp|cgi|cfm|do|action)(\?|$|#)",
     "backups": r"\.(git|env|bak|old|zip|tar|gz|sql)(\?|$|#)",
 }
+# A domain name, and the names of a query.
 DOMAIN_NAME = r"^[a-zA-Z0-9]([a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?(\.[a-zA-Z0-9]([a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?)*$"
 QUERY_NAME = r"(?:^|&)([a-zA-Z0-9_\-]+)="
 SCOPE_CHUNK = 200

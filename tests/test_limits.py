@@ -54,6 +54,30 @@ def test_unfinished_bodies_take_linear_time(spark):
     assert time.perf_counter() - start < 20
 
 
+ARROWS = [rx for c in CATEGORIES for rx, _ in detectors(c) if rx.closer]
+
+
+def test_values_between_closers_equal_a_plain_search(spark):
+    rnd = random.Random(4)
+    words = ["const a", "let b", "var", " ", "=", "(", ")", "=>", ") =>", "async ", "function", "x", "const f = function", "let g=(y", "function f(", "function ", "$g"]
+    lines = [(i, "".join(rnd.choice(words) for _ in range(rnd.randrange(30)))) for i in range(6000)]
+    got = extract_values(spark.createDataFrame(lines, "id int, text string").repartition(8), "text", ARROWS, keep=["id"])
+    want = [(i, k, n, m.group(1)) for i, x in lines for k, rx in enumerate(ARROWS) for n, m in enumerate(re.finditer(rx.pattern, x, re.S))]
+    assert len(want) > 500 and rows(got, "id", "rx", "nth", "value") == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("opener", ["const a=(", "const a=(const b=function ", "let a=(x) ", "function f(a "])
+def test_openers_without_a_closer_take_linear_time(spark, opener):
+    extract_values(spark.createDataFrame([(opener * 10,)], "text string"), "text", ARROWS).count()
+    times = []
+    for n in (200_000, 400_000):
+        df = spark.createDataFrame([(opener * (n // len(opener)),)], "text string")
+        start = time.perf_counter()
+        extract_values(df, "text", ARROWS).count()
+        times.append(time.perf_counter() - start)
+    assert times[1] < 2.5 * times[0] + 1 and times[1] < 10
+
+
 def test_files_left_out_are_not_opened(spark, tmp_path):
     for name, data in {"src/a b.js": "x = 1;", "src/big.mp4": "y" * 5000, "node_modules/m.js": "z" * 5000, "src/b.js.map": '{"sources":["o.ts"],"sourcesContent":["let o;"]}',
                        "src/n.js": "a\0b"}.items():
