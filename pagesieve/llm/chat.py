@@ -77,15 +77,22 @@ VISITOR: dict[str, Callable[[Column], Column]] = {"image": _image, "audio": _aud
 
 
 def flatten(parts: Column) -> Column:
-    """The content of parts: escaped texts and placeholders, in order."""
+    """The content of parts: escaped texts and placeholders, in order.
 
-    def shown(part: Column) -> Column:
-        out = escape(F.coalesce(part["text"], F.lit("")))
-        for kind, placeholder in PLACEHOLDERS.items():
-            out = F.when(part["type"] == kind, F.lit(placeholder)).otherwise(out)
-        return out
+    Texts that follow one another are escaped as one, so a control string can't be put together from several.
+    """
 
-    return F.array_join(F.transform(parts, shown), "")
+    def visit(acc: Column, part: Column) -> Column:
+        placeholder = F.lit(None).cast("string")
+        for kind, shown in PLACEHOLDERS.items():
+            placeholder = F.when(part["type"] == kind, F.lit(shown)).otherwise(placeholder)
+        text = F.when(part["type"] == "text", F.coalesce(part["text"], F.lit(""))).otherwise("")
+        done = F.when(placeholder.isNull(), acc["done"]).otherwise(F.concat(acc["done"], escape(acc["run"]), placeholder))
+        run = F.when(placeholder.isNull(), F.concat(acc["run"], text)).otherwise("")
+        return F.struct(done.alias("done"), run.alias("run"))
+
+    start = F.struct(F.lit("").alias("done"), F.lit("").alias("run"))
+    return F.aggregate(parts, start, visit, lambda acc: F.concat(acc["done"], escape(acc["run"])))
 
 
 def attachments(parts: Column) -> Column:

@@ -4,7 +4,7 @@ Both supported vocabularies cut a text into words before they merge pairs, and t
 merges of a word do not depend on its neighbours. So each distinct word of a batch is
 merged once by the tokenizer's model (and kept for the next batches of the worker) and the
 ids of a text are gathered with numpy. The cut is done here for plain texts, on which
-all libraries agree; other texts, and all texts of other vocabularies, are given to the tokenizer whole.
+all libraries agree; other texts, those that spell out an added token, and all texts of other vocabularies, are given to the tokenizer whole.
 """
 
 from __future__ import annotations
@@ -76,9 +76,9 @@ class _Words(dict):
 
 
 class Encoder:
-    """Ids of texts; equal to ``Tokenizer.encode(text, add_special_tokens=False)``.
+    """Ids of texts; equal to ``Tokenizer.encode(text, add_special_tokens=False)`` of the file as it is.
 
-    Strings that look like special tokens are ordinary text.
+    So a special token that is spelled out in a text is that token, as the tokenizer has it.
     """
 
     def __init__(self, path: str):
@@ -86,7 +86,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
+        self._added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         with open(path, encoding="utf-8") as f:
             self._kind = _kind(json.load(f))
         self.size = self._tokenizer.get_vocab_size()
@@ -116,7 +116,9 @@ class Encoder:
     def _some(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         odd = np.ones(len(texts), bool)
         if self._kind != "whole":
-            odd = np.asarray(pc.match_substring_regex(texts, _NOT_PLAIN[self._kind]))
+            odd = np.array(pc.match_substring_regex(texts, _NOT_PLAIN[self._kind]))
+            for content in self._added:
+                odd |= np.asarray(pc.match_substring(texts, content))
         if not odd.any():
             return self._by_words(texts)
         some, bounds = self._by_words(texts.filter(pa.array(~odd))) if not odd.all() else (np.zeros(0, np.uint32), np.zeros(1, int))
