@@ -9,22 +9,27 @@ earlier line (by ``doc_id``, then by place) has a Jaccard similarity of at least
   gives the same result; this one keeps the join small.
 * Prefix filter: similar sets of n tokens share one of their n - ceil(0.8 n) + 1 first ones.
   Length filter: the smaller has at least 0.8 times the tokens of the larger. Positional filter: what
-  follows the shared token must suffice for the overlap that 0.8 asks for. Sixty-four bits of each set
-  rule out pairs that differ in more bits than they may in tokens.
-* The texts of the lines in candidate pairs are read again, and their token sets compared in full: each
-  with its first candidate, and if that is not similar with all others.
+  follows the shared token must suffice for the overlap that 0.8 asks for. 256 bits of each set
+  rule out pairs that differ in more bits than they may in tokens: 64 of them, folded, where sets meet, all on the pairs.
+* Before all pairs each set meets one earlier set, the first of those about as large that share a prefix token, and goes
+  if they are similar. So a group of near copies costs a comparison for each, not for each pair. What stays is then
+  compared with all earlier sets that the filters leave, also with those that went.
+* The texts of the lines in candidate pairs are read again, and their token sets compared in full.
 
 Token sets and tokens are known by hashes of 128 and 56 bits.
 
 Defined cases: lines without a word are kept; a null or empty text stays as it is; rows with one
 ``doc_id``, or without, are documents of their own if their texts differ, by a hash of the text; equal ones are treated
-alike; an empty table gives no row; other columns are kept as they are.
+alike; an empty table gives no row; other columns are kept as they are, but ``n_lines`` and ``n_removed`` of the input are replaced;
+long texts are split into lines like others, and a long line is one set of tokens.
 """
 
 from __future__ import annotations
 
 import json
 import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +39,8 @@ from pagesieve.llm.stages import settings, written
 BUCKETS = 1 << 16
 #: Similarity as a fraction of whole numbers, so that comparisons are exact.
 NUMERATOR, DENOMINATOR = 4, 5
+#: Columns of a set's bits.
+WORDS = ["w0", "w1", "w2", "w3"]
 
 
 _SPACE = "\t\x0b\x0c\r"
@@ -83,10 +90,21 @@ def _ranked(table: list[int]) -> Column:
     return F.sort_array(F.transform("tokens", rank))
 
 
-def _bits(tokens: Column) -> Column:
-    """A bit for each token, of 64; sets differ in at least as many tokens as their bits differ."""
-    one = F.lit(1).cast("bigint")
-    return F.aggregate(tokens, F.lit(0).cast("bigint"), lambda acc, t: acc.bitwiseOR(F.call_function("shiftleft", one, t.bitwiseAND(F.lit(63)).cast("int"))))
+def _words(tokens: Column) -> list[Column]:
+    """A bit for each token, of 256 in four words; sets differ in at least as many tokens as their bits differ."""
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+
+    def word(j: int) -> Column:
+        mine = lambda t: F.shiftrightunsigned(t, 6).bitwiseAND(F.lit(3)) == j
+        bit = lambda t: F.call_function("shiftleft", one, t.bitwiseAND(F.lit(63)).cast("int"))
+        return F.aggregate(tokens, none, lambda acc, t: F.when(mine(t), acc.bitwiseOR(bit(t))).otherwise(acc)).alias(WORDS[j])
+
+    return [word(j) for j in range(len(WORDS))]
+
+
+def _bits() -> Column:
+    """The four words as one; what holds for their bits holds for its too."""
+    return reduce(Column.bitwiseOR, [F.col(w) for w in WORDS])
 
 
 def _needed(n: Column) -> Column:
@@ -103,40 +121,57 @@ def _pruned_scans(spark: SparkSession):
     )
 
 
-def _candidates(sets: DataFrame) -> DataFrame:
-    """(a, b): pairs of sets that no filter rules out."""
-    prefixes = sets.filter("n > 3").select("id", "n", "bits", F.posexplode("prefix").alias("at", "token"))  # smaller sets must be equal
-    a, b = prefixes.alias("a"), prefixes.alias("b")
-    shares = NUMERATOR + DENOMINATOR
-    both = F.col("a.n") + F.col("b.n")
-    met = (
-        (F.col("a.token") == F.col("b.token"))
-        & ((F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.id") < F.col("b.id"))))
-        & (F.col("a.n") * DENOMINATOR >= F.col("b.n") * NUMERATOR)
-        & (F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) * shares >= both * NUMERATOR)
-        & (F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))) * shares <= both * (DENOMINATOR - NUMERATOR))
-    )
-    return a.join(b, met).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+def _may_be_similar(a: str, b: str, words: list[str]) -> Column:
+    """Length filter and bits of two sets."""
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    differ = sum(F.bit_count(F.col(f"{a}.{w}").bitwiseXOR(F.col(f"{b}.{w}"))) for w in words)
+    return (F.least(n, m) * DENOMINATOR >= F.greatest(n, m) * NUMERATOR) & (differ * (NUMERATOR + DENOMINATOR) <= (n + m) * (DENOMINATOR - NUMERATOR))
+
+
+def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs that all bits of both sets leave."""
+    sized = sets.select("id", "n", *WORDS)
+    both = pairs.join(sized.select(F.col("id").alias("later"), F.struct("n", *WORDS).alias("b")), "later")
+    both = both.join(sized.select(F.col("id").alias("earlier"), F.struct("n", *WORDS).alias("a")), "earlier")
+    return both.filter(_may_be_similar("a", "b", WORDS)).select(*pairs.columns)
 
 
-def _directed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(later, earlier, place): which set of each pair comes first, and where."""
-    place = sets.select("id", F.struct("doc", "line_no", "id").alias("place"))
-    both = pairs.join(place.withColumnsRenamed({"id": "a", "place": "pa"}), "a").join(place.withColumnsRenamed({"id": "b", "place": "pb"}), "b")
-    earlier, later = F.least("pa", "pb"), F.greatest("pa", "pb")
-    return both.select(later["id"].alias("later"), earlier["id"].alias("earlier"), earlier.alias("place"))
+def _first_met(sets: DataFrame) -> DataFrame:
+    """(later, earlier): each set with one earlier set, the first of those about as large that have one of its prefix tokens.
+
+    Of several the one that more tokens lead to is taken. So near copies meet their first, however many they are.
+    """
+    band = F.floor(F.log("n") / math.log(DENOMINATOR / NUMERATOR)).cast("bigint")
+    sized = sets.filter("n > 3").select("id", "n", "prefix", _bits().alias("bits"), band.alias("band"))
+    prefixes = sized.select("id", "n", "bits", F.explode(F.transform("prefix", lambda t: F.shiftleft(F.col("band"), 32).bitwiseOR(t.cast("bigint")))).alias("key"))
+    first = prefixes.groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("held")).filter("held > 1").select("key", "id")
+    first = first.join(sized.select("id", "n", "bits"), "id")
+    met = (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & _may_be_similar("a", "b", ["bits"])
+    pairs = prefixes.alias("b").join(first.alias("a"), met).groupBy(F.col("b.id").alias("later"), F.col("a.id").alias("earlier")).agg(F.count("*").alias("tokens"))
+    best = _near(pairs, sets).groupBy("later").agg(F.max(F.struct("tokens", (-F.col("earlier")).alias("order"))).alias("best"))
+    return best.select("later", (-F.col("best.order")).alias("earlier"))
+
+
+def _all_met(sets: DataFrame) -> DataFrame:
+    """(later, earlier): sets that are not ``gone`` with all earlier ones that no filter rules out."""
+    prefixes = sets.filter("n > 3").select("id", "n", _bits().alias("bits"), "gone", F.posexplode("prefix").alias("at", "token"))  # smaller sets must be equal
+    left = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
+    enough = left * (NUMERATOR + DENOMINATOR) >= (F.col("a.n") + F.col("b.n")) * NUMERATOR
+    met = (F.col("a.token") == F.col("b.token")) & (F.col("a.id") < F.col("b.id")) & ~F.col("b.gone") & enough & _may_be_similar("a", "b", ["bits"])
+    pairs = prefixes.alias("a").join(prefixes.alias("b"), met).select(F.col("b.id").alias("later"), F.col("a.id").alias("earlier")).distinct()
+    return _near(pairs, sets)
 
 
 def _tokens(docs: DataFrame, sets: DataFrame, pairs: DataFrame, rank: Column, path: str) -> DataFrame:
     """(id, tokens) of the sets in pairs, read again; ``docs`` has ``doc`` and ``text``."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ids = pairs.select(F.explode(F.array("later", "earlier")).alias("id")).distinct()
     wanted = sets.join(ids, "id").groupBy("doc").agg(F.collect_list(F.struct("line_no", "id", "h1")).alias("wanted"))
-    wanted = written(wanted, f"{path}/wanted").filter(F.size("wanted") > 0)
+    wanted = written(wanted, f"{path}-wanted").filter(F.size("wanted") > 0)
     with _pruned_scans(docs.sparkSession):
         texts = docs.join(wanted, "doc").select("wanted", F.split(_plain(F.col("text")), "\n").alias("lines"))
         texts = texts.select(F.explode(F.transform("wanted", lambda w: F.struct(w["id"].alias("id"), w["h1"].alias("h1"), F.get("lines", w["line_no"]).alias("line")))).alias("x"))
         tokens = texts.select("x.id", "x.h1", tokens_of(F.col("x.line")).alias("tokens")).filter(F.size("tokens") > 0)
-        return written(tokens.select("id", "h1", rank.alias("tokens")).filter(F.xxhash64("tokens") == F.col("h1")).drop("h1"), f"{path}/tokens")
+        return written(tokens.select("id", "h1", rank.alias("tokens")).filter(F.xxhash64("tokens") == F.col("h1")).drop("h1"), f"{path}-tokens")
 
 
 def _similar(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -158,20 +193,20 @@ def kept_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     prefix = F.transform(F.slice("k", 1, n - _needed(n) + 1), lambda t: t.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))  # low bits of the hash
     ranked = lines.select("doc", "line_no", rank.alias("k")).select(
         F.xxhash64("k").alias("h1"), F.xxhash64(F.lit("second"), "k").alias("h2"),
-        F.struct("doc", "line_no", n.alias("n"), prefix.alias("prefix"), _bits(F.col("k")).alias("bits")).alias("line"),
+        F.struct("doc", "line_no", n.alias("n"), prefix.alias("prefix"), *_words(F.col("k"))).alias("line"),
     )
     first = ranked.groupBy("h1", "h2").agg(F.min("line").alias("line"))
-    sets = written(first.select(F.monotonically_increasing_id().alias("id"), "h1", "line.*"), f"{path}/sets")
-    pairs = written(_candidates(sets), f"{path}/pairs")
-    tokens = _tokens(docs, sets, pairs, rank, path)
-    # One similar earlier set is enough. Each set is compared with its first candidate; only those
-    # that differ from it are compared with all others, so a group of near copies isn't compared in all its pairs.
-    directed = written(_directed(pairs, sets), f"{path}/directed")
-    nearest = directed.groupBy("later").agg(F.min("place")["id"].alias("earlier"))
-    gone = written(_similar(nearest, tokens), f"{path}/gone")
-    others = directed.join(gone, "later", "left_anti").select("later", "earlier")
-    gone = gone.unionByName(written(_similar(others, tokens), f"{path}/others"))
-    stay = sets.select("id", "doc", "line_no").join(gone.withColumnRenamed("later", "id"), "id", "left_anti")
+    # In order of place, so that of two sets the one with the lesser number is the earlier.
+    numbered = first.orderBy("line.doc", "line.line_no").select(F.monotonically_increasing_id().alias("id"), "h1", "line.*")
+    sets = written(numbered, f"{path}/sets")
+    # One similar earlier set is enough: near copies go with the first of them, and only what that leaves is compared with all.
+    pairs = written(_first_met(sets), f"{path}/first")
+    gone = written(_similar(pairs, _tokens(docs, sets, pairs, rank, f"{path}/first")), f"{path}/gone")
+    flags = gone.select(F.col("later").alias("id"), F.lit(True).alias("gone"))
+    sets = written(sets.join(flags, "id", "left").withColumn("gone", F.coalesce("gone", F.lit(False))), f"{path}/left")
+    pairs = written(_all_met(sets), f"{path}/pairs")
+    others = written(_similar(pairs, _tokens(docs, sets, pairs, rank, f"{path}/all")), f"{path}/others")
+    stay = sets.filter("not gone").select("id", "doc", "line_no").join(others.withColumnRenamed("later", "id"), "id", "left_anti")
     return written(stay.groupBy("doc").agg(F.collect_set("line_no").alias("lines")), f"{path}/kept")
 
 
@@ -181,13 +216,15 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     ``n_lines`` counts the lines of the text, ``n_removed`` those taken out.
     """
     kept = kept_lines(docs, id_col=id_col, text_col=text_col)
-    joined = docs.join(kept.select(F.col("doc").alias("_kept_doc"), F.col("lines").alias("_kept")), row_key(id_col, text_col) == F.col("_kept_doc"), "left")
-    joined = joined.withColumn("_lines", F.split(F.col(text_col), "\n"))
-    blank = F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: ~F.get("_lines", i).rlike(r"[^\x20\x09-\x0D]"))
-    places = F.sort_array(F.array_union(blank, F.coalesce("_kept", F.array().cast("array<int>"))))
-    joined = joined.withColumn("_places", F.when(F.col(text_col).isNotNull(), F.filter(places, lambda i: i < F.size("_lines"))))
-    text = F.array_join(F.transform("_places", lambda i: F.get("_lines", i)), "\n")
-    n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size("_lines"))
+    tag = "_" * (1 + max(map(len, docs.columns)))  # longer than any name, so that none clashes
+    kept_doc, kept_lines_, lines, places = (tag + x for x in ("doc", "kept", "lines", "places"))
+    joined = docs.join(kept.select(F.col("doc").alias(kept_doc), F.col("lines").alias(kept_lines_)), row_key(id_col, text_col) == F.col(kept_doc), "left")
+    joined = joined.withColumn(lines, F.split(F.col(text_col), "\n"))
+    blank = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: ~F.get(lines, i).rlike(r"[^\x20\x09-\x0D]"))
+    wanted = F.sort_array(F.array_union(blank, F.coalesce(kept_lines_, F.array().cast("array<int>"))))
+    joined = joined.withColumn(places, F.when(F.col(text_col).isNotNull(), F.filter(wanted, lambda i: i < F.size(lines))))
+    text = F.array_join(F.transform(places, lambda i: F.get(lines, i)), "\n")
+    n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines))
     out = {text_col: F.coalesce(text, F.col(text_col))}
     columns = [out.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return joined.select(*columns, n_lines.alias("n_lines"), (n_lines - F.coalesce(F.size("_places"), F.lit(0))).alias("n_removed"))
+    return joined.select(*columns, n_lines.alias("n_lines"), (n_lines - F.coalesce(F.size(places), F.lit(0))).alias("n_removed"))

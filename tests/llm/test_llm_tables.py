@@ -179,6 +179,37 @@ def test_line_dedup_equals_brute_force(spark):
     assert sorted((r.doc_id or 0, r.text) for r in twice.collect()) == [(0, "one two"), (1, ""), (1, "")]
 
 
+def test_line_dedup_of_large_groups_of_near_copies(spark):
+    """Chains of near copies, ties, first candidates that don't match, and copies whose earlier match went itself."""
+    rnd = random.Random(17)
+    words = [f"v{i}" for i in range(300)]
+    rows = []
+    for g in range(4):
+        x = rnd.sample(words, 30)
+        for k in range(60):
+            if g % 2:
+                x = x[:]  # drifts away, so that the last is far from the first
+            y = x if g % 2 else x[:]
+            for _ in range(rnd.randrange(3)):
+                y[rnd.randrange(30)] = rnd.choice(words)
+            rows.append((rnd.randrange(10_000), " ".join(y)))
+    rows += [(20_000 + i, " ".join(rnd.sample(words, rnd.randrange(1, 6)))) for i in range(60)]
+    rows = list(dict(rows).items())
+    seen, want = [], set()
+    for i, text in sorted(rows):
+        tokens = set(text.split())
+        if not any(_similar(tokens, s) for s in seen):
+            want.add(i)
+        seen.append(tokens)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    docs = docs.withColumn("_kept", F.lit(1)).withColumn("_lines", F.lit("x"))
+    got = line_dedup.dedup_lines(docs)
+    assert got.columns == [*docs.columns, "n_lines", "n_removed"]
+    got = got.collect()
+    assert {r.doc_id for r in got if r.n_removed == 0} == want and 60 < len(want) < len(rows)
+    assert all(r._kept == 1 and r._lines == "x" for r in got)
+
+
 def test_components_equal_plain_search(spark):
     rnd = random.Random(1)
     edges = [(rnd.randrange(200), rnd.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 360)] + [(500, i) for i in range(501, 560)]
