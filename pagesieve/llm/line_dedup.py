@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,6 +40,8 @@ from pagesieve.llm.stages import settings, written
 BUCKETS = 1 << 16
 #: Similarity as a fraction of whole numbers, so that comparisons are exact.
 NUMERATOR, DENOMINATOR = 4, 5
+#: Steps in which prefix tokens are joined, so that only a part of their shuffle files exists at a time.
+PASSES = 4
 #: Columns of a set's bits.
 WORDS = ["w0", "w1", "w2", "w3"]
 
@@ -136,30 +139,47 @@ def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.filter(_may_be_similar("a", "b", WORDS)).select(*pairs.columns)
 
 
-def _first_met(sets: DataFrame) -> DataFrame:
+def _in_passes(make: Callable[[int], DataFrame], path: str) -> DataFrame:
+    """The union of ``PASSES`` steps, each written and its shuffle files gone before the next."""
+    return reduce(DataFrame.unionByName, [written(make(k), f"{path}-{k}") for k in range(PASSES)])
+
+
+def _first_met(sets: DataFrame, path: str) -> DataFrame:
     """(later, earlier): each set with one earlier set, the first of those about as large that have one of its prefix tokens.
 
     Of several the one that more tokens lead to is taken. So near copies meet their first, however many they are.
     """
     band = F.floor(F.log("n") / math.log(DENOMINATOR / NUMERATOR)).cast("bigint")
     sized = sets.filter("n > 3").select("id", "n", "prefix", _bits().alias("bits"), band.alias("band"))
-    prefixes = sized.select("id", "n", "bits", F.explode(F.transform("prefix", lambda t: F.shiftleft(F.col("band"), 32).bitwiseOR(t.cast("bigint")))).alias("key"))
-    first = prefixes.groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("held")).filter("held > 1").select("key", "id")
-    first = first.join(sized.select("id", "n", "bits"), "id")
-    met = (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & _may_be_similar("a", "b", ["bits"])
-    pairs = prefixes.alias("b").join(first.alias("a"), met).groupBy(F.col("b.id").alias("later"), F.col("a.id").alias("earlier")).agg(F.count("*").alias("tokens"))
-    best = _near(pairs, sets).groupBy("later").agg(F.max(F.struct("tokens", (-F.col("earlier")).alias("order"))).alias("best"))
+
+    def met(k: int) -> DataFrame:
+        key = lambda t: F.shiftleft(F.col("band"), 32).bitwiseOR(t.cast("bigint"))
+        prefixes = sized.select("id", "n", "bits", F.explode(F.transform(F.filter("prefix", lambda t: t % PASSES == k), key)).alias("key"))
+        first = prefixes.groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("held")).filter("held > 1").select("key", "id")
+        first = first.join(sized.select("id", "n", "bits"), "id")
+        likely = (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & _may_be_similar("a", "b", ["bits"])
+        pairs = prefixes.alias("b").join(first.alias("a"), likely).groupBy(F.col("b.id").alias("later"), F.col("a.id").alias("earlier"))
+        return pairs.agg(F.count("*").alias("tokens"))
+
+    pairs = _near(_in_passes(met, f"{path}/met").groupBy("later", "earlier").agg(F.sum("tokens").alias("tokens")), sets)
+    best = pairs.groupBy("later").agg(F.max(F.struct("tokens", (-F.col("earlier")).alias("order"))).alias("best"))
     return best.select("later", (-F.col("best.order")).alias("earlier"))
 
 
-def _all_met(sets: DataFrame) -> DataFrame:
+def _all_met(sets: DataFrame, gone: DataFrame, path: str) -> DataFrame:
     """(later, earlier): sets that are not ``gone`` with all earlier ones that no filter rules out."""
-    prefixes = sets.filter("n > 3").select("id", "n", _bits().alias("bits"), "gone", F.posexplode("prefix").alias("at", "token"))  # smaller sets must be equal
-    left = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
-    enough = left * (NUMERATOR + DENOMINATOR) >= (F.col("a.n") + F.col("b.n")) * NUMERATOR
-    met = (F.col("a.token") == F.col("b.token")) & (F.col("a.id") < F.col("b.id")) & ~F.col("b.gone") & enough & _may_be_similar("a", "b", ["bits"])
-    pairs = prefixes.alias("a").join(prefixes.alias("b"), met).select(F.col("b.id").alias("later"), F.col("a.id").alias("earlier")).distinct()
-    return _near(pairs, sets)
+    flags = gone.select(F.col("later").alias("id"), F.lit(True).alias("gone"))
+    left = sets.filter("n > 3").select("id", "n", _bits().alias("bits"), "prefix").join(flags, "id", "left")  # smaller sets must be equal
+    left = written(left.withColumn("gone", F.coalesce("gone", F.lit(False))), f"{path}/left")
+
+    def met(k: int) -> DataFrame:
+        prefixes = left.select("id", "n", "bits", "gone", F.posexplode("prefix").alias("at", "token")).filter(F.col("token") % PASSES == k)
+        follows = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
+        enough = follows * (NUMERATOR + DENOMINATOR) >= (F.col("a.n") + F.col("b.n")) * NUMERATOR
+        likely = (F.col("a.token") == F.col("b.token")) & (F.col("a.id") < F.col("b.id")) & ~F.col("b.gone") & enough & _may_be_similar("a", "b", ["bits"])
+        return prefixes.alias("a").join(prefixes.alias("b"), likely).select(F.col("b.id").alias("later"), F.col("a.id").alias("earlier")).distinct()
+
+    return _near(_in_passes(met, f"{path}/met").distinct(), sets)
 
 
 def _tokens(docs: DataFrame, sets: DataFrame, pairs: DataFrame, rank: Column, path: str) -> DataFrame:
@@ -200,13 +220,11 @@ def kept_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     numbered = first.orderBy("line.doc", "line.line_no").select(F.monotonically_increasing_id().alias("id"), "h1", "line.*")
     sets = written(numbered, f"{path}/sets")
     # One similar earlier set is enough: near copies go with the first of them, and only what that leaves is compared with all.
-    pairs = written(_first_met(sets), f"{path}/first")
-    gone = written(_similar(pairs, _tokens(docs, sets, pairs, rank, f"{path}/first")), f"{path}/gone")
-    flags = gone.select(F.col("later").alias("id"), F.lit(True).alias("gone"))
-    sets = written(sets.join(flags, "id", "left").withColumn("gone", F.coalesce("gone", F.lit(False))), f"{path}/left")
-    pairs = written(_all_met(sets), f"{path}/pairs")
-    others = written(_similar(pairs, _tokens(docs, sets, pairs, rank, f"{path}/all")), f"{path}/others")
-    stay = sets.filter("not gone").select("id", "doc", "line_no").join(others.withColumnRenamed("later", "id"), "id", "left_anti")
+    pairs = written(_first_met(sets, f"{path}/first"), f"{path}/first/pairs")
+    gone = written(_similar(pairs, _tokens(docs, sets, pairs, rank, f"{path}/first/texts")), f"{path}/gone")
+    pairs = written(_all_met(sets, gone, f"{path}/all"), f"{path}/all/pairs")
+    others = written(_similar(pairs, _tokens(docs, sets, pairs, rank, f"{path}/all/texts")), f"{path}/others")
+    stay = sets.select("id", "doc", "line_no").join(gone.unionByName(others).withColumnRenamed("later", "id"), "id", "left_anti")
     return written(stay.groupBy("doc").agg(F.collect_set("line_no").alias("lines")), f"{path}/kept")
 
 
