@@ -4,8 +4,8 @@ A line's tokens are its distinct lower-cased words. A line with tokens is remove
 earlier line (by ``doc_id``, then by place) has a Jaccard similarity of at least 0.8 to it.
 
 * Equal token sets are reduced to their first line before anything is joined.
-* Tokens are ordered by rarity, rare first. Rarity is the number of documents of the token's hash
-  bucket, over all of them; there are ``BUCKETS`` of them whatever the input, so the table is a constant of the plan. Any common order
+* Tokens are ordered by rarity, rare first. Rarity is the number of words of the token's hash
+  bucket in all documents; there are ``BUCKETS`` of them whatever the input, so the table is a constant of the plan. Any common order
   gives the same result; this one keeps the join small.
 * Prefix filter: similar sets of n tokens share one of their n - ceil(0.8 n) + 1 first ones.
   Length filter: the smaller has at least 0.8 times the tokens of the larger. Positional filter: what
@@ -72,10 +72,9 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def rarity_classes(docs: DataFrame, text_col: str) -> list[int]:
-    """For each bucket of token hashes a small number that grows with its documents."""
-    words = F.split(F.translate(_plain(F.col(text_col)), "\n", " "), " ")
-    buckets = F.array_distinct(F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int")))
-    seen = docs.select(F.explode(buckets).alias("b")).groupBy("b").count()
+    """For each bucket of token hashes a small number that grows with its words."""
+    words = docs.select(F.explode(F.split(F.translate(_plain(F.col(text_col)), "\n", " "), " ")).alias("w"))
+    seen = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("b")).count()
     table = [0] * BUCKETS
     for r in seen.collect():  # at most BUCKETS rows
         table[r["b"]] = 1 + min(93, int(2 * math.log2(r["count"])))
