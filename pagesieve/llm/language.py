@@ -47,7 +47,15 @@ UNKNOWN = "und"
 #: Characters of texts that are worked on at once.
 AT_ONCE = 1 << 20
 
-_WORD = re.compile(r"[^\W\d_]+").findall
+_RUN = re.compile(r"[^\W\d_]+").findall
+
+
+def _words(text: str) -> list[str]:
+    """Runs of letters. Superscripts, fractions and the like count as word characters but are no letters, and part words."""
+    runs = _RUN(text)
+    if all(map(str.isalpha, runs)):
+        return runs
+    return [w for r in runs for w in ("".join(c if c.isalpha() else " " for c in r).split() if not r.isalpha() else (r,))]
 
 
 def grams(word: str) -> Iterator[str]:
@@ -134,7 +142,7 @@ class Predictor:
         if len(self._rows) > KEPT_WORDS:
             self._forget()
         languages = self._model.languages
-        words = [_WORD(t.lower()) for t in texts]
+        words = [_words(t.lower()) for t in texts]
         n = np.fromiter(map(len, words), np.int64, len(words))
         if not languages or not n.any():
             return [UNKNOWN] * len(texts), np.zeros(len(texts))
@@ -174,7 +182,7 @@ def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", samp
             for first, texts in portions(batch.column(1), AT_ONCE):
                 seen: Counter = Counter()
                 for lang, text in zip(batch.column(0)[first : first + len(texts)].to_pylist(), texts):
-                    seen.update((lang, w) for w in _WORD(text.lower()))
+                    seen.update((lang, w) for w in _words(text.lower()))
                 yield _counted(seen)
 
     def grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

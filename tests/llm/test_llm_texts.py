@@ -129,9 +129,9 @@ def test_language_of_seen_and_unseen_words(spark):
     rows += [(900, None, "kalo", "x"), (901, "aa", None, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, lang string, text string, score string")
     model = language.fit(docs)
-    texts = [(1, "Kalo sato"), (2, "thrusting wrings"), (3, None), (4, "12 !"), (5, ""), (6, "kalosato milo"), (7, "wrist " * 20000)]
+    texts = [(1, "Kalo sato"), (2, "thrusting wrings"), (3, None), (4, "12 !"), (5, ""), (6, "kalosato milo"), (7, "wrist " * 20000), (8, "\u00bd \u00b2 \u2167"), (9, "kalo\u00b2sato")]
     got = language.predict(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()
-    assert [r.lang_pred for r in got] == ["aa", "bb", "und", "und", "und", "aa", "bb"]
+    assert [r.lang_pred for r in got] == ["aa", "bb", "und", "und", "und", "aa", "bb", "und", "aa"]
     assert all(0 <= r.score <= 1 for r in got) and got[2].score == 0
     kept = language.keep_known(docs)
     assert kept.columns == docs.columns and kept.count() == 121 and kept.filter("text is null").count() == 0
