@@ -124,7 +124,7 @@ def cutoffs(measured: DataFrame, labels: DataFrame, *, max_false: float = MAX_FA
     tried = tried.withColumn("lost", lost)
     every = Window.partitionBy(F.lit(0))
     lenient = Window.partitionBy("stratum", "rule").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    n_strata = F.size(F.collect_set(F.coalesce("stratum", F.lit(""))).over(every))
+    n_strata = F.size(F.collect_set(F.coalesce(F.concat(F.lit("="), F.col("stratum").cast("string")), F.lit(""))).over(every))  # null is a stratum, and not the empty one
     level_of_test = F.lit(delta) / (n_strata * len(RULES))
     tested = tried.withColumn("p", _tail(F.col("n"), F.col("lost"), max_false / len(RULES))).withColumn("most", level_of_test)
     taken = tested.withColumn("taken", F.min((F.col("p") <= F.col("most")).cast("int")).over(lenient)).filter("taken = 1")

@@ -60,7 +60,7 @@ lost AS (
 tested AS (
   SELECT *, CASE WHEN k > n * {_RATE} THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda i:
       exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({_RATE}) + (n - i) * ln(1 - {_RATE})))) END AS p,
-    {quality.DELTA} / ((SELECT count(DISTINCT coalesce(stratum, '')) FROM held) * {len(quality.RULES)}) AS most FROM lost),
+    {quality.DELTA} / ((SELECT count(DISTINCT coalesce('=' || stratum, '')) FROM held) * {len(quality.RULES)}) AS most FROM lost),
 taken AS (SELECT *, min(CAST(p <= most AS INTEGER)) OVER (PARTITION BY stratum, rule ORDER BY nth) AS taken FROM tested),
 chosen AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM taken WHERE taken = 1 GROUP BY stratum, rule),
 failed AS (
