@@ -1,23 +1,26 @@
 """License notices in texts by conditional compression.
 
 Around each word that speaks of licensing a region of words is taken, across line breaks. A region
-is as wide as the longest match to both sides, so every match around a sign lies whole in one. In it each template is compared
-by its exact difference in words: what the template's wording needs to become part of the text must be at
-most ``MOST_MISSING`` of the template's words, and words that set licenses apart (versions, names) must be among those that agree.
-Words between those of the template are counted: at most as many as the template has in one gap, and ``MOST_OTHER`` times as many in all.
-A number counts only for the name and the version it stands with. Of overlapping places of
-a template the best one counts. A template whose words are all part of another confirmed one is left
-out where it lies inside of the other's place.
+is as wide as the longest match to both sides, so every match around a sign lies whole in one.
 
-A place is compressed alone and with the template as a raw dictionary for zstandard; what the template
-saves, as a share of the size without it, is reported and orders what is equal in words.
+1. Blocks of a region (twice as long as the longest match, overlapping by half) are compressed alone and with each
+   template as a raw dictionary for zstandard. All templates are ranked by the most bytes that they save in a block.
+2. In that order each template is confirmed by its exact difference in words, also one that saves nothing: what its wording needs
+   to become part of the text must be at most ``MOST_MISSING`` of its words, and words that set licenses apart (versions,
+   names) must be among those that agree. Words between those of the template are counted: at most as many as the
+   template has in one gap, and ``MOST_OTHER`` times as many in all. A number counts only for the name and the version it stands
+   with. Of overlapping places of a template the best one counts.
+3. A confirmed place claims the template's words in it. A place of which all such words are claimed by templates
+   of higher rank is closed.
+
+What a template saves of its confirmed place, as a share of the size without it, is reported.
 
 Candidates are chosen by an expression in Spark; the comparison runs in tasks, on the regions, whole texts
 being read. Nothing is shuffled.
 
 Defined cases: a null or empty text has no license; a license that occurs in several places of a text
-is reported at the one with the fewest missing words, then fewest other words, then the first; equal rows are
-reported alike; an empty table gives no row; other columns are not read.
+is reported at the one with the fewest missing words, then fewest other words, then the first; templates that save
+equally are ranked by their number of words, then by name; equal rows are reported alike; an empty table gives no row; other columns are not read.
 """
 
 from __future__ import annotations
@@ -94,12 +97,15 @@ class Template:
         """The most words from the first to the last of a match."""
         return len(self.words) + self.other
 
-    def may_occur(self, have: Counter) -> bool:
+    def _enough(self, have: Counter) -> bool:
+        """Whether words of these numbers can hold the wording in any order; what fails has no place."""
         return self.needed <= have.keys() and sum(min(n, have[w]) for w, n in self.counts.items()) >= len(self.words) - self.missing
 
     def places(self, words: list[str]) -> list[tuple[int, int, int, int]]:
         """(missing, other, first word, word behind the last) of matches that don't overlap, best first."""
         n, found = len(self.words), []
+        if not self._enough(Counter(words)):
+            return []
         marks = _Marks(words)
         recent: deque = deque()  # (place, word of the template, fewest other words by missing words)
         for j, w in enumerate(words):
@@ -176,19 +182,28 @@ class Scanner:
         data = " ".join(words).encode()
         return 1 - len(self._with[name].compress(data)) / len(self._plain.compress(data))
 
+    def ranked(self, words: list[str]) -> list[str]:
+        """All templates by the most bytes of compressed size that they save in a block of the words, largest first."""
+        saved: dict[str, int] = {}
+        for i in range(0, max(1, len(words) - self.radius), self.radius):
+            data = " ".join(words[i : i + 2 * self.radius]).encode()
+            alone = len(self._plain.compress(data))
+            for name, tool in self._with.items():
+                here = alone - len(tool.compress(data))
+                saved[name] = max(saved.get(name, here), here)
+        return sorted(saved, key=lambda n: (-saved[n], -len(self._templates[n].words), n))
+
     def region(self, words: list[str]) -> list[tuple[str, float, int, int, int, int]]:
-        """(template, saving, missing words, other words, first word, word behind the last) of the wordings in a region."""
-        have, found = Counter(words), {}
-        for name, template in self._templates.items():
-            if template.may_occur(have):
-                found[name] = template.places(words)
-
-        def inside(name: str, first: int, last: int) -> bool:
-            own = self._templates[name].counts
-            return any(own < self._templates[n].counts and any(a <= first and last <= z for _, _, a, z in found[n]) for n in found)
-
-        rows = [(n, round(self.saving(n, words[a:z]), 6), m, o, a, z) for n in found for m, o, a, z in found[n] if not inside(n, a, z)]
-        return sorted(rows, key=lambda x: (-x[1], x[0]))
+        """(template, saving, missing words, other words, first word, word behind the last) of the wordings in a region, by rank."""
+        rows, claimed = [], set()
+        for name in self.ranked(words):
+            template = self._templates[name]
+            for missing, other, first, last in template.places(words):
+                own = {i for i in range(first, last) if words[i] in template.counts}
+                if not own <= claimed:
+                    claimed |= own
+                    rows.append((name, round(self.saving(name, words[first:last]), 6), missing, other, first, last))
+        return rows
 
 
 def regions(text: str, radius: int) -> Iterator[list[Word]]:

@@ -222,6 +222,23 @@ def test_licenses_compare_every_template():
     assert found(f"{lgpl}\n\n\n{gpl}") == ["GPL-3.0", "LGPL-3.0"]
 
 
+def test_licenses_are_confirmed_in_the_order_of_their_saving(monkeypatch):
+    """Nested and nearly equal wordings: who saves more bytes claims the place."""
+    long = "Use of these files in any form is granted by the owner of the works under the license found beside them"
+    templates = {"long": long, "part": " ".join(long.split()[:9]), "variant": long.replace("owner", "holder"), "other": "No license is granted for the drawings"}
+    scanner = licenses.Scanner(templates)
+    found = lambda text: [x[0] for x in licenses.find(text, scanner)]
+    text = f"Read this license first. {long}. {templates['other']}."
+    assert scanner.ranked(licenses.wording(text))[0] == "long"
+    assert found(text) == ["long", "other"]
+    assert found(templates["variant"]) == ["variant"]
+    assert found(f"{templates['part']}. The license ends here.") == ["part"]
+    assert found("license " * 300 + text + " license" * 300) == ["long", "other"]
+    ranked = licenses.Scanner.ranked
+    monkeypatch.setattr(licenses.Scanner, "ranked", lambda self, words: ranked(self, words)[::-1])
+    assert found(text) == ["long", "other", "part", "variant"]
+
+
 FSF = """# This program is free software: you can redistribute it and/or modify
 # it under the terms of the GNU General Public License as published by
 # the Free Software Foundation, either version {} of the License, or
