@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 
 from pagesieve.llm import chat, language, licenses, packing, token_store
-from pagesieve.llm.tokens import Encoder, public_path
+from pagesieve.llm.tokens import Encoder, _Words, public_path
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -28,6 +28,20 @@ def test_ids_equal_those_of_the_tokenizer(path):
     assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == want
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_words_of_plain_texts_begin_where_the_tokenizer_cuts(path):
+    """Quotes with capitals behind them, runs of marks, and each distinct word merged once for all texts."""
+    pieces = ["'S", "'s", "'RE", "'re", "'ll", "'v", "''", " '", "A", "é", "ÿ", "Ü", " ", "  ", "\n", "1", "22", ".", "--", "the", " of"]
+    rnd = random.Random(6)
+    texts = ["it'S", "'", "''s", "x's's", "", *("".join(rnd.choice(pieces) for _ in range(rnd.randrange(12))) for _ in range(4000))]
+    tool, merged = Encoder(path), []
+    tool._words = _Words(lambda words: merged.extend(words) or tool._merge(words))
+    ids, bounds = tool.encode(pa.array(texts * 2))
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)] * 2
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == want
+    assert len(set(merged)) == len(merged) > 100
+
+
 def test_best_fit_takes_the_tightest_room():
     rnd = random.Random(1)
     lengths = np.array([rnd.randrange(0, 65) for _ in range(400)])
