@@ -9,7 +9,7 @@ and their diagonals (place in the document less place in the item) span at most
 2. places where too few of them are found for any item are left out (a cumulative count),
 3. the other hits are counted by item and diagonal band; bands are 2 (e + 1) wide and overlap by
    half, so that one of them has all hits of a match,
-4. bands with enough hits are verified by an alignment within the band.
+4. bands with enough hits are verified by an alignment within the band, those of equal width together.
 
 An item also occurs in a document that has only a part of it: each ``PASSAGE`` words in a row of a longer item are
 searched in the same way, with edits and bands of their own. Their hits are those of the item that lie within them, so
@@ -45,6 +45,8 @@ BLOCK_BYTES = 16 << 20
 #: Characters of documents that are worked on at once.
 AT_ONCE = 1 << 20
 CELL = 32
+#: Bytes of parts and texts that are aligned at once, about.
+CELLS = 1 << 20
 #: Words in a row of an item that count as its occurrence, and the most bytes of one.
 PASSAGE = 13
 PIECE = 24
@@ -54,9 +56,19 @@ _WORD = re.compile(r"[^\W_]+")
 _PIECE = re.compile(rb"[^ ]{1,%d}" % PIECE)
 
 
+#: Bytes of Latin-1 that are letters or digits; the others part words.
+_KEPT = bytes(c if chr(c).isalnum() else 32 for c in range(256))
+
+
 def normal(text: str) -> bytes:
     """What is compared of a text."""
-    return " ".join(_WORD.findall(text.lower())).encode()
+    lower = text.lower()
+    try:
+        raw = lower.encode("latin-1")
+    except UnicodeEncodeError:
+        return " ".join(_WORD.findall(lower)).encode()
+    words = b" ".join(raw.translate(_KEPT).split())
+    return words if words.isascii() else words.decode("latin-1").encode()
 
 
 def q_grams(data: bytes) -> np.ndarray:
@@ -67,43 +79,74 @@ def q_grams(data: bytes) -> np.ndarray:
     return out
 
 
-def align(item: bytes, text: bytes, budget: int, low: int, width: int) -> tuple[int, int, int] | None:
-    """Fewest edits between ``item`` and a part of ``text``, where that part begins and ends.
+#: A part, the text to search, the most edits, the lowest diagonal (place in the text less place in the part) and the number of diagonals.
+Band = tuple[bytes, bytes, int, int, int]
+#: Fewest edits, and where that place begins and ends.
+Place = tuple[int, int, int]
+
+
+def exact(band: Band) -> Place | None:
+    """The first place in the band without an edit."""
+    item, text, _, low, width = band
+    found = text.find(item, max(0, low), max(0, min(len(text), low + len(item) + width)))
+    return (0, found, found + len(item)) if found >= 0 else None
 
-    Only diagonals from ``low`` (place in the text less place in the item) over ``width`` count.
-    None if more than ``budget`` edits are needed.
+
+def align(bands: list[Band]) -> list[Place | None]:
+    """For each band the place with the fewest edits on its diagonals, None if it needs more than it may.
+
+    Bands of equal width advance together, a byte of their parts at a time; those with too many edits drop out.
     """
+    out: list[Place | None] = [None] * len(bands)
+    alike: dict[int, list[int]] = {}
+    for k, (item, text, _, low, width) in enumerate(bands):
+        if max(0, low) < min(len(text), low + len(item) + width):
+            alike.setdefault(width, []).append(k)
+    for width, own in alike.items():
+        step = max(1, CELLS // (width + max(len(bands[k][0]) for k in own)))
+        for i in range(0, len(own), step):
+            _align(bands, np.array(own[i : i + step]), width, out)
+    return out
+
+
+def _align(bands: list[Band], own: np.ndarray, width: int, out: list[Place | None]) -> None:
     far = np.int32(1 << 20)
-    chars = np.full(len(item) + width, -1, np.int16)
-    first, last = max(0, low), min(len(text), low + len(chars))
-    if first >= last:
-        return None
-    exact = text.find(item, first, last)
-    if exact >= 0:
-        return 0, exact, exact + len(item)
-    chars[first - low : last - low] = np.frombuffer(text, np.uint8, last - first, first)
+    sizes = np.array([len(bands[k][0]) for k in own])
+    longest = int(sizes.max())
+    items, chars = np.zeros((len(own), longest), np.int16), np.full((len(own), longest + width), -1, np.int16)
+    for j, k in enumerate(own.tolist()):
+        item, text, _, low, _ = bands[k]
+        first, last = max(0, low), min(len(text), low + len(item) + width)
+        items[j, : len(item)] = np.frombuffer(item, np.uint8)
+        chars[j, first - low : last - low] = np.frombuffer(text, np.uint8, last - first, first)
+    budget, lows, ends = (np.array(x) for x in zip(*((bands[k][2], bands[k][3], len(bands[k][1])) for k in own)))
     steps = np.arange(width, dtype=np.int32)
     # The column of diagonal d in row i is text place low + i + d - 1; -1 lies outside of the text.
-    outside = np.zeros(width, bool)
-    place = low + steps
-    outside[(place < 0) | (place > len(text))] = True
-    cost = np.where(outside, far, 0).astype(np.int32)
-    begin = place.astype(np.int64)
-    for i, c in enumerate(item):
-        here = chars[i : i + width]
-        cross = cost + (here != c) + np.where(here < 0, far, 0)
-        skip = np.append(cost[1:], far) + 1
-        best = np.minimum(cross, skip)
-        from_skip = skip < cross
-        start = np.where(from_skip, np.append(begin[1:], 0), begin)
-        lowered = best - steps
-        run = np.minimum.accumulate(lowered)
-        source = np.maximum.accumulate(np.where(lowered == run, steps, 0))
-        cost, begin = np.minimum(run + steps, far), start[source]
-        if cost.min() > budget:
-            return None
-    d = int(cost.argmin())
-    return int(cost[d]), int(begin[d]), min(len(text), low + len(item) + d)
+    begin = lows[:, None] + steps
+    cost = np.where((begin < 0) | (begin > ends[:, None]), far, np.int32(0))
+    for i in range(longest):
+        here = chars[:, i : i + width]
+        cross = cost + (here != items[:, i : i + 1]) + np.where(here < 0, far, np.int32(0))
+        skip = np.full_like(cost, far + 1)
+        skip[:, :-1] = cost[:, 1:] + 1
+        start = begin.copy()
+        start[:, :-1] = np.where(skip[:, :-1] < cross[:, :-1], begin[:, 1:], begin[:, :-1])
+        lowered = np.minimum(cross, skip) - steps
+        run = np.minimum.accumulate(lowered, axis=1)
+        source = np.maximum.accumulate(np.where(lowered == run, steps, 0), axis=1)
+        cost, begin = np.minimum(run + steps, far), np.take_along_axis(start, source, 1)
+        alive = cost.min(axis=1) <= budget
+        done = alive & (sizes == i + 1)
+        for j in np.flatnonzero(done).tolist():
+            d, low = int(cost[j].argmin()), int(lows[j])
+            out[own[j]] = int(cost[j, d]), int(begin[j, d]), min(int(ends[j]), low + i + 1 + d)
+        alive &= ~done
+        if not alive.any():
+            return
+        if 4 * alive.sum() < 3 * len(alive):
+            own, sizes, items, chars, budget, lows, ends, cost, begin = (
+                x[alive] for x in (own, sizes, items, chars, budget, lows, ends, cost, begin)
+            )
 
 
 class Index:
@@ -218,25 +261,48 @@ class Index:
         keys, counts = np.unique(keys, return_counts=True)
         item, band = keys // (2 * span), keys % (2 * span) - span
         rich = counts >= self.least[item]
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        whole: set[tuple[int, int]] = set()  # items come before passages
-        for i, b in zip(item[rich].tolist(), band[rich].tolist()):
-            part, own, is_item = self.part(i), int(self.item_of[i]), i < len(self.items)
-            half = int(self.budget[i]) + 1
-            middle = b * half + half + len(part) // 2
-            doc = int(np.searchsorted(begins, middle, "right")) - 1
+        item, band = item[rich], band[rich]
+        best: dict[tuple[int, int], Place] = {}
+        self._verify(item, band, item < len(self.items), plain, begins, best, set())
+        self._verify(item, band, item >= len(self.items), plain, begins, best, set(best))
+        return [(d, i, edits, *_original(texts[d], a, z)) for (d, i), (edits, a, z) in sorted(best.items())]
+
+
+    def _verify(
+        self, item: np.ndarray, band: np.ndarray, wanted: np.ndarray, plain: list[bytes], begins: np.ndarray,
+        best: dict[tuple[int, int], Place], whole: set[tuple[int, int]],
+    ) -> None:
+        """Put the best place of each text and item into ``best``, from the wanted bands of texts that don't hold the ``whole`` item."""
+        where, bands = [], []
+
+        def found(key: tuple[int, int], place: Place) -> None:
+            if key not in best or place < best[key]:
+                best[key] = place
+
+        item, band = item[wanted], band[wanted]
+        halves = self.budget[item] + 1
+        middles = band * halves + halves + (self._ends[item] - self.begin[item]) // 2
+        docs = np.searchsorted(begins, middles, "right") - 1
+        for i, b, half, middle, doc in zip(*(x.tolist() for x in (item, band, halves, middles, docs))):
+            part, own = self.part(i), int(self.item_of[i])
             for d in {doc, *([doc - 1] if doc > 0 and middle - begins[doc] < 2 * half else []), *([doc + 1] if doc + 1 < len(plain) else [])}:
-                if d < 0 or not is_item and ((d, own) in whole or best.get((d, own), (1,))[0] == 0 and best[d, own][1] <= b * half - begins[d]):
+                if d < 0 or (d, own) in whole:
                     continue
                 low = b * half - int(begins[d])
                 if low > len(plain[d]) or low + 2 * half + len(part) < 0:
                     continue
-                found = align(part, plain[d], int(self.budget[i]), low, 2 * half)
-                if found and ((d, own) not in best or found < best[d, own]):
-                    best[d, own] = found
-                if found and is_item:
-                    whole.add((d, own))
-        return [(d, i, edits, *_original(texts[d], a, z)) for (d, i), (edits, a, z) in sorted(best.items())]
+                if best.get((d, own), (1,))[0] == 0 and best[d, own][1] <= low:
+                    continue  # what begins later is no better
+                one = (part, plain[d], half - 1, low, 2 * half)
+                place = exact(one)
+                if place:
+                    found((d, own), place)
+                else:
+                    where.append((d, own))
+                    bands.append(one)
+        for key, place in zip(where, align(bands)):
+            if place:
+                found(key, place)
 
 
 def _passages(item: bytes) -> list[tuple[int, int]]:
@@ -257,8 +323,9 @@ def _original(text: str, begin: int, end: int) -> tuple[int, int]:
         size = len(m.group().encode())
         if at + size > begin and first is None:
             first = m.start()
-        if at < end:
-            last = m.end()
+        if at >= end:
+            break
+        last = m.end()
         at += size + 1
     return first or 0, last
 

@@ -5,6 +5,7 @@ import math
 import random
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,6 +108,30 @@ def test_decontamination_finds_what_the_budget_allows():
     assert within > 40
 
 
+def test_bands_of_equal_width_are_aligned_together(monkeypatch):
+    """Many near passages cost steps for the longest of them, not for each; the places are those of each band alone."""
+    rnd = random.Random(9)
+    bands = []
+    for _ in range(300):
+        item = bytes(rnd.choice(b"abc ") for _ in range(rnd.randrange(8, 40)))
+        spoilt = bytearray(item)
+        for _ in range(rnd.randrange(4)):
+            spoilt[rnd.randrange(len(spoilt))] = rnd.choice(b"abcz")
+        before = bytes(rnd.choice(b"abc ") for _ in range(rnd.randrange(12)))
+        bands.append((item, before + bytes(spoilt) + b" ab", rnd.randrange(4), len(before) - rnd.randrange(8), 8))
+    steps, take = [], np.take_along_axis
+    monkeypatch.setattr(np, "take_along_axis", lambda *a: steps.append(1) or take(*a))
+    together = decontaminate.align(bands)
+    assert len(steps) <= 40
+    assert together == [decontaminate.align([b])[0] for b in bands]
+    for (item, text, budget, low, width), place in zip(bands, together):
+        inside = text[max(0, low) :]
+        assert place is None or place[0] <= budget and _edits(item, inside) <= place[0] and _edits(item, text[place[1] : place[2]]) <= place[0]
+        if low <= 0 and low + width > len(text):
+            assert (place is not None) == (_edits(item, text) <= budget)
+    assert sum(p is not None for p in together) > 50
+
+
 def test_decontamination_tables(spark):
     item = "The quick brown fox jumps over the lazy dog, and then it rests for a while"
     bench = spark.createDataFrame([(1, item, 0), (2, None, 0), (3, "", 0), (4, "hi", 0), (5, item.upper(), 0)], "item_id long, text string, doc_id int")
