@@ -10,10 +10,12 @@ earlier line (by ``doc_id``, then by place) has a Jaccard similarity of at least
 * Prefix filter: similar sets of n tokens share one of their n - ceil(0.8 n) + 1 first ones.
   Length filter: the smaller has at least 0.8 times the tokens of the larger. Positional filter: what
   follows the shared token must suffice for the overlap that 0.8 asks for. 256 bits of each set
-  rule out pairs that differ in more bits than they may in tokens: 64 of them, folded, where sets meet, all on the pairs.
+  rule out pairs that differ in more bits than they may in tokens: folded to 64 where sets meet their first, all where they meet all
+  (long lines fill 64 bits, so that nearly all of them would pass).
 * Before all pairs each set meets one earlier set, the first of those about as large that share a prefix token, and goes
   if they are similar. So a group of near copies costs a comparison for each, not for each pair. What stays is then
-  compared with all earlier sets that the filters leave, also with those that went.
+  compared with all earlier sets that the filters leave, also with those that went: first, of those that a part of the
+  tokens leads to, with the one that differs in the fewest bits; what goes by this takes no part in the other passes.
 * The texts of the lines in candidate pairs are read again, and their token sets compared in full.
 
 Token sets and tokens are known by hashes of 128 and 56 bits.
@@ -123,11 +125,15 @@ def _pruned_scans(spark: SparkSession):
     )
 
 
+def _differ(a: str, b: str, words: list[str]) -> Column:
+    """In how many bits two sets differ."""
+    return sum(F.bit_count(F.col(f"{a}.{w}").bitwiseXOR(F.col(f"{b}.{w}"))) for w in words)
+
+
 def _may_be_similar(a: str, b: str, words: list[str]) -> Column:
     """Length filter and bits of two sets."""
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    differ = sum(F.bit_count(F.col(f"{a}.{w}").bitwiseXOR(F.col(f"{b}.{w}"))) for w in words)
-    return (F.least(n, m) * DENOMINATOR >= F.greatest(n, m) * NUMERATOR) & (differ * (NUMERATOR + DENOMINATOR) <= (n + m) * (DENOMINATOR - NUMERATOR))
+    return (F.least(n, m) * DENOMINATOR >= F.greatest(n, m) * NUMERATOR) & (_differ(a, b, words) * (NUMERATOR + DENOMINATOR) <= (n + m) * (DENOMINATOR - NUMERATOR))
 
 
 def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -138,9 +144,9 @@ def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.filter(_may_be_similar("a", "b", WORDS)).select(*pairs.columns)
 
 
-def _in_passes(make: Callable[[int], DataFrame], path: str) -> DataFrame:
-    """The union of ``PASSES`` steps, each written and its shuffle files gone before the next."""
-    return reduce(DataFrame.unionByName, [written(make(k), f"{path}-{k}") for k in range(PASSES)])
+def _in_passes(make: Callable[[int], DataFrame], path: str, first: int = 0) -> DataFrame:
+    """The union of the ``PASSES`` steps from ``first`` on, each written and its shuffle files gone before the next."""
+    return reduce(DataFrame.unionByName, [written(make(k), f"{path}-{k}") for k in range(first, PASSES)])
 
 
 def _first_met(sets: DataFrame, path: str) -> DataFrame:
@@ -165,20 +171,25 @@ def _first_met(sets: DataFrame, path: str) -> DataFrame:
     return best.select("later", (-F.col("best.order")).alias("earlier"))
 
 
-def _all_met(sets: DataFrame, gone: DataFrame, path: str) -> DataFrame:
-    """(later, earlier): sets that are not ``gone`` with all earlier ones that no filter rules out."""
-    flags = gone.select(F.col("later").alias("id"), F.lit(True).alias("gone"))
-    left = sets.filter("n > 3").select("id", "n", _bits().alias("bits"), "prefix").join(flags, "id", "left")  # smaller sets must be equal
-    left = written(left.withColumn("gone", F.coalesce("gone", F.lit(False))), f"{path}/left")
+def _left(sets: DataFrame, gone: DataFrame) -> DataFrame:
+    """The sets that may be similar to others, and whether they are ``gone``."""
+    large = sets.filter("n > 3").select("id", "n", *WORDS, "prefix")  # smaller sets must be equal
+    return _without(large.withColumn("gone", F.lit(False)), gone)
+
+
+def _without(left: DataFrame, gone: DataFrame) -> DataFrame:
+    flags = gone.select(F.col("later").alias("id"), F.lit(True).alias("now"))
+    return left.join(flags, "id", "left").withColumn("gone", F.col("gone") | F.coalesce("now", F.lit(False))).drop("now")
 
-    def met(k: int) -> DataFrame:
-        prefixes = left.select("id", "n", "bits", "gone", F.posexplode("prefix").alias("at", "token")).filter(F.col("token") % PASSES == k)
-        follows = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
-        enough = follows * (NUMERATOR + DENOMINATOR) >= (F.col("a.n") + F.col("b.n")) * NUMERATOR
-        likely = (F.col("a.token") == F.col("b.token")) & (F.col("a.id") < F.col("b.id")) & ~F.col("b.gone") & enough & _may_be_similar("a", "b", ["bits"])
-        return prefixes.alias("a").join(prefixes.alias("b"), likely).select(F.col("b.id").alias("later"), F.col("a.id").alias("earlier")).distinct()
 
-    return _near(_in_passes(met, f"{path}/met").distinct(), sets)
+def _all_met(left: DataFrame, k: int) -> DataFrame:
+    """(later, earlier, differ): sets that are not gone with all earlier ones that no filter rules out, by the tokens of pass ``k``."""
+    prefixes = left.select("id", "n", *WORDS, "gone", F.posexplode("prefix").alias("at", "token")).filter(F.col("token") % PASSES == k)
+    follows = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
+    enough = follows * (NUMERATOR + DENOMINATOR) >= (F.col("a.n") + F.col("b.n")) * NUMERATOR
+    likely = (F.col("a.token") == F.col("b.token")) & (F.col("a.id") < F.col("b.id")) & ~F.col("b.gone") & enough & _may_be_similar("a", "b", WORDS)
+    differ = _differ("a", "b", WORDS) / (F.col("a.n") + F.col("b.n"))
+    return prefixes.alias("a").join(prefixes.alias("b"), likely).select(F.col("b.id").alias("later"), F.col("a.id").alias("earlier"), differ.alias("differ")).distinct()
 
 
 def _tokens(docs: DataFrame, sets: DataFrame, pairs: DataFrame, rank: Column, path: str) -> DataFrame:
@@ -221,9 +232,17 @@ def kept_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     # One similar earlier set is enough: near copies go with the first of them, and only what that leaves is compared with all.
     pairs = written(_first_met(sets, f"{path}/first"), f"{path}/first/pairs")
     gone = written(_similar(pairs, _tokens(docs, sets, pairs, rank, f"{path}/first/texts")), f"{path}/gone")
-    pairs = written(_all_met(sets, gone, f"{path}/all"), f"{path}/all/pairs")
+    left = written(_left(sets, gone), f"{path}/left")
+    some = written(_all_met(left, 0), f"{path}/some")
+    likely = some.groupBy("later").agg(F.min(F.struct("differ", "earlier")).alias("best")).select("later", "best.earlier")
+    likely = written(likely, f"{path}/likely/pairs")
+    settled = written(_similar(likely, _tokens(docs, sets, likely, rank, f"{path}/likely/texts")), f"{path}/settled")
+    more = _in_passes(lambda k: _all_met(_without(left, settled), k), f"{path}/all/met", first=1)
+    pairs = some.join(settled, "later", "left_anti").unionByName(more).select("later", "earlier").distinct()
+    pairs = written(pairs, f"{path}/all/pairs")
     others = written(_similar(pairs, _tokens(docs, sets, pairs, rank, f"{path}/all/texts")), f"{path}/others")
-    stay = sets.select("id", "doc", "line_no").join(gone.unionByName(others).withColumnRenamed("later", "id"), "id", "left_anti")
+    gone = gone.unionByName(settled).unionByName(others)
+    stay = sets.select("id", "doc", "line_no").join(gone.withColumnRenamed("later", "id"), "id", "left_anti")
     return written(stay.groupBy("doc").agg(F.collect_set("line_no").alias("lines")), f"{path}/kept")
 
 
