@@ -342,3 +342,44 @@ def test_binomial_tail(spark):
     df = spark.createDataFrame([(n, k), (n, 8)], "n long, k long").select(quality._tail(F.col("n"), F.col("k"), rate).alias("p"))
     got = [r.p for r in df.collect()]
     assert got[0] == pytest.approx(want, rel=1e-9) and got[1] == 1.0
+
+
+def test_near_copies_are_not_compared_pair_by_pair(spark, monkeypatch):
+    """The first of a group is just not similar to the others, which are similar to each other."""
+    rnd = random.Random(3)
+    base = [f"word{i}" for i in range(40)]
+
+    def copy(k, n):
+        words = list(base)
+        for j, at in enumerate(rnd.sample(range(40), n)):
+            words[at] = f"own{k}x{j}"
+        return " ".join(words)
+
+    texts = [copy(0, 3), *(copy(k, 2) for k in range(1, 160))]
+    sets = [set(t.split()) for t in texts]
+    goes = [any(5 * len(a & b) >= 4 * len(a | b) for a in sets[:k]) for k, b in enumerate(sets)]
+    counts, written = {}, line_dedup.written
+
+    def counted(df, path):
+        out = written(df, path)
+        counts["/".join(path.split("/")[-2:])] = out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup, "written", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(docs).select("doc_id", "n_removed").collect()}
+    assert [got[k] == 1 for k in range(160)] == goes and sum(goes) > 150
+    assert sum(n for path, n in counts.items() if path.endswith("/pairs")) < 10 * 160  # all pairs with those that the first leaves: 4959
+
+
+def test_long_lines_meet_by_all_bits(spark):
+    """Long lines of other words fill 64 bits; they aren't candidates of each other."""
+    rnd = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(900)]
+    lines = [" ".join(rnd.sample(vocabulary, 130)) for _ in range(150)]
+    bits = F.array(*line_dedup._words(F.col("k"))).alias("bits")
+    sets = spark.createDataFrame(list(enumerate(lines)), "id long, line string").select("id", line_dedup.tokens_of(F.col("line")).alias("k"))
+    sets = sets.select("id", F.size("k").alias("n"), bits, F.slice("k", 1, 27).alias("prefix"))
+    sets = sets.select("id", "n", *(F.col("bits")[j].alias(w) for j, w in enumerate(line_dedup.WORDS)), F.expr("transform(prefix, t -> cast(t & 2147483647 as int))").alias("prefix"))
+    left = line_dedup._without(sets.withColumn("gone", F.lit(False)), spark.createDataFrame([], "later long"))
+    assert sum(line_dedup._all_met(left, k).count() for k in range(line_dedup.PASSES)) == 0
