@@ -383,3 +383,49 @@ def test_long_lines_meet_by_all_bits(spark):
     sets = sets.select("id", "n", *(F.col("bits")[j].alias(w) for j, w in enumerate(line_dedup.WORDS)), F.expr("transform(prefix, t -> cast(t & 2147483647 as int))").alias("prefix"))
     left = line_dedup._without(sets.withColumn("gone", F.lit(False)), spark.createDataFrame([], "later long"))
     assert sum(line_dedup._all_met(left, k).count() for k in range(line_dedup.PASSES)) == 0
+
+
+def test_line_dedup_makes_tokens_once(spark, monkeypatch):
+    """Lines are split into words in one place of the plan, and kept for both their uses; the counts of rarity read no text."""
+    docs = spark.createDataFrame([(1, "a b c d\ne f g h"), (2, "a b c d")], "doc_id long, text string")
+    plan = line_dedup.lines_of(docs, "doc_id", "text")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(line") == 1
+    plans, table = [], line_dedup.rarity_classes
+
+    def seen(lines, *more):
+        plans.append(lines._jdf.queryExecution().withCachedData().toString())
+        return table(lines, *more)
+
+    monkeypatch.setattr(line_dedup, "rarity_classes", seen)
+    assert line_dedup.kept_lines(docs).count() == 1
+    assert len(plans) == 1 and "InMemoryRelation" in plans[0]
+
+
+def test_line_dedup_of_all_sizes_equals_brute_force(spark):
+    """Near copies about the limit, of sizes on both sides of the bands and of ``LARGE``, in any order of sizes."""
+    rnd = random.Random(23)
+    words = [f"x{i}" for i in range(4000)]
+    texts = []
+    for size in (4, 5, 6, 9, 10, 11, 24, 45, 88, 150, 161, 170, 199, 260, 520, 900):
+        base = rnd.sample(words, size)
+        texts.append(base)
+        for _ in range(10):
+            cut = rnd.randrange(0, 1 + size // 4)
+            y = rnd.sample(base, size - cut) + rnd.sample(words, rnd.randrange(0, 1 + size // 8))
+            texts.append(y)
+    rnd.shuffle(texts)
+    seen, want = [], []
+    for i, x in enumerate(texts):
+        if not any(_similar(set(x), s) for s in seen):
+            want.append(i)
+        seen.append(set(x))
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "doc_id long, text string")
+    got = line_dedup.dedup_lines(docs).filter("n_removed = 0").select("doc_id").collect()
+    assert sorted(r.doc_id for r in got) == want and 20 < len(want) < len(texts) - 20
+    # The bits never differ in more places than the sets do in tokens.
+    k = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "id long, line string").select("id", line_dedup.tokens_of(F.col("line")).alias("k"))
+    k = k.select("id", "k", F.size("k").alias("n"), *line_dedup._words(F.col("k")))
+    more = F.size(F.array_except("a.k", "b.k")) + F.size(F.array_except("b.k", "a.k"))
+    pairs = k.alias("a").join(k.alias("b"), F.col("a.id") < F.col("b.id"))
+    for ws in (line_dedup.WORDS[:2], line_dedup.WORDS):
+        assert pairs.filter(line_dedup._differ("a", "b", ws) > more).count() == 0
