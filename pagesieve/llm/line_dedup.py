@@ -16,7 +16,8 @@ earlier line (by ``doc_id``, then by place) has a Jaccard similarity of at least
 * Before all pairs each set meets one earlier set, and goes if they are similar. Of those about as large that share one of
   ``LEADS`` prefix tokens, it is the first or the next before it, whichever differs in the fewest bits. So a group of near
   copies costs a comparison for each, not for each pair. What stays is then compared with all earlier sets that the
-  filters leave, also with those that went.
+  filters leave, also with those that went: first, of those that a part of the
+  tokens leads to, with the one that differs in the fewest bits; what goes by this takes no part in the other passes.
 * The texts of the lines in candidate pairs are read again, and their token sets compared in full.
 
 Token sets and tokens are known by hashes of 128 and 56 bits.
@@ -151,8 +152,8 @@ def _may_be_similar(a: str, b: str, words: list[str]) -> Column:
 
 
 def _in_passes(make: Callable[[int], DataFrame], path: str) -> DataFrame:
-    """The union of the ``PASSES`` steps, each written and its shuffle files gone before the next."""
-    return reduce(DataFrame.unionByName, [written(make(k), f"{path}-{k}") for k in range(PASSES)])
+    """The union of the ``PASSES`` steps from the second on, each written and its shuffle files gone before the next."""
+    return reduce(DataFrame.unionByName, [written(make(k), f"{path}-{k}") for k in range(1, PASSES)])
 
 
 def _band(n: Column) -> Column:
@@ -183,7 +184,7 @@ def _without(left: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def _all_met(left: DataFrame, k: int) -> DataFrame:
-    """(later, earlier): sets that are not gone with all earlier ones that no filter rules out, by the tokens of pass ``k``."""
+    """(later, earlier, differ): sets that are not gone with all earlier ones that no filter rules out, by the tokens of pass ``k``."""
     prefixes = left.select("id", "n", *WORDS, "gone", _band(F.col("n")).alias("band"), F.posexplode("prefix").alias("at", "token")).filter(F.col("token") % PASSES == k)
     # The most tokens of another set with which what follows the shared token suffices.
     most = F.floor(((F.col("n") - F.col("at")) * (NUMERATOR + DENOMINATOR) - F.col("n") * NUMERATOR) / NUMERATOR).cast("int")
@@ -197,7 +198,8 @@ def _all_met(left: DataFrame, k: int) -> DataFrame:
     enough = (m <= F.col("a.most")) & (n <= F.col("b.most"))
     later_stays = ~F.when(x < y, F.col("b.gone")).otherwise(F.col("a.gone"))
     likely = (F.col("a.key") == F.col("b.key")) & once & enough & later_stays & _may_be_similar("a", "b", WORDS)
-    return small.alias("a").join(large.alias("b"), likely).select(F.greatest(x, y).alias("later"), F.least(x, y).alias("earlier")).distinct()
+    differ = _differ("a", "b", WORDS) / (n + m)
+    return small.alias("a").join(large.alias("b"), likely).select(F.greatest(x, y).alias("later"), F.least(x, y).alias("earlier"), differ.alias("differ")).distinct()
 
 
 def _tokens(docs: DataFrame, sets: DataFrame, pairs: DataFrame, rank: Column, path: str) -> DataFrame:
@@ -246,10 +248,15 @@ def kept_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     pairs = written(_first_met(sets), f"{path}/first/pairs")
     gone = written(_similar(pairs, _tokens(docs, sets, pairs, rank, f"{path}/first/texts")), f"{path}/gone")
     left = _without(sets.filter("n > 3").select("id", "n", *WORDS, "prefix", F.lit(False).alias("gone")), gone)  # smaller sets must be equal
-    pairs = _in_passes(lambda k: _all_met(left, k), f"{path}/all/met").distinct()
+    some = written(_all_met(left, 0), f"{path}/some")
+    likely = some.groupBy("later").agg(F.min(F.struct("differ", "earlier")).alias("best")).select("later", "best.earlier")
+    likely = written(likely, f"{path}/likely/pairs")
+    settled = written(_similar(likely, _tokens(docs, sets, likely, rank, f"{path}/likely/texts")), f"{path}/settled")
+    more = _in_passes(lambda k: _all_met(_without(left, settled), k), f"{path}/all/met")
+    pairs = some.join(settled, "later", "left_anti").unionByName(more).select("later", "earlier").distinct()
     pairs = written(pairs, f"{path}/all/pairs")
     others = written(_similar(pairs, _tokens(docs, sets, pairs, rank, f"{path}/all/texts")), f"{path}/others")
-    gone = gone.unionByName(others)
+    gone = gone.unionByName(settled).unionByName(others)
     stay = sets.select("id", "doc", "line_no").join(gone.withColumnRenamed("later", "id").hint("shuffle_hash"), "id", "left_anti")
     return written(stay.groupBy("doc").agg(F.collect_set("line_no").alias("lines")), f"{path}/kept")
 
